@@ -38,7 +38,9 @@ END_ID = 0
 #: A chunk ends where the top bits of the rolling hash are zero: every 2**CUT_BITS ids on average.
 CUT_BITS = 8
 MAX_CHUNK = 4096
-CACHE_UNITS = 400_000
+CACHE_UNITS = 600_000
+#: Texts encoded at once, so that the units of a whole Arrow batch are not held together.
+AT_ONCE = 400
 
 
 class Encoder:
@@ -50,6 +52,8 @@ class Encoder:
     """
 
     AROUND = re.compile(r" \s|^ | $")
+    #: White space other than the space and the line feed, which are looked for without a pattern.
+    RARE = re.compile(r"[^\S \n]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -67,26 +71,36 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, units: list[str]) -> None:
+        width = self.dtype.itemsize
         for i in range(0, len(units), 2000):
             some = units[i : i + 2000]
-            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(self.leads[ids])
             if len(at) == len(some):
-                self.cache.update(zip(some, (x.tobytes() for x in np.split(ids, at[1:])), strict=True))
+                raw, at = ids.tobytes(), (at * width).tolist()
+                self.cache.update(zip(some, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
             else:
                 self.cache.update(zip(some, self.whole([" " + u for u in some]), strict=True))
 
+    def parts(self, text: str) -> list[str]:
+        if not self.units:
+            return [text]
+        plain = not (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or self.RARE.search(text))
+        return text.split(" ") if plain or not self.AROUND.search(text) else [text]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``dtype``."""
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
-        split = [x.split(" ") if self.units and not self.AROUND.search(x) else [x] for x in texts]
-        rest: set[str] = set()
-        for parts in split:
-            rest.update(parts[1:])
-        self.learn([u for u in rest if u not in self.cache])
-        get, heads = self.cache.__getitem__, self.whole([p[0] for p in split])
-        return [h + b"".join(map(get, p[1:])) for h, p in zip(heads, split, strict=True)]
+        get = self.cache.get
+        split = [self.parts(x) for x in texts]
+        known = [list(map(get, p[1:])) for p in split]
+        holes = [[i for i, v in enumerate(k) if v is None] if None in k else () for k in known]
+        self.learn(list({p[i + 1] for p, h in zip(split, holes, strict=True) for i in h}))
+        for p, k, h in zip(split, known, holes, strict=True):
+            for i in h:
+                k[i] = get(p[i + 1])
+        return [b"".join((head, *k)) for head, k in zip(self.whole([p[0] for p in split]), known, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -110,10 +124,11 @@ def cuts(ids: np.ndarray, bits: int = CUT_BITS, longest: int = MAX_CHUNK) -> np.
     if not n:
         return np.zeros(0, np.int64)
     ends = np.flatnonzero((rolling(ids) >> np.uint32(32 - bits)) == 0) + 1
-    ends = np.unique(np.append(ends, n))
-    gaps = np.diff(ends, prepend=0)
-    if (gaps > longest).any():  # a run without a cut is split at fixed steps from its start
-        ends = np.unique(np.concatenate([ends, *(np.arange(e - g + longest, e, longest) for e, g in zip(ends, gaps, strict=True) if g > longest)]))
+    if not len(ends) or ends[-1] != n:
+        ends = np.append(ends, n)
+    if n > longest and max(ends[0], (ends[1:] - ends[:-1]).max(initial=0)) > longest:
+        starts = np.append(0, ends[:-1])  # a run without a cut is split at fixed steps from its start
+        ends = np.unique(np.concatenate([ends, *(np.arange(a + longest, e, longest) for a, e in zip(starts, ends, strict=True) if e - a > longest)]))
     return ends
 
 
@@ -140,9 +155,10 @@ def _chunk_rows(path: str, end_id: int):
             if not len(pdf):
                 continue
             texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
+            streams = (raw for i in range(0, len(texts), AT_ONCE) for raw in enc.encode(texts[i : i + AT_ONCE]))
             seen: dict[bytes, tuple[int, bytes]] = {}
             refs: list[tuple] = []
-            for doc_id, uid, raw in zip(pdf["doc_id"].astype("Int64"), pdf["uid"], enc.encode(texts), strict=True):
+            for doc_id, uid, raw in zip(pdf["doc_id"].astype("Int64"), pdf["uid"], streams, strict=True):
                 raw += end
                 start = 0
                 for pos, e in enumerate(cuts(np.frombuffer(raw, enc.dtype)).tolist()):
@@ -259,21 +275,21 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"digest": pdf["digest"], "n_ids": pdf["n_ids"], "ok": ok, "crc": crc})
 
 
-JOINED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("ok", T.BooleanType()), T.StructField("root", T.BinaryType())])
+JOINED = T.StructType([T.StructField("crc", T.LongType()), T.StructField("root", T.BinaryType())])
 
 
 @F.pandas_udf(JOINED)
-def _joined(parts: pd.Series) -> pd.DataFrame:
-    """Total, CRC-32 and Merkle root of documents, each a list of (pos, n_ids, crc, ok, digest) in order."""
-    n, crc, ok, root = [], [], [], []
-    for doc in parts:
-        sizes = np.array([p["n_ids"] for p in doc], np.int64)
-        after = 4 * (sizes.sum() - np.cumsum(sizes))
-        n.append(int(sizes.sum()))
-        crc.append(int(np.bitwise_xor.reduce(shifted(np.array([p["crc"] for p in doc], np.uint32), after))))
-        ok.append(all(p["ok"] for p in doc))
-        root.append(merkle([bytes(p["digest"]) for p in doc]))
-    return pd.DataFrame({"n_tokens": n, "crc": crc, "ok": ok, "root": root})
+def _joined(sizes: pd.Series, crcs: pd.Series, digests: pd.Series) -> pd.DataFrame:
+    """CRC-32 and Merkle root of documents, each a list of chunks in order."""
+    if not len(sizes):
+        return pd.DataFrame({"crc": [], "root": []})
+    count = sizes.map(len).to_numpy()
+    ids = np.concatenate(sizes.to_list()).astype(np.int64)
+    ends = np.cumsum(ids)
+    last = np.cumsum(count) - 1
+    after = np.repeat(ends[last], count) - ends
+    crc = np.bitwise_xor.reduceat(shifted(np.concatenate(crcs.to_list()).astype(np.uint32), 4 * after), last - count + 1)
+    return pd.DataFrame({"crc": crc.astype(np.int64), "root": [merkle(list(x)) for x in digests]})
 
 
 def verify_store(spark: SparkSession, path: str) -> DataFrame:
@@ -286,13 +302,13 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     recipes = recipes_of(spark, path)
     uses = recipes.select("start", F.posexplode("chunks").alias("pos", "digest"))
     parts = uses.join(chunks, "digest").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "n_ids", "crc", "ok", "digest"))).alias("parts"))
-    docs = parts.select("start", _joined("parts").alias("got"))
+    docs = parts.select("start", F.expr("aggregate(parts.n_ids, 0L, (s, x) -> s + x)").alias("n"), F.forall("parts.ok", lambda x: x).alias("ok"), _joined("parts.n_ids", "parts.crc", "parts.digest").alias("got"))
     leaves = recipes.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("start", "root"))).alias("leaves")).select("part", _root(F.col("leaves.root")).alias("again"))
     runs = spark.read.parquet(f"{path}/manifest").select("part", F.col("root").alias("said")).join(leaves, "part").select("part", (F.col("said") == F.col("again")).alias("part_ok"))
     return (
         recipes.join(docs, "start", "left")
         .join(F.broadcast(runs), "part", "left")  # one row for each written partition
-        .select("doc_id", "start", F.col("got.n_tokens").alias("n_tokens"), F.col("got.crc").alias("ids_crc32"), F.coalesce(F.col("got.ok") & (F.col("got.root") == F.col("root")) & (F.col("got.n_tokens") == recipes["n_tokens"]) & F.col("part_ok"), F.lit(False)).alias("verified"))
+        .select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("got.crc").alias("ids_crc32"), F.coalesce(F.col("ok") & (F.col("got.root") == F.col("root")) & (F.col("n") == recipes["n_tokens"]) & F.col("part_ok"), F.lit(False)).alias("verified"))
     )
 
 

@@ -9,20 +9,22 @@ connected component of that graph:
    inverted index over their shingles is broadcast, and each document learns its distance to every pivot
    it shares a shingle with. A document within R of a pivot is *anchored*: it links to the pivot itself,
    so that the members of a large group of near copies need not be compared with one another.
-3. *Voronoi regions.* Pivots at least 0.5 apart own cells. A document is at home with its nearest pivot
-   if that is within RHO = 0.6, else in the outer region. By the triangle inequality a partner of a
+3. *Voronoi regions.* Pivots at least APART = 0.5 apart own cells. A document is at home with its nearest
+   pivot if that is within RHO = 0.3, else in the outer region. By the triangle inequality a partner of a
    document at home with p lies within RHO + R of p, and within 2 R more of p than of its own nearest
    pivot: boundary documents are replicated into just those cells.
 4. *Recursion.* Inside a region, one-shingle sets act as the next pivots: in any global order, partners
-   share one of their first |x| - ceil(0.8 |x|) + 1 shingles. The order puts shingles that several
-   pivots have last (any order is exact; this one keeps regions small). The third level parts a region
-   by set size, which for partners differs by a factor of at most 1.25. Pairs in a leaf region are dropped
-   when their distances to the region's pivot differ by more than R, when both are anchored to one group,
-   or when the shingles they share among the first cannot reach the overlap that a link needs.
+   share one of their first |x| - ceil(0.8 |x|) + 1 shingles, so a document goes to the regions of those.
+   The order puts frequent shingles last, as counted in one document of ORDER_SHARE; any order is exact,
+   this one keeps regions small. The smallest document of each such region is its next pivot: it is
+   compared with all others, and what it links is one group from then on. Regions with more than one
+   group left are parted once more by set size, which for partners differs by a factor of at most 1.25.
+   There, pairs are dropped when their distances to the cell's pivot differ by more than R, when both are
+   of one group already, or when the shingles they share among the first cannot reach the overlap needed.
 5. *Exact check.* The sets of remaining pairs are made again from the texts and intersected.
 
 Sampling chooses pivots and the order only; every document takes part in every step and no list, region
-or group is capped, so no link between different sets is lost but those that anchors imply.
+or group is capped. Links that are not looked at join documents that other links have joined already.
 
 Null and blank texts have an empty set and link with nothing. Texts of fewer than five words have the
 whole sequence as their one shingle. Rows that repeat a doc_id are the same node; a null doc_id has a
@@ -47,9 +49,11 @@ from .graph import components
 
 SHINGLE = 5
 #: A bounded sample of documents, whatever the size of the corpus; pivots have at most PIVOT_SHINGLES.
-PIVOTS = 4096
+PIVOTS = 2048
 PIVOT_SHINGLES = 4096
-R, RHO, APART = 0.2, 0.6, 0.5
+#: The order of shingles is counted in one document of so many, and keeps at most ORDERED frequent ones.
+ORDER_SHARE, ORDERED = 16, 2_000_000
+R, RHO, APART = 0.2, 0.3, 0.5
 OUTER = -1
 CACHE_WORDS = 1_000_000
 _EPS = 1e-9
@@ -98,7 +102,7 @@ class Pivots:
         self.group = np.arange(len(sets))  # smallest pivot reachable by links between pivots
         self.cell = np.zeros(len(sets), bool)
         for p, s in enumerate(sets):
-            near, inter = self.overlaps(s)[1:]
+            near, inter = self.overlaps(s)
             union = self.sizes[near] + len(s) - inter
             for q in near[linked(inter, union) & (near < p)]:
                 a, b = sorted((self.group[p], self.group[q]))
@@ -107,24 +111,25 @@ class Pivots:
             close = near[(1 - inter / union < APART) & (near < p)]
             self.cell[p] = not self.cell[close].any()
 
-    def overlaps(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For a set: how many pivots have each shingle, the pivots it meets, and in how many shingles."""
+    def overlaps(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pivots that a set meets, and in how many shingles."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(self.keys) or not len(s):
-            return np.zeros(len(s), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none
         at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
         known = self.keys[at] == s
-        count = np.where(known, self.ends[at + 1] - self.ends[at], 0)
-        if not known.any():
-            return count, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        starts, sizes = self.ends[at[known]], count[known]
+        at = at[known]
+        if not len(at):
+            return none
+        starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
         flat = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
         inter = np.bincount(self.owners[flat], minlength=len(self.sizes))
         near = np.flatnonzero(inter)
-        return count, near, inter[near]
+        return near, inter[near]
 
-    def place(self, s: np.ndarray) -> tuple[list[int], list[tuple[int, float, bool]], np.ndarray]:
-        """Groups of pivots that a set links to, its (cell, distance, at home), and its first shingles."""
-        count, near, inter = self.overlaps(s)
+    def place(self, s: np.ndarray) -> tuple[list[int], list[tuple[int, float, bool]]]:
+        """Groups of pivots that a set links to, and its (cell, distance, at home)."""
+        near, inter = self.overlaps(s)
         union = self.sizes[near] + len(s) - inter
         anchors = np.unique(self.group[near[linked(inter, union)]]).tolist()
         distance = 1 - inter / np.maximum(union, 1)
@@ -137,9 +142,18 @@ class Pivots:
             cells.append((OUTER, 0.0, True))
         inside = distance <= min(least + 2 * R, RHO + R) + _EPS
         cells += [(p, d, p == home) for p, d in zip(near[inside].tolist(), distance[inside].tolist(), strict=True)]
-        first = len(s) - (8 * len(s) + 9) // 10 + 1 if len(s) else 0
-        several = count >= 2
-        return anchors, cells, np.concatenate([s[~several], s[several]])[:first]
+        return anchors, cells
+
+
+def first_shingles(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles in the order that has ``frequent`` (ascending) last."""
+    if not len(s):
+        return s
+    size = len(s) - (8 * len(s) + 9) // 10 + 1
+    if not len(frequent):
+        return s[:size]
+    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+    return np.concatenate([s[~late], s[late]])[:size]
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -164,7 +178,7 @@ def sample_pivots(docs: DataFrame) -> tuple[list[bytes], list[np.ndarray]]:
 
 def _placed(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots = shared.value
+        pivots, frequent = shared.value
         for pdf in batches:
             sets = [shingles(x) for x in pdf["text"]]
             got = [pivots.place(s) for s in sets]
@@ -174,9 +188,9 @@ def _placed(shared):
                     "uid": pdf["uid"],
                     "n": [len(s) for s in sets],
                     "digest": [_digest(s) for s in sets],
-                    "anchors": [a for a, _, _ in got],
-                    "cells": [[{"p": p, "d": d, "home": h} for p, d, h in c] for _, c, _ in got],
-                    "first": [f.view(np.int64) for _, _, f in got],
+                    "anchors": [a for a, _ in got],
+                    "cells": [[{"p": p, "d": d, "home": h} for p, d, h in c] for _, c in got],
+                    "first": [first_shingles(s, frequent).view(np.int64) for s in sets],
                 }
             )
 
@@ -186,7 +200,7 @@ def _placed(shared):
 PLACED = "doc_id long, uid long, n long, digest binary, anchors array<int>, cells array<struct<p:int,d:double,home:boolean>>, first array<long>"
 
 
-def _sets_with_id(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sets = [shingles(x) for x in pdf["text"]]
         yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "digest": [_digest(s) for s in sets], "s": [s.tobytes() for s in sets]})
@@ -197,25 +211,65 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (x, y) of representatives that may link, from rows (rep, n, anchors, cells, first)."""
-    rows = (
-        reps.select("rep", "n", F.coalesce(F.get("anchors", F.lit(0)), F.lit(-1)).alias("anchor"), F.explode("cells").alias("c"), "first")
-        .select("rep", "n", "anchor", F.col("c.p").alias("p"), F.col("c.d").alias("d"), F.col("c.home").alias("home"), F.explode("first").alias("h"))
-    )
-    # Regions where a pair can be at all: two members at least, not all of one anchored group, one at home.
-    open_ = rows.groupBy("p", "h").agg(F.count("*").alias("m"), F.min("anchor").alias("lo"), F.max("anchor").alias("hi"), F.max("home").alias("any_home"))
-    open_ = open_.where("m > 1 and any_home and (lo <> hi or lo = -1)").select("p", "h")
-    members = stored(rows.join(open_, ["p", "h"]).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + F.lit(1e-6)).cast("int")), "regions")
-    left = members.select("p", "h", F.col("size").alias("part"), "size", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("anchor").alias("ax"), F.col("d").alias("dx"), F.col("home").alias("hx"))
-    right = members.select("p", "h", F.explode(F.array("size", F.col("size") - 1)).alias("part"), F.col("size").alias("size_y"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("anchor").alias("ay"), F.col("d").alias("dy"), F.col("home").alias("hy"))
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """Ascending shingles that at least two documents of the counted share have, the most frequent ORDERED of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = {_digest(s): s for s in map(shingles, pdf["text"])}
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.uint64), *sets.values()]).view(np.int64)})
+
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0).dropDuplicates(["text"])
+    counted = part.mapInPandas(run, "h long").groupBy("h").count().where("count > 1")
+    rows = counted.orderBy(F.desc("count"), "h").limit(ORDERED).select("h").toPandas()
+    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+
+
+def _enough(c: str, n1: str, n2: str) -> str:
+    """Whether sets of which c of the first shingles are shared can link: what is left of one set adds to c."""
+    return f"10 * least({n1}, {n2}) >= 8 * greatest({n1}, {n2}) and {c} + floor((8 * greatest({n1}, {n2}) + 9) / 10) - 1 >= ceil(4 * ({n1} + {n2}) / 9)"
+
+
+def regions(reps: DataFrame) -> DataFrame:
+    """p, h, rep, leader: the documents of each one-shingle region that has two at least."""
+    rows = reps.select("rep", F.explode("cells.p").alias("p"), "first").select("rep", "p", F.explode("first").alias("h"))
+    shared = rows.groupBy("p", "h").agg(F.count("*").alias("m"), F.min("rep").alias("leader")).where("m > 1").select("p", "h", "leader")
+    return rows.join(shared, ["p", "h"])
+
+
+def leader_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(x, y): documents and the leaders of their regions that may link."""
+    met = members.where("rep <> leader").groupBy(F.col("leader").alias("x"), F.col("rep").alias("y")).agg(F.count("*").alias("c"))
+    sized = met.join(sizes.select(F.col("rep").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("rep").alias("y"), F.col("n").alias("ny")), "y")
+    return sized.where(_enough("c", "nx", "ny")).select("x", "y")
+
+
+def other_pairs(members: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """(x, y) that may link and are not of one group, within regions where more than one group is left."""
+    placed = reps.select("rep", "n", F.explode("cells").alias("c")).select("rep", "n", F.col("c.p").alias("p"), F.col("c.d").alias("d"), F.col("c.home").alias("home"))
+    placed = placed.join(groups, placed["rep"] == groups["node"], "left").select("rep", "p", "n", "d", "home", F.coalesce("component", "rep").alias("g"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + F.lit(1e-6)).cast("int").alias("size"))
+    known = members.select("p", "h", "rep").join(placed, ["rep", "p"])
+    left_over = known.groupBy("p", "h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("home").alias("any_home")).where("lo <> hi and any_home").select("p", "h")
+    known = known.join(left_over, ["p", "h"])
+    left = known.select("p", "h", F.col("size").alias("part"), "size", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), F.col("d").alias("dx"), F.col("home").alias("hx"))
+    right = known.select("p", "h", F.explode(F.array("size", F.col("size") - 1)).alias("part"), F.col("size").alias("size_y"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), F.col("d").alias("dy"), F.col("home").alias("hy"))
     met = left.join(right, ["p", "h", "part"]).where(
-        "(size_y > size or x < y) and (hx or hy) and (ax <> ay or ax = -1) "
-        f"and abs(dx - dy) <= {R + _EPS} and 10 * least(nx, ny) >= 8 * greatest(nx, ny)"
+        f"(size_y > size or x < y) and (hx or hy) and gx <> gy and abs(dx - dy) <= {R + _EPS} and 10 * least(nx, ny) >= 8 * greatest(nx, ny)"
     )
-    # c shingles shared among the first leave at most the rest of one set: too few for a link are dropped.
     pairs = met.groupBy("p", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("c"), F.first(F.greatest("nx", "ny")).alias("n1"), F.first(F.least("nx", "ny")).alias("n2"))
-    return pairs.where("c + floor((8 * n1 + 9) / 10) - 1 >= ceil(4 * (n1 + n2) / 9)").select("x", "y").distinct()
+    return pairs.where(_enough("c", "n1", "n2")).select("x", "y").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose sets, made again from the texts, link."""
+    pairs = stored(pairs, "pairs")
+    wanted = stored(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "wanted")
+    texts = docs.join(maybe_broadcast(wanted), "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, digest binary, s binary")
+    chosen = texts.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "s")
+    chosen = stored(chosen, "sets")
+    both = pairs.join(chosen.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(chosen.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y")
+    counted = both.select(F.col("x").alias("a"), F.col("y").alias("b"), ((F.length("sx") + F.length("sy")) / 8).cast("long").alias("n"), _shared("sx", "sy").alias("i"))
+    return stored(counted.where(linked(F.col("i"), F.col("n") - F.col("i"))).select("a", "b"), "links")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -224,27 +278,19 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests, sets = sample_pivots(docs)
     pivots = Pivots(sets)
-    shared = spark.sparkContext.broadcast(pivots)
+    shared = spark.sparkContext.broadcast((pivots, frequent_shingles(docs)))
     placed = stored(docs.withColumn("uid", F.monotonically_increasing_id()).mapInPandas(_placed(shared), PLACED), "placed")
 
     classes = placed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "uid")).alias("least"))
     classes = stored(classes.select("digest", F.col("least.doc_id").alias("rep"), F.col("least.uid").alias("uid")), "classes")
     reps = classes.select("rep", "uid").join(placed.select("uid", "n", "anchors", "cells", "first"), "uid")
-
-    pairs = stored(candidates(reps), "pairs")
-    wanted = stored(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "wanted")
-    texts = docs.join(maybe_broadcast(wanted), "doc_id", "left_semi").mapInPandas(_sets_with_id, "doc_id long, digest binary, s binary")
-    chosen = texts.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "s")
-    chosen = stored(chosen, "sets")
-    checked = (
-        pairs.join(chosen.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x")
-        .join(chosen.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y")
-        .select("x", "y", (F.length("sx") / 8).cast("long").alias("nx"), (F.length("sy") / 8).cast("long").alias("ny"), _shared("sx", "sy").alias("i"))
-        .where(linked(F.col("i"), F.col("nx") + F.col("ny") - F.col("i")))
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    edges = checked.unionByName(_anchor_edges(reps, classes, digests, pivots))
-    found = components(edges)
+    members = stored(regions(reps), "regions")
+    reps = stored(reps.select("rep", "n", "anchors", "cells"), "reps")
+    links = _anchor_edges(reps, classes, digests, pivots).unionByName(verified(leader_pairs(members, reps), docs, classes))
+    links = stored(links, "links")
+    groups = stored(components(links), "groups")
+    links = links.unionByName(verified(other_pairs(members, reps, groups), docs, classes))
+    found = components(links)
     labels = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return placed.select("doc_id", "n", "digest").join(labels, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import castore, decontaminate, jaccard, pii
+from . import castore, decontaminate, jaccard, lmscore, pieces, pii, toxicity
 from .common import table
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -17,6 +21,14 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return castore.store_and_verify(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -25,6 +37,17 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_ngram_jaccard_join, op7_token_store, op8_personal_data)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_toxicity_chain,
+        op3_benchmark_decontamination,
+        op4_ngram_jaccard_join,
+        op5_cross_entropy_difference,
+        op6_sentencepiece,
+        op7_token_store,
+        op8_personal_data,
+    )
+}
 
 SQL: dict[str, str] = {}

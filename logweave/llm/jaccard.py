@@ -55,7 +55,9 @@ PIVOT_SHINGLES = 4096
 ORDER_SHARE, ORDERED = 16, 2_000_000
 R, RHO, APART = 0.2, 0.3, 0.5
 OUTER = -1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
+#: Documents whose sets a task holds at once.
+AT_ONCE = 1000
 _EPS = 1e-9
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -156,12 +158,16 @@ def first_shingles(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])[:size]
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return (pdf.iloc[i : i + AT_ONCE] for pdf in batches for i in range(0, len(pdf), AT_ONCE))
+
+
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _pivot_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in _slices(batches):
         sets = [s for s in map(shingles, pdf["text"]) if 0 < len(s) <= PIVOT_SHINGLES]
         yield pd.DataFrame({"digest": [_digest(s) for s in sets], "s": [s.tobytes() for s in sets]})
 
@@ -179,13 +185,13 @@ def sample_pivots(docs: DataFrame) -> tuple[list[bytes], list[np.ndarray]]:
 def _placed(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pivots, frequent = shared.value
-        for pdf in batches:
+        for pdf in _slices(batches):
             sets = [shingles(x) for x in pdf["text"]]
             got = [pivots.place(s) for s in sets]
             yield pd.DataFrame(
                 {
-                    "doc_id": pdf["doc_id"].astype("Int64"),
-                    "uid": pdf["uid"],
+                    "doc_id": pdf["doc_id"].astype("Int64").array,
+                    "uid": pdf["uid"].array,
                     "n": [len(s) for s in sets],
                     "digest": [_digest(s) for s in sets],
                     "anchors": [a for a, _ in got],
@@ -201,9 +207,9 @@ PLACED = "doc_id long, uid long, n long, digest binary, anchors array<int>, cell
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in _slices(batches):
         sets = [shingles(x) for x in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "digest": [_digest(s) for s in sets], "s": [s.tobytes() for s in sets]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").array, "digest": [_digest(s) for s in sets], "s": [s.tobytes() for s in sets]})
 
 
 @F.pandas_udf(T.LongType())
@@ -215,7 +221,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Ascending shingles that at least two documents of the counted share have, the most frequent ORDERED of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _slices(batches):
             sets = {_digest(s): s for s in map(shingles, pdf["text"])}
             yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.uint64), *sets.values()]).view(np.int64)})
 

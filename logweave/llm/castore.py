@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,7 @@ CUT_BITS = 8
 MAX_CHUNK = 4096
 CACHE_UNITS = 600_000
 #: Texts encoded at once, so that the units of a whole Arrow batch are not held together.
-AT_ONCE = 400
+AT_ONCE = 1500
 
 
 class Encoder:
@@ -51,9 +52,8 @@ class Encoder:
     cached. A text with other white space around a space, and any other kind of tokenizer, is encoded whole.
     """
 
-    AROUND = re.compile(r" \s|^ | $")
-    #: White space other than the space and the line feed, which are looked for without a pattern.
-    RARE = re.compile(r"[^\S \n]")
+    #: A space beside another white space, or at either end.
+    AROUND = r"^ | $| [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -82,25 +82,37 @@ class Encoder:
             else:
                 self.cache.update(zip(some, self.whole([" " + u for u in some]), strict=True))
 
-    def parts(self, text: str) -> list[str]:
-        if not self.units:
-            return [text]
-        plain = not (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or self.RARE.search(text))
-        return text.split(" ") if plain or not self.AROUND.search(text) else [text]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes of ``dtype``."""
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by ``end_id``, and where each text's end."""
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, self.AROUND) if self.units else pa.array([True] * len(texts))
+        lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        found = lists.flatten().dictionary_encode()
+        unit = found.indices.to_numpy().astype(np.int64)
+        # The first unit of a text has no space before it; a text to be taken whole is its own first unit.
+        heads = pc.if_else(whole, texts, found.dictionary.take(pa.array(unit[offsets[:-1]])))
+        led = np.ones(len(unit), bool)
+        led[offsets[:-1]] = False
+        needed = np.zeros(len(found.dictionary), bool)
+        needed[unit[led]] = True
+        names = found.dictionary.filter(pa.array(needed)).to_pylist()
         get = self.cache.get
-        split = [self.parts(x) for x in texts]
-        known = [list(map(get, p[1:])) for p in split]
-        holes = [[i for i, v in enumerate(k) if v is None] if None in k else () for k in known]
-        self.learn(list({p[i + 1] for p, h in zip(split, holes, strict=True) for i in h}))
-        for p, k, h in zip(split, known, holes, strict=True):
-            for i in h:
-                k[i] = get(p[i + 1])
-        return [b"".join((head, *k)) for head, k in zip(self.whole([p[0] for p in split]), known, strict=True)]
+        self.learn([u for u in names if u not in self.cache])
+        known = [*map(get, names), *self.whole(heads.to_pylist()), np.array([end_id], self.dtype).tobytes()]
+        sizes = np.array(list(map(len, known)), np.int64) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        number = np.cumsum(needed) - 1
+        row = number[unit]
+        row[offsets[:-1]] = len(names) + np.arange(len(texts))
+        row = np.insert(row, offsets[1:], len(known) - 1)
+        size = sizes[row]
+        ends = np.cumsum(size)
+        ids = np.frombuffer(b"".join(known), self.dtype)[np.repeat(starts[row] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, ends[offsets[1:] + np.arange(len(texts))] if len(texts) else np.zeros(0, np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -108,28 +120,26 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def rolling(values: np.ndarray) -> np.ndarray:
-    """Gear hash (32 bits) over the last 16 values at each position, by doubling."""
+def rolling(values: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Gear hash (32 bits) over the last 16 values of the same stream, by doubling; position: in the stream."""
     h = (values.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA77)
     for k in (1, 2, 4, 8):
-        h[k:] = h[k:] + (h[:-k] << np.uint32(k))
+        h[k:] = h[k:] + np.where(position[k:] >= k, h[:-k] << np.uint32(k), np.uint32(0))
     return h
 
 
-def cuts(ids: np.ndarray, bits: int = CUT_BITS, longest: int = MAX_CHUNK) -> np.ndarray:
-    """Ends of the chunks of a stream, the last at its length; none for an empty one."""
-    n = len(ids)
-    if not n:
-        return np.zeros(0, np.int64)
-    ends = np.flatnonzero((rolling(ids) >> np.uint32(32 - bits)) == 0) + 1
-    if not len(ends) or ends[-1] != n:
-        ends = np.append(ends, n)
-    if n > longest and max(ends[0], (ends[1:] - ends[:-1]).max(initial=0)) > longest:
-        starts = np.append(0, ends[:-1])  # a run without a cut is split at fixed steps from its start
-        ends = np.unique(np.concatenate([ends, *(np.arange(a + longest, e, longest) for a, e in zip(starts, ends, strict=True) if e - a > longest)]))
-    return ends
+def cuts(ids: np.ndarray, ends: np.ndarray, bits: int = CUT_BITS, longest: int = MAX_CHUNK) -> np.ndarray:
+    """Ends of the chunks of streams that lie one after the other and end at ``ends``."""
+    lengths = np.diff(ends, prepend=0)
+    position = np.arange(len(ids)) - np.repeat(ends - lengths, lengths)
+    at = np.flatnonzero((rolling(ids, position) >> np.uint32(32 - bits)) == 0) + 1
+    at = np.unique(np.concatenate([at, ends]))
+    at = at[at > 0]
+    gaps = np.diff(at, prepend=0)
+    long = np.flatnonzero(gaps > longest)  # a run without a cut is split at fixed steps from its start
+    return np.unique(np.concatenate([at, *(np.arange(at[i] - gaps[i] + longest, at[i], longest) for i in long)]))
 
 
 def digest(payload: bytes) -> bytes:
@@ -145,31 +155,29 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 ROWS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_ids", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("payload", T.BinaryType()), T.StructField("doc_id", T.LongType()), T.StructField("uid", T.LongType()), T.StructField("pos", T.IntegerType())])
+_ARROW = pa.schema([("kind", pa.string()), ("digest", pa.binary()), ("n_ids", pa.int32()), ("width", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("pos", pa.int32())])
 
 
 def _chunk_rows(path: str, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of kind chunks (each once for some texts) and refs (one for each use of a chunk)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        width, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
-            streams = (raw for i in range(0, len(texts), AT_ONCE) for raw in enc.encode(texts[i : i + AT_ONCE]))
-            seen: dict[bytes, tuple[int, bytes]] = {}
-            refs: list[tuple] = []
-            for doc_id, uid, raw in zip(pdf["doc_id"].astype("Int64"), pdf["uid"], streams, strict=True):
-                raw += end
-                start = 0
-                for pos, e in enumerate(cuts(np.frombuffer(raw, enc.dtype)).tolist()):
-                    piece = raw[start * width : e * width]
-                    key = digest(piece)
-                    seen.setdefault(key, (e - start, piece))
-                    refs.append((key, e - start, doc_id, uid, pos))
-                    start = e
-            yield pd.DataFrame({"kind": "chunks", "digest": list(seen), "n_ids": [n for n, _ in seen.values()], "width": width, "payload": [p for _, p in seen.values()], "doc_id": pd.array([None] * len(seen), "Int64"), "uid": pd.array([None] * len(seen), "Int64"), "pos": pd.array([None] * len(seen), "Int32")})
-            d, n, i, u, p = zip(*refs, strict=True)
-            yield pd.DataFrame({"kind": "refs", "digest": d, "n_ids": n, "width": width, "payload": None, "doc_id": pd.array(i, "Int64"), "uid": u, "pos": p})
+        width = enc.dtype.itemsize
+        for whole in batches:
+            for batch in (whole.slice(i, AT_ONCE) for i in range(0, whole.num_rows, AT_ONCE)):
+                ids, ends = enc.encode(batch["text"], end_id)
+                at = cuts(ids, ends)
+                owner = np.searchsorted(ends, at, side="left")
+                pos = np.arange(len(at)) - np.searchsorted(at, (ends - np.diff(ends, prepend=0))[owner], side="right")
+                raw, edges = ids.tobytes(), [0, *(at * width).tolist()]
+                pieces = [raw[a:b] for a, b in zip(edges, edges[1:])]  # noqa: B905
+                keys = list(map(digest, pieces))
+                seen = dict(zip(keys, pieces, strict=True))
+                n, none = len(seen), [None] * len(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(["chunks"] * n), pa.array(list(seen), pa.binary()), pa.array([len(p) // width for p in seen.values()], pa.int32()), pa.array([width] * n, pa.int32()), pa.array(list(seen.values()), pa.binary()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int32())], schema=_ARROW)
+                n, where = len(keys), pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(["refs"] * n), pa.array(keys, pa.binary()), pa.array(np.diff(at, prepend=0).astype(np.int32)), pa.array([width] * n, pa.int32()), pa.array([None] * n, pa.binary()), batch["doc_id"].take(where), batch["uid"].take(where), pa.array(pos.astype(np.int32))], schema=_ARROW)
 
     return run
 
@@ -182,7 +190,7 @@ def _root(chunks: pd.Series) -> pd.Series:
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
     """Write the store of ``docs(doc_id, text)`` under ``path``; see the module for the layout."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("uid")).mapInPandas(_chunk_rows(tokenizer_path, end_id), ROWS)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("uid")).mapInArrow(_chunk_rows(tokenizer_path, end_id), ROWS)
     # Equal chunk rows meet by all their columns and are combined before the shuffle; the references of a
     # chunk that very many documents share are rows of their own and spread over all tasks.
     rows.distinct().write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/raw")

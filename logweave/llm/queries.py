@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import castore, decontaminate, jaccard, lmscore, pieces, pii, toxicity, vectors
+from . import castore, decontaminate, jaccard, lmscore, pieces, pii, substrings, toxicity, vectors
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,7 @@ QUERIES = {
         op6_sentencepiece,
         op7_token_store,
         op8_personal_data,
+        op9_repeated_substrings,
         op10_embedding_near_duplicates,
     )
 }

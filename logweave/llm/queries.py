@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import castore, decontaminate, jaccard, lmscore, pieces, pii, substrings, toxicity, vectors
+from . import castore, decontaminate, html, jaccard, lmscore, pieces, pii, substrings, toxicity, vectors
 from .common import table
 
 
+def op1_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_host_suffix_array,
         op2_toxicity_chain,
         op3_benchmark_decontamination,
         op4_ngram_jaccard_join,

@@ -18,6 +18,7 @@ doc_id is kept, very long texts and words are searched in time linear in their l
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,8 @@ from pyspark.sql import types as T
 MARK = "▁"
 _LITERAL = "￾"  # stands for a literal mark while matching; no piece has it
 CACHE_UNITS = 300_000
+#: Texts whose ids a task holds at once.
+AT_ONCE = 1000
 _NONE = -float("inf")
 
 
@@ -124,16 +127,6 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_column(path: str):
-    """A column function from text to its ids."""
-
-    def encode(text: pd.Series) -> pd.Series:
-        c = codec(path)
-        return pd.Series([c.encode(x) for x in text], index=text.index, dtype=object)
-
-    return F.pandas_udf(encode, T.ArrayType(T.IntegerType()))
-
-
 def decode_column(path: str):
     """A column function from ids to their text; null for null."""
 
@@ -151,7 +144,14 @@ def _crc32(ids: pd.Series) -> pd.Series:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, text, ids for every row of ``docs(doc_id, text)``."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", encode_column(path)("text").alias("ids"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = codec(path)
+        for pdf in batches:
+            for part in (pdf.iloc[i : i + AT_ONCE] for i in range(0, len(pdf), AT_ONCE)):
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "text": part["text"].array, "ids": [c.encode(x) for x in part["text"]]})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

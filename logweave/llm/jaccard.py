@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,18 +56,20 @@ PIVOT_SHINGLES = 4096
 ORDER_SHARE, ORDERED = 16, 2_000_000
 R, RHO, APART = 0.2, 0.3, 0.5
 OUTER = -1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 #: Documents whose sets a task holds at once.
-AT_ONCE = 1000
+AT_ONCE = 500
 _EPS = 1e-9
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The ascending distinct fingerprints of a text's shingles."""
-    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def shingles(text: str | bytes | None) -> np.ndarray:
+    """The ascending distinct fingerprints of a text's shingles; bytes are UTF-8."""
+    if isinstance(text, str):
+        text = text.encode("utf-8", "surrogatepass")
+    w = text.lower().split() if text else []
     if not w:
         return np.zeros(0, np.uint64)
     if len(_words) > CACHE_WORDS:
@@ -158,18 +161,29 @@ def first_shingles(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])[:size]
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    return (pdf.iloc[i : i + AT_ONCE] for pdf in batches for i in range(0, len(pdf), AT_ONCE))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches and the sets of their texts; only a part's texts become Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(i, AT_ONCE)
+            yield part, [shingles(x) for x in part["text"].cast(pa.binary()).to_pylist()]
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *values]), kind))
 
 
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _pivot_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in _slices(batches):
-        sets = [s for s in map(shingles, pdf["text"]) if 0 < len(s) <= PIVOT_SHINGLES]
-        yield pd.DataFrame({"digest": [_digest(s) for s in sets], "s": [s.tobytes() for s in sets]})
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, sets in _slices(batches):
+        yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "s"])
+
+
+SETS = "doc_id long, digest binary, s binary"
 
 
 def sample_pivots(docs: DataFrame) -> tuple[list[bytes], list[np.ndarray]]:
@@ -177,28 +191,23 @@ def sample_pivots(docs: DataFrame) -> tuple[list[bytes], list[np.ndarray]]:
     total = docs.count()
     share = min(1.0, PIVOTS / max(total, 1))
     picked = docs.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    rows = picked.mapInPandas(_pivot_sets, "digest binary, s binary").collect()
+    rows = picked.mapInArrow(_sets, SETS).where(f"length(s) between 8 and {8 * PIVOT_SHINGLES}").select("digest", "s").collect()
     different = sorted({bytes(r["digest"]): bytes(r["s"]) for r in rows}.items())
     return [k for k, _ in different], [np.frombuffer(v, np.uint64) for _, v in different]
 
 
+_CELL = pa.struct([("p", pa.int32()), ("d", pa.float64()), ("home", pa.bool_())])
+
+
 def _placed(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, frequent = shared.value
-        for pdf in _slices(batches):
-            sets = [shingles(x) for x in pdf["text"]]
+        for part, sets in _slices(batches):
             got = [pivots.place(s) for s in sets]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"].astype("Int64").array,
-                    "uid": pdf["uid"].array,
-                    "n": [len(s) for s in sets],
-                    "digest": [_digest(s) for s in sets],
-                    "anchors": [a for a, _ in got],
-                    "cells": [[{"p": p, "d": d, "home": h} for p, d, h in c] for _, c in got],
-                    "first": [first_shingles(s, frequent).view(np.int64) for s in sets],
-                }
-            )
+            cells = [[{"p": p, "d": d, "home": h} for p, d, h in c] for _, c in got]
+            first = [first_shingles(s, frequent).view(np.int64) for s in sets]
+            columns = [part["doc_id"], part["uid"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array(cells, pa.list_(_CELL)), _lists(first, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "n", "digest", "anchors", "cells", "first"])
 
     return run
 
@@ -206,12 +215,6 @@ def _placed(shared):
 PLACED = "doc_id long, uid long, n long, digest binary, anchors array<int>, cells array<struct<p:int,d:double,home:boolean>>, first array<long>"
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in _slices(batches):
-        sets = [shingles(x) for x in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").array, "digest": [_digest(s) for s in sets], "s": [s.tobytes() for s in sets]})
-
-
 @F.pandas_udf(T.LongType())
 def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
@@ -220,13 +223,13 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Ascending shingles that at least two documents of the counted share have, the most frequent ORDERED of them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _slices(batches):
-            sets = {_digest(s): s for s in map(shingles, pdf["text"])}
-            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.uint64), *sets.values()]).view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _slices(batches):
+            different = {_digest(s): s for s in sets}
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *different.values()]).view(np.int64))], names=["h"])
 
     part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0).dropDuplicates(["text"])
-    counted = part.mapInPandas(run, "h long").groupBy("h").count().where("count > 1")
+    counted = part.mapInArrow(run, "h long").groupBy("h").count().where("count > 1")
     rows = counted.orderBy(F.desc("count"), "h").limit(ORDERED).select("h").toPandas()
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
@@ -270,7 +273,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     """(a, b) of the pairs whose sets, made again from the texts, link."""
     pairs = stored(pairs, "pairs")
     wanted = stored(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "wanted")
-    texts = docs.join(maybe_broadcast(wanted), "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, digest binary, s binary")
+    texts = docs.join(maybe_broadcast(wanted), "doc_id", "left_semi").mapInArrow(_sets, SETS)
     chosen = texts.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "s")
     chosen = stored(chosen, "sets")
     both = pairs.join(chosen.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(chosen.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y")
@@ -285,7 +288,7 @@ def join(docs: DataFrame) -> DataFrame:
     digests, sets = sample_pivots(docs)
     pivots = Pivots(sets)
     shared = spark.sparkContext.broadcast((pivots, frequent_shingles(docs)))
-    placed = stored(docs.withColumn("uid", F.monotonically_increasing_id()).mapInPandas(_placed(shared), PLACED), "placed")
+    placed = stored(docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_placed(shared), PLACED), "placed")
 
     classes = placed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "uid")).alias("least"))
     classes = stored(classes.select("digest", F.col("least.doc_id").alias("rep"), F.col("least.uid").alias("uid")), "classes")

@@ -1,4 +1,6 @@
 """All registered queries of the analytics engine: name -> callable(spark, sf_dir), and name -> SQL."""
 
-QUERIES = {}
-SQL = {}
+from . import chunking
+
+QUERIES = dict(chunking.QUERIES)
+SQL = dict(chunking.SQL)

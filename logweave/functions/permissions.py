@@ -23,15 +23,19 @@ def has(bits, flag: int) -> Column:
     return _c(bits).bitwiseAND(F.lit(flag).cast("bigint")) != 0
 
 
+def _number(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(20,0)")
+
+
 def bits_of(text) -> Column:
     """Bits from a decimal string; null and empty are none. Values from 2**63 wrap to negative bigints."""
     number = F.coalesce(F.nullif(_c(text).cast("string"), F.lit("")), F.lit("0")).cast("decimal(20,0)")
-    return F.when(number >= F.lit(1 << 63), number - F.lit(1 << 64)).otherwise(number).cast("bigint")
+    return F.when(number >= _number(1 << 63), number - _number(1 << 64)).otherwise(number).cast("bigint")
 
 
 def unsigned(bits) -> Column:
     number = _c(bits).cast("decimal(20,0)")
-    return F.when(number < 0, number + F.lit(1 << 64)).otherwise(number).cast("decimal(20,0)")
+    return F.when(number < 0, number + _number(1 << 64)).otherwise(number).cast("decimal(20,0)")
 
 
 def base(bits) -> Column:

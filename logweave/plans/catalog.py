@@ -1,6 +1,6 @@
 """All registered queries of the analytics engine: name -> callable(spark, sf_dir), and name -> SQL."""
 
-from . import chunking
+from . import chunking, text
 
-QUERIES = dict(chunking.QUERIES)
-SQL = dict(chunking.SQL)
+QUERIES = chunking.QUERIES | text.QUERIES
+SQL = chunking.SQL | text.SQL

@@ -9,11 +9,13 @@ from ..operators import chunking as C
 from ..operators import segments as S
 from ..sources import adapters as A
 
-_IDS = F.array_join(F.transform("message_ids", lambda x: x.cast("string")), ",").alias("message_ids")
+def _listed(ids="message_ids"):
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias(ids)
+
 
 
 def sliding_window_chunks(spark, sf_dir):
-    return C.sliding_windows(A.messages(spark, sf_dir)).select("channel_id", "start_message_id", "end_message_id", "n_messages", _IDS, "chunk_state")
+    return C.sliding_windows(A.messages(spark, sf_dir)).select("channel_id", "start_message_id", "end_message_id", "n_messages", _listed(), "chunk_state")
 
 
 def sliding_window_membership(spark, sf_dir):
@@ -22,7 +24,7 @@ def sliding_window_membership(spark, sf_dir):
 
 
 def author_group_chunks_60s(spark, sf_dir):
-    return C.author_groups(A.messages(spark, sf_dir)).select("channel_id", "author_id", "start_message_id", "end_message_id", "n_messages", _IDS, "chunk_state")
+    return C.author_groups(A.messages(spark, sf_dir)).select("channel_id", "author_id", "start_message_id", "end_message_id", "n_messages", _listed(), "chunk_state")
 
 
 def author_group_events_1h(spark, sf_dir):
@@ -35,7 +37,7 @@ def author_sessions_gap_only(spark, sf_dir):
 
 
 def reply_chains(spark, sf_dir):
-    return C.reply_chains(A.messages(spark, sf_dir)).select("leaf_message_id", "channel_id", _IDS, "n_messages", "cross_channel_ref")
+    return C.reply_chains(A.messages(spark, sf_dir)).select("leaf_message_id", "channel_id", _listed(), "n_messages", "cross_channel_ref")
 
 
 def reply_chain_depth_hist(spark, sf_dir):
@@ -44,8 +46,7 @@ def reply_chain_depth_hist(spark, sf_dir):
 
 def chunk_metadata_sets(spark, sf_dir):
     log = A.messages(spark, sf_dir)
-    join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return C.describe(C.sliding_windows(log), log).select("channel_id", "start_message_id", join("author_ids"), join("mentioned_user_ids"), "has_attachments", "first_message_s", "last_message_s")
+    return C.describe(C.sliding_windows(log), log).select("channel_id", "start_message_id", _listed("author_ids"), _listed("mentioned_user_ids"), "has_attachments", "first_message_s", "last_message_s")
 
 
 def chunk_texts_sequential(spark, sf_dir):

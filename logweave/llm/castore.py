@@ -37,9 +37,11 @@ from .common import fresh_dir, remove_dir, stored
 
 END_ID = 0
 #: A chunk ends where the top bits of the rolling hash are zero: every 2**CUT_BITS ids on average.
-CUT_BITS = 8
+CUT_BITS = 9
 MAX_CHUNK = 4096
 CACHE_UNITS = 600_000
+#: A unit is cached when it comes for the second time; which came before is kept in so many bits, by a hash.
+SEEN_BITS = 1 << 26
 #: Texts encoded at once, so that the units of a whole Arrow batch are not held together.
 AT_ONCE = 1500
 
@@ -66,26 +68,37 @@ class Encoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.leads = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.cache: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN_BITS >> 3)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, units: list[str]) -> None:
-        width = self.dtype.itemsize
+    def learn(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of units that are not cached; those met before are cached now."""
+        width, found = self.dtype.itemsize, {}
         for i in range(0, len(units), 2000):
             some = units[i : i + 2000]
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(self.leads[ids])
             if len(at) == len(some):
                 raw, at = ids.tobytes(), (at * width).tolist()
-                self.cache.update(zip(some, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
+                found.update(zip(some, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
             else:
-                self.cache.update(zip(some, self.whole([" " + u for u in some]), strict=True))
+                found.update(zip(some, self.whole([" " + u for u in some]), strict=True))
+        seen, mask = self.seen, SEEN_BITS - 1
+        for u, ids in found.items():
+            h = hash(u) & mask
+            if seen[h >> 3] >> (h & 7) & 1:
+                self.cache[u] = ids
+            else:
+                seen[h >> 3] |= 1 << (h & 7)
+        return found
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end_id``, and where each text's end."""
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
+            self.seen = bytearray(SEEN_BITS >> 3)
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, self.AROUND) if self.units else pa.array([True] * len(texts))
         lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
@@ -101,8 +114,9 @@ class Encoder:
         needed[unit[led]] = True
         names = found.dictionary.filter(pa.array(needed)).to_pylist()
         get = self.cache.get
-        self.learn([u for u in names if u not in self.cache])
-        known = [*map(get, names), *self.whole(heads.to_pylist()), np.array([end_id], self.dtype).tobytes()]
+        new = self.learn([u for u in names if u not in self.cache])
+        known = [new.get(u) or get(u) for u in names]
+        known += [*self.whole(heads.to_pylist()), np.array([end_id], self.dtype).tobytes()]
         sizes = np.array(list(map(len, known)), np.int64) // self.dtype.itemsize
         starts = np.cumsum(sizes) - sizes
         number = np.cumsum(needed) - 1

@@ -21,6 +21,8 @@ connected component of that graph:
    group left are parted once more by set size, which for partners differs by a factor of at most 1.25.
    There, pairs are dropped when their distances to the cell's pivot differ by more than R, when both are
    of one group already, or when the shingles they share among the first cannot reach the overlap needed.
+   Pairs of either kind are dropped when their parities (for each of PARITY classes of shingles, whether a
+   set has an odd number of them) differ in more places than partners differ in shingles.
 5. *Exact check.* The sets of remaining pairs are made again from the texts and intersected.
 
 Sampling chooses pivots and the order only; every document takes part in every step and no list, region
@@ -56,6 +58,8 @@ PIVOT_SHINGLES = 4096
 ORDER_SHARE, ORDERED = 16, 2_000_000
 R, RHO, APART = 0.2, 0.3, 0.5
 OUTER = -1
+#: Classes of shingles, 64 to a word.
+PARITY = 512
 CACHE_WORDS = 250_000
 #: Documents whose sets a task holds at once.
 AT_ONCE = 500
@@ -161,6 +165,11 @@ def first_shingles(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])[:size]
 
 
+def parities(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set the words that hold, a bit for each class of shingles, whether it has an odd number of them."""
+    return [np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).view(np.int64) for s in sets]
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Parts of the batches and the sets of their texts; only a part's texts become Python objects."""
     for batch in batches:
@@ -206,13 +215,13 @@ def _placed(shared):
             got = [pivots.place(s) for s in sets]
             cells = [[{"p": p, "d": d, "home": h} for p, d, h in c] for _, c in got]
             first = [first_shingles(s, frequent).view(np.int64) for s in sets]
-            columns = [part["doc_id"], part["uid"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array(cells, pa.list_(_CELL)), _lists(first, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "n", "digest", "anchors", "cells", "first"])
+            columns = [part["doc_id"], part["uid"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array(cells, pa.list_(_CELL)), _lists(first, pa.int64()), _lists(parities(sets), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "n", "digest", "anchors", "cells", "first", "odd"])
 
     return run
 
 
-PLACED = "doc_id long, uid long, n long, digest binary, anchors array<int>, cells array<struct<p:int,d:double,home:boolean>>, first array<long>"
+PLACED = "doc_id long, uid long, n long, digest binary, anchors array<int>, cells array<struct<p:int,d:double,home:boolean>>, first array<long>, odd array<long>"
 
 
 @F.pandas_udf(T.LongType())
@@ -239,6 +248,10 @@ def _enough(c: str, n1: str, n2: str) -> str:
     return f"10 * least({n1}, {n2}) >= 8 * greatest({n1}, {n2}) and {c} + floor((8 * greatest({n1}, {n2}) + 9) / 10) - 1 >= ceil(4 * ({n1} + {n2}) / 9)"
 
 
+#: Whether the parities of two sets allow a link, for which they may differ in so many shingles.
+_ALIKE = " + ".join(f"bit_count(ox[{k}] ^ oy[{k}])" for k in range(PARITY // 64)) + " <= nx + ny - 2 * ceil(4 * (nx + ny) / 9)"
+
+
 def regions(reps: DataFrame) -> DataFrame:
     """p, h, rep, leader: the documents of each one-shingle region that has two at least."""
     rows = reps.select("rep", F.explode("cells.p").alias("p"), "first").select("rep", "p", F.explode("first").alias("h"))
@@ -249,21 +262,21 @@ def regions(reps: DataFrame) -> DataFrame:
 def leader_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """(x, y): documents and the leaders of their regions that may link."""
     met = members.where("rep <> leader").groupBy(F.col("leader").alias("x"), F.col("rep").alias("y")).agg(F.count("*").alias("c"))
-    sized = met.join(sizes.select(F.col("rep").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("rep").alias("y"), F.col("n").alias("ny")), "y")
-    return sized.where(_enough("c", "nx", "ny")).select("x", "y")
+    sized = met.join(sizes.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("odd").alias("ox")), "x").join(sizes.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("odd").alias("oy")), "y")
+    return sized.where(_enough("c", "nx", "ny")).where(_ALIKE).select("x", "y")
 
 
 def other_pairs(members: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
     """(x, y) that may link and are not of one group, within regions where more than one group is left."""
-    placed = reps.select("rep", "n", F.explode("cells").alias("c")).select("rep", "n", F.col("c.p").alias("p"), F.col("c.d").alias("d"), F.col("c.home").alias("home"))
-    placed = placed.join(groups, placed["rep"] == groups["node"], "left").select("rep", "p", "n", "d", "home", F.coalesce("component", "rep").alias("g"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + F.lit(1e-6)).cast("int").alias("size"))
-    known = members.select("p", "h", "rep").join(placed, ["rep", "p"])
+    placed = reps.select("rep", "n", "odd", F.explode("cells").alias("c")).select("rep", "n", "odd", F.col("c.p").alias("p"), F.col("c.d").alias("d"), F.col("c.home").alias("home"))
+    placed = placed.join(groups, placed["rep"] == groups["node"], "left").select("rep", "p", "n", "odd", "d", "home", F.coalesce("component", "rep").alias("g"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + F.lit(1e-6)).cast("int").alias("size"))
+    known = members.select("p", "h", "rep").join(placed.select("rep", "p", "g", "home"), ["rep", "p"])
     left_over = known.groupBy("p", "h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("home").alias("any_home")).where("lo <> hi and any_home").select("p", "h")
-    known = known.join(left_over, ["p", "h"])
-    left = known.select("p", "h", F.col("size").alias("part"), "size", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), F.col("d").alias("dx"), F.col("home").alias("hx"))
-    right = known.select("p", "h", F.explode(F.array("size", F.col("size") - 1)).alias("part"), F.col("size").alias("size_y"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), F.col("d").alias("dy"), F.col("home").alias("hy"))
+    known = known.select("p", "h", "rep").join(left_over, ["p", "h"]).join(placed, ["rep", "p"])
+    left = known.select("p", "h", F.col("size").alias("part"), "size", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("odd").alias("ox"), F.col("g").alias("gx"), F.col("d").alias("dx"), F.col("home").alias("hx"))
+    right = known.select("p", "h", F.explode(F.array("size", F.col("size") - 1)).alias("part"), F.col("size").alias("size_y"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("odd").alias("oy"), F.col("g").alias("gy"), F.col("d").alias("dy"), F.col("home").alias("hy"))
     met = left.join(right, ["p", "h", "part"]).where(
-        f"(size_y > size or x < y) and (hx or hy) and gx <> gy and abs(dx - dy) <= {R + _EPS} and 10 * least(nx, ny) >= 8 * greatest(nx, ny)"
+        f"(size_y > size or x < y) and (hx or hy) and gx <> gy and abs(dx - dy) <= {R + _EPS} and 10 * least(nx, ny) >= 8 * greatest(nx, ny) and {_ALIKE}"
     )
     pairs = met.groupBy("p", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("c"), F.first(F.greatest("nx", "ny")).alias("n1"), F.first(F.least("nx", "ny")).alias("n2"))
     return pairs.where(_enough("c", "n1", "n2")).select("x", "y").distinct()
@@ -292,9 +305,9 @@ def join(docs: DataFrame) -> DataFrame:
 
     classes = placed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "uid")).alias("least"))
     classes = stored(classes.select("digest", F.col("least.doc_id").alias("rep"), F.col("least.uid").alias("uid")), "classes")
-    reps = classes.select("rep", "uid").join(placed.select("uid", "n", "anchors", "cells", "first"), "uid")
+    reps = classes.select("rep", "uid").join(placed.select("uid", "n", "anchors", "cells", "first", "odd"), "uid")
     members = stored(regions(reps), "regions")
-    reps = stored(reps.select("rep", "n", "anchors", "cells"), "reps")
+    reps = stored(reps.select("rep", "n", "anchors", "cells", "odd"), "reps")
     links = _anchor_edges(reps, classes, digests, pivots).unionByName(verified(leader_pairs(members, reps), docs, classes))
     links = stored(links, "links")
     groups = stored(components(links), "groups")

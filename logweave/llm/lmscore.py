@@ -1,15 +1,20 @@
 """Cross-entropy difference between matched n-gram models (operator 5).
 
 Two interpolated bigram models, one of the target texts and one of the background, are estimated with the
-same vocabulary, the same bigram classes, smoothing and interpolation, and differ in their counts alone.
-A document's score is the mean over its tokens of the target model's loss minus that of the background
-model: the lower, the more the document is like the target.
+same vocabulary, the same smoothing and interpolation, and differ in their counts alone. A document's score
+is the mean over its tokens of the target model's loss minus that of the background model: the lower, the
+more the document is like the target.
 
-Counts cover all documents. The shared vocabulary is the ``VOCABULARY`` most frequent words of the
-background (ties by the word); other words are one unknown word. Word counts are combined by key over
-the cluster. Bigrams of the vocabulary fall into ``CLASSES`` classes by a hash; every task adds up its
-part and sends the classes that it met. Both models have a size bounded by these parameters, so they
-are broadcast, and documents are scored in one pass without a shuffle.
+Counts are exact and cover all documents: every word of the corpus and every pair of a word and the word
+before it. A model gives ``BIGRAM`` times the share of the pair among the pairs of its first word, plus the
+rest times the share of the word, to whose count ``ADD`` is added; after a word that the model has not
+seen before another, the share of the word alone. So its probabilities of the corpus' words sum to one.
+
+Neither model is held anywhere as a whole. Documents are taken in blocks of about ``BLOCK_TOKENS`` tokens.
+A block counts its own words and pairs, deals them out by a hash to as many parts as the corpus needs, and
+a part adds up what all blocks sent: first the words, whose numbers and counts go back to the blocks, then
+the pairs, whose losses go back as sums for each document. A frequent word or pair is sent once by a block,
+however often it occurs there, so none makes a part large.
 
 A null or empty text has no tokens and null losses. Rows that repeat a doc_id count and are scored each;
 a target id that is repeated counts once; a null doc_id is scored and never a target. Without target
@@ -18,144 +23,275 @@ documents the target model is uniform.
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, stored
 from .decontaminate import words
 
-VOCABULARY = 100_000
-CLASSES = 1 << 18
 #: Weight of the bigram in the interpolation, and what is added to each word's count.
 BIGRAM, ADD = 0.6, 0.5
-#: A worker sends its word counts on when it holds so many different words.
-HELD_WORDS = 500_000
-
-
-def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[bool, Counter] = {True: Counter(), False: Counter()}
-
-    def sent() -> pd.DataFrame:
-        out = pd.DataFrame([(w, n if t else 0, n) for t, c in held.items() for w, n in c.items()], columns=["word", "target", "background"])
-        held[True], held[False] = Counter(), Counter()
-        return out
-
-    for pdf in batches:
-        for text, target in zip(pdf["text"], pdf["target"], strict=True):
-            held[bool(target)].update(words(text))
-        if sum(map(len, held.values())) > HELD_WORDS:
-            yield sent()
-    yield sent()
-
-
-class Vocabulary:
-    """Numbers of words; 0 is the unknown word, ``start`` stands before the first word."""
-
-    def __init__(self, known: list[bytes]):
-        self.index = {w: i for i, w in enumerate(known, 1)}
-        self.size = len(known) + 1
-        self.start = self.size
-
-    def number(self, text: str | None) -> np.ndarray:
-        get = self.index.get
-        return np.array([get(w, 0) for w in words(text)], np.int64)
-
-    def classes(self, ids: np.ndarray) -> np.ndarray:
-        """The class of each word with the word before it."""
-        before = np.concatenate(([self.start], ids[:-1])).astype(np.uint64)
-        mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ ((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
-        mixed ^= mixed >> np.uint64(31)
-        return ((mixed * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)).astype(np.int64) % CLASSES
-
-
-def _class_counts(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = shared.value
-        counts = np.zeros((2, CLASSES), np.int64)
-        contexts = np.zeros((2, vocabulary.size + 1), np.int64)
-        for pdf in batches:
-            for text, target in zip(pdf["text"], pdf["target"], strict=True):
-                ids = vocabulary.number(text)
-                if len(ids):
-                    before = np.concatenate(([vocabulary.start], ids[:-1]))
-                    for k in (0, 1) if target else (1,):
-                        np.add.at(counts[k], vocabulary.classes(ids), 1)
-                        np.add.at(contexts[k], before, 1)
-        for kind, table in (("class", counts), ("context", contexts)):
-            met = np.flatnonzero(table[1])
-            yield pd.DataFrame({"kind": kind, "slot": met, "target": table[0][met], "background": table[1][met]})
+#: Tokens of a block of documents, except that a longer text is a block of its own.
+BLOCK_TOKENS = 2_000_000
+#: Words that blocks send to one part, and tokens whose pairs they send to one part, on average.
+PART_WORDS, PART_TOKENS = 500_000, 4_000_000
+#: Number of what stands before the first word; those of words are below.
+START = (1 << 32) - 1
+
+_BLOCKS = "block long, n_tokens long, n_target long, n_docs long, n_target_docs long, n_words long, head binary, tokens binary, words binary"
+_SENT = "block long, part long, payload binary"
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays, their bytes sorted by place and compressed."""
+    out = []
+    for x in arrays:
+        raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+        out.append((x.dtype.str, len(x), pa.compress(raw, "zstd", asbytes=True) if raw else b""))
+    return pickle.dumps(out)
+
+
+def _unpacked(payload: bytes) -> list[np.ndarray]:
+    out = []
+    for kind, n, data in pickle.loads(payload):
+        width = np.dtype(kind).itemsize
+        raw = np.frombuffer(pa.decompress(data, n * width, "zstd", asbytes=True) if n else b"", np.uint8)
+        out.append(np.ascontiguousarray(raw.reshape(width, n).T).reshape(-1).view(kind))
+    return out
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _runs(sizes: np.ndarray) -> list[tuple[int, int]]:
+    ends = np.cumsum(sizes)
+    return list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+
+
+def _table(rows: list[tuple], *kinds: tuple[str, pa.DataType]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.table([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    return _table(rows, ("block", pa.int64()), ("part", pa.int64()), ("payload", pa.binary()))
+
+
+def _blocks(block_tokens: int):
+    """Documents in blocks, their words numbered within the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        made = 0
+
+        def fresh() -> tuple[defaultdict, list, list]:
+            index: defaultdict = defaultdict()
+            index.default_factory = index.__len__
+            return index, [], []
+
+        def block() -> pa.RecordBatch:
+            ids = np.concatenate([t for t, _, _ in held])
+            sizes = np.array([len(t) for t, _, _ in held], np.int64)
+            target = np.array([t for _, _, t in held], bool)
+            known = np.array([d is not None for _, d, _ in held], bool)
+            doc_ids = np.array([d or 0 for _, d, _ in held], np.int64)
+            last = ids[np.cumsum(sizes)[sizes > 0] - 1]
+            count = lambda x: np.bincount(x, minlength=len(index)).astype(np.int64)
+            all_, of_target = count(ids), count(ids[np.repeat(target, sizes)])
+            before, target_before = all_ - count(last), of_target - count(last[target[sizes > 0]])
+            text = np.frombuffer(b" ".join(index), np.uint8)
+            row = (
+                first + made, len(ids), int(sizes[target].sum()), int((sizes > 0).sum()), int(((sizes > 0) & target).sum()), len(index),
+                _packed(doc_ids, known, _narrow(sizes)), _packed(_narrow(ids), _narrow(sizes), target), _packed(text, *map(_narrow, (of_target, all_, target_before, before))),
+            )
+            kinds = [("block", pa.int64()), ("n_tokens", pa.int64()), ("n_target", pa.int64()), ("n_docs", pa.int64()), ("n_target_docs", pa.int64()), ("n_words", pa.int64()), ("head", pa.binary()), ("tokens", pa.binary()), ("words", pa.binary())]
+            return _table([row], *kinds).to_batches()[0]
+
+        index, held, size = *fresh()[:2], 0
+        for batch in batches:
+            for doc_id, text, target in zip(batch["doc_id"].to_pylist(), batch["text"], batch["target"].to_pylist(), strict=True):
+                ids = np.fromiter(map(index.__getitem__, words(text.as_py())), np.int64)
+                held.append((ids.astype(np.int32), doc_id, target))
+                size += len(ids)
+                if size >= block_tokens:
+                    yield block()
+                    made += 1
+                    index, held, size = *fresh()[:2], 0
+        if held:
+            yield block()
 
     return run
 
 
-@dataclass
-class Models:
-    """Per-token losses of both models over one vocabulary."""
-
-    vocabulary: Vocabulary
-    words: np.ndarray  # (2, vocabulary): counts of the target and the background
-    classes: np.ndarray  # (2, CLASSES)
-    contexts: np.ndarray  # (2, vocabulary and start)
-
-    def __post_init__(self):
-        smooth = self.words + ADD
-        self.unigram = smooth / smooth.sum(axis=1, keepdims=True)
-
-    def losses(self, text: str | None) -> tuple[int, float | None, float | None]:
-        """Number of tokens, and the mean loss of each model in nats."""
-        ids = self.vocabulary.number(text)
-        if not len(ids):
-            return 0, None, None
-        before = np.concatenate(([self.vocabulary.start], ids[:-1]))
-        seen, context = self.classes[:, self.vocabulary.classes(ids)], self.contexts[:, before]
-        # Other contexts share a class, so its count is at most that of the context.
-        bigram = np.minimum(seen, context) / np.maximum(context, 1)
-        p = BIGRAM * bigram + (1 - BIGRAM) * self.unigram[:, ids]
-        target, background = -np.log(p).mean(axis=1)
-        return len(ids), float(target), float(background)
-
-
-def _table(rows: list, width: int) -> np.ndarray:
-    out = np.zeros((2, width), np.int64)
-    for r in rows:
-        out[0, r["slot"]], out[1, r["slot"]] = r["target"], r["background"]
-    return out
+def _deal_words(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch["block"].to_pylist(), batch["words"], strict=True):
+                text, *counts = _unpacked(payload.as_py())
+                found = text.tobytes().split()
+                if not found:
+                    continue
+                part = np.array(list(map(xxhash.xxh3_64_intdigest, found)), np.uint64) % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                rows = []
+                for k, (a, b) in enumerate(_runs(np.bincount(part.astype(np.int64), minlength=parts))):
+                    if b > a:
+                        of = order[a:b]
+                        some = np.frombuffer(b" ".join([found[i] for i in of.tolist()]), np.uint8)
+                        rows.append((block, k, _packed(_steps(of), some, *(c[of] for c in counts))))
+                yield from _sent(rows).to_batches()
 
+    return run
 
-def estimate(docs: DataFrame, target_ids: DataFrame) -> Models:
-    """The models of ``docs(doc_id, text)``, the target being the rows whose id is in ``target_ids``."""
-    spark = docs.sparkSession
-    ids = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(stored(ids, "targets")), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    every = marked.mapInPandas(_word_counts, "word binary, target long, background long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    every = stored(every, "words")
-    top = every.orderBy(F.desc("background"), "word").limit(VOCABULARY).collect()
-    rest = every.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
-    counts = np.array([[r["target"] for r in top], [r["background"] for r in top]], np.int64).reshape(2, len(top))
-    vocabulary = Vocabulary([bytes(r["word"]) for r in top])
-    table = np.concatenate([np.array([[rest[0]], [rest[1]]]) - counts.sum(axis=1, keepdims=True), counts], axis=1)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    slots = marked.mapInPandas(_class_counts(shared), "kind string, slot long, target long, background long").groupBy("kind", "slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    slots = stored(slots, "classes")
-    found = {k: slots.where(F.col("kind") == k).collect() for k in ("class", "context")}  # bounded by the parameters
-    return Models(vocabulary, table, _table(found["class"], CLASSES), _table(found["context"], vocabulary.size + 1))
 
+def _count_words(parts: int):
+    """For one part of the words: their numbers and counts in the corpus, as each block needs them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        got = [_unpacked(p) for p in table["payload"].to_pylist()]
+        found = [w for x in got for w in x[1].tobytes().split()]
+        coded = pa.array(found, pa.binary()).dictionary_encode()
+        at, n = coded.indices.to_numpy(), len(coded.dictionary)
+        if n * parts >= START:
+            raise ValueError(f"{n} words in each of {parts} parts are more than can be numbered")
+        totals = []
+        for k in range(2, 6):
+            total = np.zeros(n, np.int64)
+            np.add.at(total, at, np.concatenate([x[k] for x in got]).astype(np.int64))
+            totals.append(total)
+        rows = []
+        for i, (block, x, (a, b)) in enumerate(zip(table["block"].to_pylist(), got, _runs(np.array([len(x[0]) for x in got])), strict=True)):
+            some = at[a:b]
+            rows.append((block, part, _packed(x[0], _narrow(some.astype(np.int64) * parts + part), *(_narrow(t[some]) for t in totals)), 0 if i else n))
+        return _table(rows, ("block", pa.int64()), ("part", pa.int64()), ("payload", pa.binary()), ("n_words", pa.int64()))
 
-def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, difference for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(estimate(docs, target_ids))
+    return run
+
+
+def _deal_pairs(parts: int, starts: tuple[int, int]):
+    """The pairs of a block with the counts of their words, and the documents that have them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, known, tokens = table["block"][0].as_py(), [], None
+        for part, payload in zip(table["part"].to_pylist(), table["payload"], strict=True):
+            if part < 0:
+                tokens = _unpacked(payload.as_py())
+            else:
+                known.append(_unpacked(payload.as_py()))
+        if not known:
+            return _sent([])
+        ids, sizes, target = tokens[0].astype(np.int64), tokens[1].astype(np.int64), tokens[2]
+        local = np.concatenate([np.cumsum(x[0]) for x in known])
+        number, of_target, of_all, target_before, before = (np.zeros(len(local) + 1, np.int64) for _ in range(5))
+        for k, x in enumerate((number, of_target, of_all, target_before, before), 1):
+            x[local] = np.concatenate([y[k] for y in known])
+        number[-1], target_before[-1], before[-1] = START, *starts
+        previous = np.empty_like(ids)
+        previous[1:] = ids[:-1]
+        previous[(np.cumsum(sizes) - sizes)[sizes > 0]] = len(local)
+        key = (number[previous].astype(np.uint64) << np.uint64(32)) | number[ids].astype(np.uint64)
+        order = np.argsort(key, kind="stable")  # documents ascend within a pair
+        key, doc = key[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+        new_key = np.append(True, key[1:] != key[:-1])
+        entry = np.flatnonzero(new_key | np.append(True, doc[1:] != doc[:-1]))
+        n = np.diff(entry, append=len(key))
+        doc = doc[entry]
+        at = np.flatnonzero(new_key[entry])
+        docs = np.diff(at, append=len(entry))
+        n_target = np.add.reduceat(np.where(target[doc], n, 0), at)
+        place = order[entry[at]]
+        key, word, context = key[entry[at]], ids[place], previous[place]
+        mixed = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        part = (((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % parts
+        by_part, entries = np.argsort(part, kind="stable"), np.argsort(np.repeat(part, docs), kind="stable")
+        rows = []
+        ranges = zip(_runs(np.bincount(part, minlength=parts)), _runs(np.bincount(part, weights=docs, minlength=parts).astype(np.int64)), strict=True)
+        for k, ((a, b), (c, d)) in enumerate(ranges):
+            if b > a:
+                s, e = by_part[a:b], entries[c:d]
+                counts = n_target[s], of_target[word[s]], of_all[word[s]], target_before[context[s]], before[context[s]]
+                rows.append((block, k, _packed(_steps(key[s]), *map(_narrow, (docs[s], *counts, doc[e], n[e])))))
+        return _sent(rows)
+
+    return run
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = shared.value
-        for pdf in batches:
-            got = [models.losses(x) for x in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": [n for n, _, _ in got], "target_loss": pd.array([t for _, t, _ in got], "Float64"), "background_loss": pd.array([b for _, _, b in got], "Float64")})
 
-    losses = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, target_loss double, background_loss double")
+def _losses(n_words: int, n_target: int, n_tokens: int):
+    """For one part of the pairs: what they add to the losses of each block's documents."""
+
+    def loss(pair: np.ndarray, word: np.ndarray, context: np.ndarray, tokens: int) -> np.ndarray:
+        alone = (word + ADD) / (tokens + ADD * n_words)
+        return -np.log(np.where(context > 0, BIGRAM * pair / np.maximum(context, 1) + (1 - BIGRAM) * alone, alone))
+
+    def run(table: pa.Table) -> pa.Table:
+        part, payloads = table["part"][0].as_py(), table["payload"]
+        keys, targets, alls = [], [], []
+        for payload in payloads:  # what is not counted is unpacked again below, one block at a time
+            steps, docs, in_target, *_, n = _unpacked(payload.as_py())
+            keys.append(np.cumsum(steps))
+            targets.append(in_target)
+            alls.append(np.add.reduceat(n.astype(np.int64), np.cumsum(docs, dtype=np.int64) - docs))
+        sizes = np.array([len(x) for x in keys])
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total_target, total = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        np.add.at(total_target, at, np.concatenate(targets).astype(np.int64))
+        np.add.at(total, at, np.concatenate(alls))
+        rows = []
+        for block, payload, (a, b) in zip(table["block"].to_pylist(), payloads, _runs(sizes), strict=True):
+            _, docs, _, of_target, of_all, target_before, before, doc, n = _unpacked(payload.as_py())
+            here = np.unique(doc)
+            slot = np.searchsorted(here, doc)
+            sums = []
+            for pair, word, context, tokens in ((total_target, of_target, target_before, n_target), (total, of_all, before, n_tokens)):
+                each = np.repeat(loss(pair[at[a:b]], word.astype(np.int64), context.astype(np.int64), tokens), docs)
+                sums.append(np.bincount(slot, weights=each * n, minlength=len(here)))
+            rows.append((block, part, _packed(_steps(here), *sums)))
+        return _sent(rows)
+
+    return run
+
+
+def _scores(table: pa.Table) -> pa.Table:
+    """The mean losses of a block's documents."""
+    sent = dict(zip(table["part"].to_pylist(), table["payload"].to_pylist(), strict=True))
+    doc_ids, known, sizes = _unpacked(sent.pop(-1))
+    sums = np.zeros((2, len(sizes)))
+    for _, payload in sorted(sent.items()):
+        steps, target, background = _unpacked(payload)
+        here = np.cumsum(steps, dtype=np.int64)
+        sums[0, here] += target
+        sums[1, here] += background
+    means = sums / np.maximum(sizes, 1)
+    none = sizes == 0
+    return pa.table({"doc_id": pa.array(doc_ids, mask=~known), "n_tokens": sizes.astype(np.int64), "target_loss": pa.array(means[0], mask=none), "background_loss": pa.array(means[1], mask=none)})
+
+
+def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, difference for every row of ``docs``, the target being the rows whose id is in ``target_ids``."""
+    ids = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(stored(ids, "targets")), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    blocks = stored(marked.mapInArrow(_blocks(BLOCK_TOKENS), _BLOCKS), "blocks")
+    n_tokens, n_target, n_docs, n_target_docs, n_sent = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_target", "n_docs", "n_target_docs", "n_words"))).first()
+    parts = n_sent // PART_WORDS + 1
+    dealt = blocks.select("block", "words").mapInArrow(_deal_words(parts), _SENT)
+    known = stored(dealt.groupBy("part").applyInArrow(_count_words(parts), _SENT + ", n_words long"), "words")
+    n_words = known.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    of_block = lambda payload: blocks.select("block", F.lit(-1).cast("long").alias("part"), F.col(payload).alias("payload"))
+    pairs = of_block("tokens").union(known.drop("n_words")).groupBy("block").applyInArrow(_deal_pairs(n_tokens // PART_TOKENS + 1, (n_target_docs, n_docs)), _SENT)
+    sums = pairs.groupBy("part").applyInArrow(_losses(n_words, n_target, n_tokens), _SENT)
+    losses = of_block("head").union(sums).groupBy("block").applyInArrow(_scores, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return losses.withColumn("difference", F.round(F.col("target_loss") - F.col("background_loss"), 6)).withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss")})

@@ -6,10 +6,11 @@ give no blocks. The token streams of a host's pages are concatenated, with a mar
 page, into a suffix array (prefix doubling; common prefixes of neighbours from the ranks of all doublings).
 Runs of at least ``MIN_TOKENS`` tokens found on ``MIN_PAGES`` pages of different content are repeated.
 
-A block goes when the markup calls it boilerplate, or when repeated runs cover most of it and it lies
-outside of an article. Where a page has an article, blocks outside of it go; where it has none, the blocks
-that remain, the unique runs, are its text. Inside an article repeats are counted but stay: articles quote
-one another and are copied whole, and the text of an article has to come out whole.
+A block goes when the markup calls it boilerplate. Of the others repeats decide: outside of an article a
+block goes when repeated runs cover most of it, whether the page has an article or not; inside of one, when
+the runs that cover most of it are on ``WIDE_SHARE`` of the host's different pages and on ``WIDE_PAGES`` at
+least. Other repeats inside an article are counted but stay: articles quote one another and are copied
+whole, and the text of an article has to come out whole.
 
 A host of more than ``ARRAY_PAGES`` pages gets several arrays, its pages dealt by a hash: what is
 boilerplate stands on pages of each of them. No page is left out and no text shortened.
@@ -36,6 +37,8 @@ MIN_TOKENS, MIN_PAGES = 5, 3
 ARRAY_PAGES = 128
 #: Share of a block's tokens that repeated runs must cover.
 COVERED = 0.5
+#: Share of a host's contents, and how many of them at least, that runs of a block inside an article must be on.
+WIDE_SHARE, WIDE_PAGES = 0.5, 10
 
 MAIN, BOILERPLATE, PLAIN = 0, 1, 2
 
@@ -165,20 +168,23 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, shared
 
 
-def repeated(tokens: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """Which tokens lie in repeated runs; ``content`` numbers the content of each token's page."""
+def repeated(tokens: np.ndarray, content: np.ndarray, *least: int) -> list[np.ndarray]:
+    """Which tokens lie in runs on at least so many contents, for each of ``least``; ``content`` numbers the content of each token's page."""
     n = len(tokens)
     if n < MIN_TOKENS:
-        return np.zeros(n, bool)
+        return [np.zeros(n, bool) for _ in least]
     order, shared = suffix_array(tokens, 1 << (MIN_TOKENS - 1).bit_length())
     group = np.concatenate(([0], np.cumsum(shared < MIN_TOKENS)))
     pages = np.unique(np.column_stack([group, content[order]]), axis=0)[:, 0]
-    several = np.bincount(pages, minlength=group[-1] + 1) >= MIN_PAGES
-    starts = order[several[group]]
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + MIN_TOKENS, n), -1)
-    return np.cumsum(edge)[:n] > 0
+    several = np.bincount(pages, minlength=group[-1] + 1)[group]
+    out = []
+    for k in least:
+        starts = order[several >= k]
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, np.minimum(starts + MIN_TOKENS, n), -1)
+        out.append(np.cumsum(edge)[:n] > 0)
+    return out
 
 
 def main_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
@@ -202,17 +208,16 @@ def main_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
     block = np.array(block_of, np.int64)
     marks = np.flatnonzero(block < 0)
     tokens[marks] = tokens.max(initial=0) + 1 + np.arange(len(marks))
-    covered = repeated(tokens, np.array(page_of, np.int64))
+    covered, wide = repeated(tokens, np.array(page_of, np.int64), MIN_PAGES, max(WIDE_PAGES, int(np.ceil(WIDE_SHARE * len(contents)))))
     inside = block >= 0
     total = np.bincount(block[inside], minlength=n_blocks)
-    share = np.bincount(block[inside], weights=covered[inside], minlength=n_blocks) / np.maximum(total, 1)
+    share, wide_share = (np.bincount(block[inside], weights=x[inside], minlength=n_blocks) / np.maximum(total, 1) for x in (covered, wide))
     out, k = [], 0
     for page in pages:
-        has_article = any(role == MAIN for role, _ in page)
         kept, n_repeated = [], 0
         for role, text in page:
             n_repeated += round(share[k] * total[k])
-            if role == MAIN or role == PLAIN and not has_article and share[k] < COVERED:
+            if role == MAIN and wide_share[k] < COVERED or role == PLAIN and share[k] < COVERED:
                 kept.append(text)
             k += 1
         out.append(("\n\n".join(kept), n_repeated))

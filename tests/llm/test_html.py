@@ -63,3 +63,16 @@ def test_repeats_of_a_host_go(spark):
     assert all(texts[i] == want[i] for i in want)
     assert texts[100] == "lone" and texts[101] == "" and texts[None] == "x"
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_repeats_decide_in_and_beside_an_article():
+    rnd = random.Random(4)
+    sentence = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    foot, offer, quoted = sentence(9), sentence(12), sentence(30)
+    pages, want = [], []
+    for i in range(40):
+        lead, body = sentence(15), sentence(25)
+        inside = [body, quoted] if i in (3, 8, 9, 20) else [body]
+        pages.append(f"<p>{lead}</p><article>" + "".join(f"<p>{x}</p>" for x in inside) + (f"<p>{offer}</p>" if i % 4 else "") + f"</article><p>{foot}</p>")
+        want.append("\n\n".join([lead, *inside]))
+    assert [t for t, _ in html.main_texts([html.blocks(p) for p in pages])] == want

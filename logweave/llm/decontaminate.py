@@ -10,7 +10,8 @@ The automaton is broadcast. Its size is checked: the items are taken in slices o
 automata one after the other in the same tasks, without a shuffle.
 
 A null or empty text has no words and no hits; an item without words has no window; items that repeat a
-text are each reported, items that repeat an id count once; a null item_id is not reported. Repeated
+text are each reported, items that repeat an id count once; the text of an item with a null item_id is
+looked for like any other, but the item is not among those listed. Repeated
 documents are each reported; a null doc_id is kept. Other columns are ignored by ``scan`` and kept by
 ``drop_contaminated``.
 """
@@ -38,7 +39,7 @@ _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
 TO_WORDS = bytes(c if c >= 0x80 or c in _WORD else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-Items = list[tuple[str, str]]
+Items = list[tuple[str | None, str]]
 
 
 def words(text: str | None) -> list[bytes]:
@@ -54,7 +55,7 @@ def build(items: Items):
         w = words(text)
         for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
             piece = w[i : i + WINDOW]
-            windows.setdefault(b" " + b" ".join(piece) + b" ", (len(piece), set()))[1].add(item_id)
+            windows.setdefault(b" " + b" ".join(piece) + b" ", (len(piece), set()))[1].update(() if item_id is None else (item_id,))
     if not windows:
         return None
     found = ahocorasick.Automaton()
@@ -128,12 +129,12 @@ class _Slice:
 
 
 def _slices(benchmark: DataFrame) -> list[Items]:
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = total // SLICE_BYTES + 1
     if n > MAX_SLICES:
         raise ValueError(f"the benchmark has {total} characters; {MAX_SLICES * SLICE_BYTES} can be taken")
-    return [sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()) for k in range(n)]
+    return [sorted(((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()), key=lambda x: (x[0] or "", x[1])) for k in range(n)]
 
 
 SCAN = "doc_id long, text string, n_words long, ranges array<struct<a:int,b:int>>, items array<string>"

@@ -64,3 +64,14 @@ def test_offsets_in_the_original():
     n, ranges, items = d.hits(d.build([("a", "big tree”")]), text)
     (s, e), = d.in_original(text, ranges)
     assert text[s:e] == "BIG   tree”" and items == {"a"} and n == 5
+
+
+def test_items_without_an_id_are_looked_for(spark, monkeypatch):
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"so {passage} it is"), (2, "clean words alone"), (3, f"{passage} and big trees")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (7, "Big trees"), (None, None)], "item_id long, text string")
+    for size in (10**6, 30):
+        monkeypatch.setattr(d, "SLICE_BYTES", size)
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in d.report(docs, bench).collect()}
+        assert got == {1: (11, 0, True), 2: (0, 0, False), 3: (13, 1, True)}
+        assert [r["doc_id"] for r in d.drop_contaminated(docs, bench).collect()] == [2]

@@ -1,6 +1,6 @@
-"""python -m logweave chunk|embed|project|search: thin commands over the library's functions.
+"""python -m logweave load|chunk|embed|project|search: thin commands over the library's jobs.
 
-Tables are Parquet folders in one warehouse: messages, users, attachments, chunks, chunk_texts, vectors.
+Tables are versions of Parquet folders in one warehouse; the log of messages is a folder that grows.
 """
 
 from __future__ import annotations
@@ -9,78 +9,63 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from . import session
+from . import runs, session
 from .functions import rendering as R
-from .operators import chunking, merge, projection, search
+from .operators import projection, search
 from .sources import glxy
+from .warehouse import Warehouse
 
 
-def _messages(spark, root: str, guild: int | None, channel: int | None):
-    log = spark.read.parquet(f"{root}/messages")
-    if guild is not None:
-        log = log.where(F.col("guild_id") == guild)
-    if channel is not None:
-        log = log.where(F.col("channel_id") == channel)
-    files = spark.read.parquet(f"{root}/attachments").groupBy("message_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("attachment_id", "filename"))), lambda x: x["filename"]).alias("filenames"))
-    names = spark.read.parquet(f"{root}/users").select(F.col("user_id").alias("author_id"), "username")
-    told = log.join(files, "message_id", "left").join(names, "author_id", "left").withColumn("line", R.message_text("username", "author_id", "created_at", "content", "filenames", "embeds"))
-    return told.withColumns({"cost": R.message_cost("line"), "created_s": F.unix_micros("created_at") / 1e6, "ref_id": F.col("referenced_message_id"), "has_attachments": F.col("filenames").isNotNull()})
+def load(wh: Warehouse, pages: str, guild: int | None = None) -> int:
+    """Saved pages of messages, a JSON object a line, into the tables, and what is new of them into the log."""
+    raw = wh.spark.read.text(pages).select(F.col("value").alias("raw"))
+    n = runs.persist_messages(wh, raw, guild)
+    ids = raw.select(F.get_json_object("raw", "$.id").cast("bigint").alias("message_id")).distinct()
+    told = rendered(wh).join(ids, "message_id", "left_semi")
+    if wh.has("chunking_checkpoints"):  # the log only goes on, as its readers never look behind their checkpoint
+        told = told.join(wh.read("chunking_checkpoints"), "channel_id", "left").where("last_message_id is null or message_id > last_message_id").drop("last_message_id")
+    told.write.mode("append").parquet(f"{wh.root}/log")
+    return n
 
 
-def chunk(spark, root: str, guild: int | None = None, channel: int | None = None) -> None:
-    """All three kinds of chunks and their texts, written by type."""
-    log = _messages(spark, root, guild, channel)
-    owner = log.select("channel_id", "guild_id").distinct()
-    made = {"sliding_window": chunking.sliding_windows(log), "author_group": chunking.author_groups(log), "reply_chain": chunking.reply_chains(log).withColumns({"chunk_state": F.lit("closed"), "start_message_id": F.element_at("message_ids", 1)})}
-    for kind, chunks in made.items():
-        anchor = "leaf_message_id" if kind == "reply_chain" else "start_message_id"
-        rows = chunks.withColumn("chunk_type", F.lit(kind)).join(owner, "channel_id").withColumn("chunk_id", F.xxhash64(F.lit(kind), "channel_id", anchor)).withColumn("embedding_status", F.lit("pending"))
-        described = chunking.describe(rows.select("chunk_id", "chunk_type", "guild_id", "channel_id", "message_ids", "chunk_state", "embedding_status"), log)
-        described.write.mode("overwrite").parquet(f"{root}/chunks/kind={kind}")
-        texts = chunking.texts(rows, log, ["chunk_id"], reply_chain=kind == "reply_chain")
-        texts.withColumn("token_count", R.count_tokens("text")).write.mode("overwrite").parquet(f"{root}/chunk_texts/kind={kind}")
+def rendered(wh: Warehouse):
+    """Messages with what the chunkers read."""
+    files = wh.read("attachments").groupBy("message_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("attachment_id", "filename"))), lambda x: x["filename"]).alias("filenames"))
+    names = wh.read("users").select(F.col("user_id").alias("author_id"), "username")
+    told = wh.read("messages").join(files, "message_id", "left").join(names, "author_id", "left").withColumn("line", R.message_text("username", "author_id", "created_at", "content", "filenames", "embeds"))
+    told = told.withColumns({"cost": R.message_cost("line"), "created_s": F.unix_micros("created_at") / 1e6, "ref_id": F.col("referenced_message_id"), "has_attachments": F.col("filenames").isNotNull()})
+    return told.select("message_id", "channel_id", "guild_id", "author_id", "type", "ref_id", "content", "created_s", "mentions", "has_attachments", "line", "cost")
 
 
-def embed(spark, root: str, guild: int | None = None, channel: int | None = None) -> None:
-    """Pending chunks with texts to vectors, in batches of similar length; vectors are upserted by chunk."""
-    chunks = spark.read.parquet(f"{root}/chunks").where("embedding_status = 'pending'")
-    chunks = chunks if guild is None else chunks.where(F.col("guild_id") == guild)
-    chunks = chunks if channel is None else chunks.where(F.col("channel_id") == channel)
-    rows = chunks.join(spark.read.parquet(f"{root}/chunk_texts").select("chunk_id", "text", "token_count"), "chunk_id").where(F.col("token_count") <= chunking.HARD_COST)
-    ranged = rows.repartitionByRange("token_count", "chunk_id").sortWithinPartitions("token_count", "chunk_id")
-    vectors = ranged.select("chunk_id", "guild_id", "channel_id", "author_ids", F.timestamp_seconds("first_message_s").alias("first_message_at"), F.timestamp_seconds("last_message_s").alias("last_message_at"), search.hashing_encoder()("text").alias("vector"))
-    target = f"{root}/vectors"
-    try:
-        old = spark.read.parquet(target)
-    except Exception as e:  # the first run
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = vectors.limit(0)
-    merge.update_all(old, vectors.withColumn("seq", F.lit(1)), ["chunk_id"], ["seq"]).write.mode("overwrite").parquet(f"{target}.next")
-    spark.read.parquet(f"{target}.next").write.mode("overwrite").parquet(target)
-
-
-def project(spark, root: str) -> None:
+def project(wh: Warehouse) -> None:
     """The layout of all vectors as a table of point clouds."""
-    glxy.write(projection.layout(spark.read.parquet(f"{root}/vectors")), f"{root}/projections")
+    glxy.write(projection.layout(wh.read("vectors")), f"{wh.root}/projections")
 
 
 def main() -> None:
     p = argparse.ArgumentParser(prog="logweave")
-    p.add_argument("command", choices=("chunk", "embed", "project", "search"))
+    p.add_argument("command", choices=("load", "chunk", "embed", "project", "search"))
     p.add_argument("--warehouse", default="warehouse")
-    p.add_argument("--guild-id", type=int)
-    p.add_argument("--channel-id", type=int)
-    p.add_argument("--query", default="")
+    p.add_argument("--pages", default="pages")
+    for name in ("guild-id", "channel-id", "author-id"):
+        p.add_argument(f"--{name}", type=int)
+    for name in ("after", "before", "query", "instruction"):
+        p.add_argument(f"--{name}")
+    p.add_argument("--limit", type=int, default=20)
+    p.add_argument("--include-text", action="store_true")
     a = p.parse_args()
     spark = session.create()
-    if a.command in ("chunk", "embed"):
-        {"chunk": chunk, "embed": embed}[a.command](spark, a.warehouse, a.guild_id, a.channel_id)
+    wh = Warehouse(spark, a.warehouse)
+    if a.command == "load":
+        print(load(wh, a.pages, a.guild_id))
+    elif a.command in ("chunk", "embed"):
+        print({"chunk": runs.chunk, "embed": runs.embed}[a.command](wh))
     elif a.command == "project":
-        project(spark, a.warehouse)
+        project(wh)
     else:
-        asked = spark.createDataFrame([(a.query,)], "text string").select(search.hashing_encoder()("text").alias("v")).head()["v"]
-        search.top_k(spark.read.parquet(f"{a.warehouse}/vectors"), asked, guild_ids=[a.guild_id] if a.guild_id else None, channel_id=a.channel_id).show(truncate=False)
+        asked = spark.createDataFrame([(a.query or "",)], "text string").select(search.hashing_encoder(instruction=a.instruction or "")("text").alias("v")).head()["v"]
+        texts = wh.read("chunk_texts") if a.include_text else None
+        runs.semantic_search(wh.read("vectors"), asked, a.limit, texts=texts, guild_id=a.guild_id, channel_id=a.channel_id, author_id=a.author_id, after=a.after, before=a.before).show(truncate=False)
 
 
 if __name__ == "__main__":

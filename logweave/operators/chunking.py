@@ -7,10 +7,13 @@ that costs more than ``HARD_COST``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import segments as S
+from .storage import stored
 
 SKIPPED_TYPE, HARD_COST = 21, 32_768
 WINDOW = S.Budget(max_cost=500, overlap=0.25, max_overlap=10, hard_cost=HARD_COST)
@@ -50,40 +53,41 @@ def author_sessions(messages: DataFrame, gap_s: int) -> DataFrame:
     return runs.groupBy("channel_id", "author_id", "run").agg(F.min("message_id").alias("start_message_id"), F.max("message_id").alias("end_message_id"), F.count("*").alias("n_messages")).drop("run")
 
 
-def reply_walk(messages: DataFrame, max_cost: int = 5000, max_depth: int = 20) -> DataFrame:
-    """leaf, channel_id, message_id, depth, total, ref_id, type, content: the walk from each reply to its ancestors.
+def reply_walk(messages: DataFrame, max_cost: int = 5000, max_depth: int = 20, leaves: DataFrame | None = None) -> DataFrame:
+    """leaf, channel_id, message_id, depth, total, ref_id, type, said: the walk from each reply to its ancestors.
 
-    It ends at ``max_depth`` messages, once ``max_cost`` is reached (that message is kept), at a missing
-    parent, at one of another channel, and where it would come round. One join with the log a level.
+    It begins at all replies, or at those of ``leaves(message_id)``; ends at ``max_depth`` messages, once ``max_cost`` is reached (that message is kept), at a missing
+    parent, at one of another channel, and where it would come round. One join with the log a level, of ids
+    and costs alone; every level is written, so that the plan of a deep walk is as short as that of a flat one.
     """
-    told = messages.select("message_id", "channel_id", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), F.coalesce("type", F.lit(0)).alias("type"), "content", "cost")
-    level = told.where(f"ref_id <> 0 and type <> {SKIPPED_TYPE}").select(F.col("message_id").alias("leaf"), "*", F.lit(1).alias("depth"), F.col("cost").alias("total"), F.array("message_id").alias("path")).drop("cost")
-    parents = told.select(F.col("message_id").alias("p_id"), F.col("channel_id").alias("channel_id"), F.col("ref_id").alias("p_ref"), F.col("type").alias("p_type"), F.col("content").alias("p_content"), F.col("cost").alias("p_cost"))
-    every = level
-    for _ in range(max_depth - 1):
-        up = level.where((F.col("total") < max_cost) & (F.col("ref_id") != 0))
-        joined = up.join(parents, (up["ref_id"] == parents["p_id"]) & (up["channel_id"] == parents["channel_id"]))
-        level = joined.where(~F.array_contains("path", F.col("p_id"))).select(
-            "leaf", F.col("p_id").alias("message_id"), up["channel_id"], F.col("p_ref").alias("ref_id"), F.col("p_type").alias("type"), F.col("p_content").alias("content"), (F.col("depth") + 1).alias("depth"), (F.col("total") + F.col("p_cost")).alias("total"), F.concat("path", F.array("p_id")).alias("path")
-        ).persist()  # read by the next level, the test below and the union
+    said = F.coalesce(F.length("content"), F.lit(0)) > 0
+    told = stored(messages.select("message_id", "channel_id", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), F.coalesce("type", F.lit(0)).alias("type"), said.alias("said"), "cost"), "replies")
+    first = told.where(f"ref_id <> 0 and type <> {SKIPPED_TYPE}")
+    first = first if leaves is None else first.join(leaves.select("message_id"), "message_id", "left_semi")
+    levels = [stored(first.select(F.col("message_id").alias("leaf"), "channel_id", "message_id", F.lit(1).alias("depth"), F.col("cost").alias("total"), "ref_id", "type", "said", F.array("message_id").alias("path")), "reply-level")]
+    parents = told.select(F.col("message_id").alias("p_id"), "channel_id", *(F.col(c).alias(f"p_{c}") for c in ("ref_id", "type", "said", "cost")))
+    while len(levels) < max_depth:
+        up = levels[-1].where(f"total < {max_cost} and ref_id <> 0").withColumnRenamed("ref_id", "p_id").select("p_id", "channel_id", "leaf", "depth", "total", "path")
+        met = up.join(parents, ["p_id", "channel_id"]).where(~F.array_contains("path", F.col("p_id")))
+        level = stored(met.select("leaf", "channel_id", F.col("p_id").alias("message_id"), (F.col("depth") + 1).alias("depth"), (F.col("total") + F.col("p_cost")).alias("total"), F.col("p_ref_id").alias("ref_id"), F.col("p_type").alias("type"), F.col("p_said").alias("said"), F.concat("path", F.array("p_id")).alias("path")), "reply-level")
         if level.isEmpty():
             break
-        every = every.unionByName(level)
-    return every.drop("path")
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels).drop("path")
 
 
-def reply_chains(messages: DataFrame, max_cost: int = 5000, max_depth: int = 20) -> DataFrame:
+def reply_chains(messages: DataFrame, max_cost: int = 5000, max_depth: int = 20, leaves: DataFrame | None = None) -> DataFrame:
     """leaf_message_id, channel_id, message_ids (root first), n_messages, cross_channel_ref.
 
     A chain that costs more than HARD_COST is left out, skipped types leave their chains after the limits
     were applied, and a chain without any content is none.
     """
-    walk = reply_walk(messages, max_cost, max_depth)
+    walk = reply_walk(messages, max_cost, max_depth, leaves)
     kept = F.when(F.col("type") != SKIPPED_TYPE, F.struct("depth", "message_id"))
     chains = walk.groupBy("leaf", "channel_id").agg(
         F.max("total").alias("total"),
         F.sort_array(F.collect_list(kept), asc=False).alias("steps"),
-        F.bool_or((F.col("type") != SKIPPED_TYPE) & (F.coalesce(F.length("content"), F.lit(0)) > 0)).alias("spoken"),
+        F.bool_or((F.col("type") != SKIPPED_TYPE) & F.col("said")).alias("spoken"),
         F.max_by(F.struct("ref_id", "total"), "depth").alias("end"),
         F.max("depth").alias("depth"),
     )

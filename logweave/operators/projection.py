@@ -7,12 +7,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .segments import numbered
+
 RADIUS, SUBSAMPLE, SEED = 100.0, 1_000_000, 42
 
 
 def subsample(vectors: DataFrame, n: int = SUBSAMPLE) -> DataFrame:
     """At most n rows, the same ones for the same ids: those with the smallest hash."""
-    return vectors.orderBy(F.xxhash64("chunk_id", F.lit(SEED)), "chunk_id").limit(n)
+    if vectors.count() <= n:
+        return vectors
+    ids = numbered(vectors.select("chunk_id", F.xxhash64("chunk_id", F.lit(SEED)).alias("h")), ["h", "chunk_id"])
+    return vectors.join(ids.where(F.col("number") < n).select("chunk_id"), "chunk_id", "left_semi")
 
 
 def mean_vector(vectors: DataFrame) -> DataFrame:
@@ -67,7 +72,5 @@ def bounding_box(points: DataFrame, sampled: int = 10_000) -> DataFrame:
     step = max(1, n // sampled)
     rows = points
     if step > 1:
-        from .segments import numbered
-
         rows = numbered(points, ["chunk_id"]).where(F.pmod(F.col("number"), F.lit(step)) == 0)
     return rows.agg(*[f(c).alias(f"{name}_{c}") for c in "xyz" for name, f in (("min", F.min), ("max", F.max))])

@@ -79,11 +79,17 @@ def with_text(hits: DataFrame, texts: DataFrame, channels: DataFrame) -> DataFra
     return rows.join(channels.select("channel_id", F.col("name").alias("channel_name")), "channel_id", "left").withColumn("preview", F.coalesce(F.substring("text", 1, 150), F.lit("")))
 
 
-def knn_graph(vectors: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+#: Vectors of a block of the exact neighbour search.
+BLOCK_ROWS = 4_000
+
+
+def knn_graph(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """chunk_id, neighbor, distance: the k nearest of each vector, exactly, block against block.
 
-    Each task holds two blocks; only k candidates of each vector and block are sent on.
+    Each task holds two blocks of about ``block_rows``, however many vectors there are; only k candidates of
+    each vector and block are sent on. What is compared grows with the square of the rows.
     """
+    blocks = vectors.count() // block_rows + 1
     block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")
     rows = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), block.alias("b"))
     numbers = F.array(*[F.lit(i) for i in range(blocks)])

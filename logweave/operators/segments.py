@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 @dataclass(frozen=True)
 class Budget:
@@ -119,27 +121,31 @@ def members(placed: DataFrame, found: DataFrame, keys: list[str], order: list[st
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``number``, the rank of each row from 0 over the whole table, without one task for all.
 
-    Rows are dealt by ranges of the order; the driver learns one count for each partition.
+    Rows are dealt by ranges of the order and written, so that they are the same when they are counted and
+    when they are numbered; the driver learns one count for each partition.
     """
+    spark = df.sparkSession
     ordered = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    ordered = ordered.persist()  # the ranges must be the same when counting and when numbering
-    before, start = 0, {}
+    ordered = stored(ordered, "numbered")
+    before, starts = 0, []
     for r in sorted(ordered.groupBy("_part").count().collect()):
-        start[r["_part"]], before = before, before + r["count"]
-    base = F.create_map(*[F.lit(x) for kv in start.items() for x in kv])[F.col("_part")] if start else F.lit(0)
-    return ordered.withColumn("number", (base + F.col("_at")).cast("bigint")).drop("_part", "_at")
+        starts.append((r["_part"], before))
+        before += r["count"]
+    base = F.broadcast(spark.createDataFrame(starts, "_part int, _base bigint"))  # a row for each partition
+    return ordered.join(base, "_part").withColumn("number", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
+
+
+#: Rows of a page of packing (a fixed value).
+PAGE_ROWS = 5000
 
 
-def packed_batches(df: DataFrame, cost: str, tie: str, budget: Budget, page_rows: int | None = None) -> DataFrame:
-    """tie, cost, batch: rows by ascending cost, packed under rows times largest cost.
+def packed_batches(df: DataFrame, cost: str, tie: str, budget: Budget, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """page, tie, cost, batch: rows by ascending cost, packed under rows times largest cost.
 
-    With ``page_rows`` packing begins anew at every page of the whole order, and pages are packed in
-    parallel; without it there is one page and one fold.
+    Packing begins anew at every page of the whole order, and pages are packed in parallel: no fold sees more
+    than ``page_rows`` rows, and at the end of a page there may be one batch that is not full.
     """
     rows = df.select(F.col(tie), F.col(cost).cast("bigint").alias(cost))
-    if page_rows:
-        rows = numbered(rows, [cost, tie]).withColumn("page", F.floor(F.col("number") / page_rows)).drop("number")
-    else:
-        rows = rows.withColumn("page", F.lit(0).cast("bigint"))
+    rows = numbered(rows, [cost, tie]).withColumn("page", F.floor(F.col("number") / page_rows)).drop("number")
     placed = greedy_segments(rows, ["page"], [cost, tie], cost, budget)
     return placed.select("page", tie, cost, F.col("seg_start").alias("batch"))

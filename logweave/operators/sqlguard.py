@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a result that names no limit itself (a fixed value).
 MAX_ROWS = 500
-HAS_LIMIT = re.compile(r"\bLIMIT\s+\d+", re.IGNORECASE)
 
 
 class NotReadOnly(ValueError):
@@ -37,12 +35,20 @@ def _kinds(cls) -> list:
     return found
 
 
+def is_limited(spark: SparkSession, sql: str) -> bool:
+    """Whether the outermost query has a limit; one inside of it, in a text or in a comment is none."""
+    node = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    while node.getClass().getSimpleName() in ("UnresolvedWith", "UnresolvedHint", "GlobalOffset", "Offset"):
+        node = node.children().apply(0)
+    return node.getClass().getSimpleName() in ("GlobalLimit", "LocalLimit")
+
+
 def query(spark: SparkSession, sql: str) -> DataFrame:
-    """The result of a SELECT; without a LIMIT and a number in its text, at most MAX_ROWS rows."""
+    """The result of a SELECT; where it has no LIMIT of its own, at most MAX_ROWS rows."""
     text = sql.strip().rstrip(";").rstrip()
     check_read_only(spark, text)
     out = spark.sql(text)
-    return out if HAS_LIMIT.search(text) else out.limit(MAX_ROWS)
+    return out if is_limited(spark, text) else out.limit(MAX_ROWS)
 
 
 def as_payload(df: DataFrame) -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking as C
 from ..operators import lookups, projection, search, sqlguard
 from ..operators import segments as S
+from ..operators.storage import fresh_dir
 from ..sources import adapters as A
 from ..sources import glxy
 from . import chunking
@@ -69,9 +70,9 @@ def encoded_documents(spark, sf_dir):
 
 
 def embedding_batches_packed(spark, sf_dir):
-    """Documents packed for inference: at most 32 rows, rows times longest at most 8000 tokens."""
+    """Documents packed for inference in pages of 5000: at most 32 rows, rows times longest at most 8000 tokens."""
     packed = S.packed_batches(A.chunk_texts(spark, sf_dir), "token_count", "chunk_id", S.Budget(max_cost=8000, max_rows=32, mode="max"))
-    return packed.groupBy("batch").agg(F.count("*").alias("n"), F.max("token_count").alias("max_tokens"), F.min("chunk_id").alias("min_chunk"))
+    return packed.groupBy("page", "batch").agg(F.count("*").alias("n"), F.max("token_count").alias("max_tokens"), F.min("chunk_id").alias("min_chunk"))
 
 
 def embedding_batches_paged(spark, sf_dir):
@@ -183,27 +184,19 @@ def sql_auto_limit(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, keys, budget):
-    import uuid
-
     from ..streaming import stateful
 
-    root = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    root = fresh_dir(spark, "stream")
     log = A.messages(spark, sf_dir).select("message_id", "channel_id", "author_id", "type", "cost", "created_s")
-    # Three appends by ranges of the id, as a log grows; the stream reads a file a batch, oldest first.
+    # Three appends by ranges of the id, as a log grows; the stream reads the oldest files first.
     lo, hi = log.approxQuantile("message_id", [1 / 3, 2 / 3], 0.01)
     for part in (F.col("message_id") <= lo, (F.col("message_id") > lo) & (F.col("message_id") <= hi), F.col("message_id") > hi):
-        log.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        # A key is in one file of each append, so that its rows come in order whatever file is read first.
+        log.where(part).repartition(8, *keys).sortWithinPartitions("message_id").write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
     return stateful.run_available(spark, stream, keys, budget, root)
 
 
-def _shared(spark) -> str:
-    """The folder the cluster shares; a temporary one only where none is named."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()).rstrip("/")
-
-
 def stream_equals_batch_sliding(spark, sf_dir):
     """Windows from a stream of micro-batches."""
     got = _streamed(spark, sf_dir, ["channel_id"], C.WINDOW)
@@ -231,7 +224,7 @@ SQL = {
     "search_with_text": f"with {_Q}, h as (select * from d order by distance, chunk_id limit 20) select h.chunk_id, h.distance, n_name channel_name, coalesce(substring(text, 1, 150), '') preview from h left join documents on doc_id = h.chunk_id left join nation on n_nationkey = h.ch",
     "knn_graph": "with p as (select a.vec_id i, b.vec_id j, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (cast(z[1] as double) - cast(z[2] as double)) * (cast(z[1] as double) - cast(z[2] as double)))) d from embeddings a join embeddings b on a.vec_id <> b.vec_id), r as (select *, row_number() over (partition by i order by round(d, 6), j) k from p) select i chunk_id, count(*) neighbors, round(sum(round(d, 6)), 6) total_distance from r where k <= 5 group by i",
     "l2_normalize_check": "with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double) * 3.5) v from embeddings), n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) n from v) select vec_id chunk_id, cast(1 as double) norm, round(v[1] / n, 6) as first from n",
-    "embedding_batches_packed": f"with recursive {_PAGES}, n as (select *, g + 1 i from r), f as (select i, doc_id, tok, cast(1 as bigint) s from n where i = 1 union all select n.i, n.doc_id, n.tok, case when (n.i - f.s + 1) * n.tok > 8000 or n.i - f.s + 1 > 32 then n.i else f.s end from f join n on n.i = f.i + 1) select s batch, count(*) n, max(tok) max_tokens, min(doc_id) min_chunk from f group by s",
+    "embedding_batches_packed": f"with recursive {_PAGES}, n as (select *, g//5000 page, g%5000 + 1 i from r), f as (select page, i, doc_id, tok, cast(1 as bigint) s from n where i = 1 union all select n.page, n.i, n.doc_id, n.tok, case when (n.i - f.s + 1) * n.tok > 8000 or n.i - f.s + 1 > 32 then n.i else f.s end from f join n on n.page = f.page and n.i = f.i + 1) select page, s batch, count(*) n, max(tok) max_tokens, min(doc_id) min_chunk from f group by page, s",
     "embedding_batches_paged": f"with recursive {_PAGES}, n as (select *, g//300 page, g%300 + 1 i from r), f as (select page, i, doc_id, tok, cast(1 as bigint) s from n where i = 1 union all select n.page, n.i, n.doc_id, n.tok, case when (n.i - f.s + 1) * n.tok > 8000 or n.i - f.s + 1 > 32 then n.i else f.s end from f join n on n.page = f.page and n.i = f.i + 1) select page, s batch, count(*) n, max(tok) max_tokens, min(doc_id) min_chunk from f group by page, s",
     "chunk_detail": "select doc_id chunk_id, doc_id%25 channel_id, n_name channel_name, text from documents left join nation on n_nationkey = doc_id%25 where doc_id = 42",
     "chunks_by_ids": "select i.chunk_id, (length(text)+3)//4 token_count, i.pos from (values (7, 0), (3, 1), (1000000000, 2), (5, 3)) i(chunk_id, pos) join documents on doc_id = i.chunk_id",

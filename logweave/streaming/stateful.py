@@ -1,6 +1,7 @@
 """The chunkers over a stream: open chunks are state, every batch emits the chunks it changed.
 
-State for a key is the fold of :mod:`logweave.operators.segments`, a few numbers. A row that comes after a
+State for a key is the fold of :mod:`logweave.operators.segments`, a few numbers, and the ids of its open
+segment, which the budget bounds. A row that comes after a
 newer one of its key is left out, as the batch readers never look behind their checkpoint.
 """
 
@@ -17,20 +18,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.chunking import SKIPPED_TYPE
 from ..operators.segments import Budget, Fold
 
-OUT = "key string, seg_start_id bigint, seg_start bigint, seg_end bigint, end_message_id bigint"
-STATE = "position bigint, start bigint, total bigint, largest bigint, last_time double, recent array<bigint>, recent_ids array<bigint>, start_id bigint, newest bigint"
+OUT = "key string, seg_start_id bigint, seg_start bigint, seg_end bigint, end_message_id bigint, message_ids array<bigint>"
+STATE = "position bigint, start bigint, total bigint, largest bigint, last_time double, recent array<bigint>, ids array<bigint>, newest bigint"
 
 
 def _advance(budget: Budget):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids: list[int] = []
         if state.exists:
-            position, start, total, largest, last_time, recent, ids, start_id, newest = state.get
+            position, start, total, largest, last_time, recent, ids, newest = state.get
             fold, ids = Fold(position, start, total, largest, last_time, deque(recent, maxlen=max(budget.max_overlap, 1))), list(ids)
         else:
-            fold, start_id, newest = Fold(), 0, -1
+            fold, newest = Fold(), -1
         changed: dict[int, tuple] = {}
-        last_start = fold.start
         for pdf in batches:
             for r in pdf.sort_values("message_id").itertuples():
                 if r.message_id <= newest:
@@ -39,13 +39,11 @@ def _advance(budget: Budget):
                 got = fold.step(int(r.cost), None if pd.isna(r.created_s) else float(r.created_s), budget)
                 if not got or got[0] is None:
                     continue
-                ids = [*ids, int(r.message_id)][-(max(budget.max_overlap, 1) + 1) :]
-                if got[1] != last_start:  # a new segment: it begins at most max_overlap rows back
-                    start_id, last_start = ids[len(ids) - 1 - (got[0] - got[1])], got[1]
-                changed[got[1]] = (key[0], start_id, got[1], got[0], int(r.message_id))
-        state.update((fold.position, fold.start, fold.total, fold.largest, fold.last_time, list(fold.recent or []), ids, start_id, newest))
+                ids = [*ids, int(r.message_id)][-(got[0] - got[1] + 1) :]  # a new segment begins some rows back
+                changed[got[1]] = (key[0], ids[0], got[1], got[0], int(r.message_id), ids)
+        state.update((fold.position, fold.start, fold.total, fold.largest, fold.last_time, list(fold.recent or []), ids, newest))
         if changed:
-            yield pd.DataFrame(list(changed.values()), columns=["key", "seg_start_id", "seg_start", "seg_end", "end_message_id"])
+            yield pd.DataFrame(list(changed.values()), columns=["key", "seg_start_id", "seg_start", "seg_end", "end_message_id", "message_ids"])
 
     return run
 

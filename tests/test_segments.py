@@ -67,6 +67,8 @@ def test_packing(spark):
     same = spark.createDataFrame([(i, 100) for i in range(6)], "chunk_id bigint, tokens bigint")
     packed = S.packed_batches(same, "tokens", "chunk_id", S.Budget(max_cost=500, mode="max"))
     assert sorted(r["count"] for r in packed.groupBy("batch").count().collect()) == [1, 5]
+    packed = S.packed_batches(same, "tokens", "chunk_id", S.Budget(max_cost=500, mode="max"), page_rows=2)
+    assert [r["count"] for r in packed.groupBy("page", "batch").count().collect()] == [2, 2, 2]
 
 
 def test_numbers(spark):

@@ -42,8 +42,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage, so that a lost executor costs only the tasks at hand, and keeps what was
     computed once from being computed for each consumer.
     """
-    path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    return stored_at(df, fresh_dir(df.sparkSession, label))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """``stored`` under a path that the caller knows and may remove."""
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,6 +58,34 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: What a Python worker is given at once; rows differ so much in length that a number of rows bounds nothing.
+BATCH_BYTES = 4 << 20
+_UNSET = "67108864b"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands rows to Python in batches of about BATCH_BYTES, unless its user chose otherwise."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, _UNSET) == _UNSET:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+_held: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What the operator ``owner`` keeps in this Python worker between tasks.
+
+    Workers outlive stages, and a pipeline runs one operator after another in the same workers. So they keep
+    the things of one operator at a time: where another one begins, those of the last are dropped.
+    """
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = {}
+    return _held[owner]
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark ``df`` for broadcast if its counted rows are few enough, otherwise leave it to a shuffled join."""
     rows = df.count() if rows is None else rows

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "secret", "account")
 # Cues in the spellings that texts use; a cue counts as an anchor wherever it stands.
@@ -96,7 +98,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                     found.append(("card", at, m.end()))
             if at >= done["ip"] and (m := IP.match(text, at)):
                 done["ip"] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m.group().split(".")):
                     found.append(("ip", at, m.end()))
         elif kind == "email":
             start, floor = at, done["email"]
@@ -138,7 +140,7 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, spans (array of kind, start, end) for every row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_find, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(_find, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def _listed(spans: Column) -> Column:
@@ -175,5 +177,5 @@ def redact_column(text: pd.Series) -> pd.Series:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in text, and n_chars counted anew where it is a column."""
-    out = docs.withColumn("text", redact_column("text"))
+    out = bounded(docs).withColumn("text", redact_column("text"))
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

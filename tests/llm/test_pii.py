@@ -22,7 +22,7 @@ def plain(text):
             digits = re.sub("[^0-9]", "", m.group())
             odd, even = digits[::-1][::2], digits[::-1][1::2]
             luhn = (sum(map(int, odd)) + sum(sum(divmod(2 * int(c), 10)) for c in even)) % 10 == 0
-            good = {"email": True, "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else True, "card": 14 <= len(digits) <= 19 and luhn, "phone": 10 <= len(digits) <= 15}[kind]
+            good = {"email": True, "ip": all(int("0" + p.lstrip("0")[:4]) <= 255 for p in m.group().split(".")) if kind == "ip" else True, "card": 14 <= len(digits) <= 19 and luhn, "phone": 10 <= len(digits) <= 15}[kind]
             if good:
                 out.append((m.start(), k, kind, m.end()))
     return [(kind, s, e) for s, _, kind, e in sorted(out)]
@@ -40,6 +40,15 @@ def test_samples():
         assert base(x) == plain(x), x
 
 
+def test_very_long_runs():
+    runs = [c * 20_000 for c in "0123456789.@+- ()a_"] + ["0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 9000 + "4", "1." * 9000, "1 " * 9000, "1-" * 9000, "+1" * 9000, "a@" * 9000, "+1" + "(" * 9000 + "2", "a@" + "b." * 9000 + "c"]
+    for a in runs:
+        assert base(a) == plain(a)
+        assert base(f"x {a} 1.2.3.4") == plain(f"x {a} 1.2.3.4")
+    for cue in ("password=", "iban ", "://", "account number: "):
+        pii.spans(cue * 3000 + "0" * 20_000)
+
+
 @settings(max_examples=600, deadline=None)
 @given(st.text(alphabet="019.-+ ()@aé", max_size=60))
 def test_like_plain_patterns(text):

@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded, held
+
 WINDOW = 10
 #: Items whose text has together at most so many characters share an automaton (about 100 bytes of memory for each).
 SLICE_BYTES = 2_000_000
-#: Slices that a driver fetches one by one; a benchmark has a few.
-MAX_SLICES = 256
+#: Automata that a worker keeps.
+KEPT = 2
 
 # Bytes of UTF-8: all from 0x80 belong to words, so words can be cut from the bytes.
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -93,9 +95,6 @@ def in_original(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-_built: dict[str, object] = {}
-
-
 def _scanner(shared):
     """Adds the hits of one slice of the items to each row."""
 
@@ -121,19 +120,18 @@ class _Slice:
         self.id = uuid.uuid4().hex
 
     def automaton(self):
-        if self.id not in _built:
-            if len(_built) >= 4:
-                _built.clear()
-            _built[self.id] = build(self.items.value)
-        return _built[self.id]
+        built = held("decontaminate")
+        if self.id not in built:
+            if len(built) >= KEPT:
+                built.clear()
+            built[self.id] = build(self.items.value)
+        return built[self.id]
 
 
 def _slices(benchmark: DataFrame) -> list[Items]:
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = bounded(benchmark).where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = total // SLICE_BYTES + 1
-    if n > MAX_SLICES:
-        raise ValueError(f"the benchmark has {total} characters; {MAX_SLICES * SLICE_BYTES} can be taken")
     return [sorted(((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()), key=lambda x: (x[0] or "", x[1])) for k in range(n)]
 
 

@@ -3,12 +3,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from logweave.llm import pieces
 
+SF = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = ["a", "Hello  world ▁x ", " lead", "\n\n a\tb", "漢字 👩‍💻 ￾ z", " ", "   ", "ünïcödé " * 30, "x" * 3000, "12.5% (off)  --  yes", "\x00\x01"]
 
@@ -34,7 +36,21 @@ def plain(model, text):
     return best[-1], scores, low
 
 
-def test_best_paths_and_round_trip(codec):
+def test_ids_of_the_library(codec):
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet", columns=["text"]).to_pylist()]
+    rnd = random.Random(5)
+    odd = [chr(rnd.choice((rnd.randrange(32, 127), rnd.randrange(0xA0, 0x500), rnd.randrange(0x3000, 0x9000)))) for _ in range(300)]
+    texts += ["".join(rnd.choice("aeinrst hlo" if k % 2 else [*odd, *"aaaabbb   ..--'\n\t0011"]) for _ in range(rnd.randrange(1, 40))) for k in range(3000)]
+    texts += [t for t in TEXTS if pieces.MARK not in t] + ["a" * 2000, "ab" * 1000, " " * 500]
+    for text, want in zip(texts, model.encode(texts), strict=True):
+        ids = codec.encode(text).tolist()
+        assert ids == want and codec.decode(ids) == text
+
+
+def test_best_paths_and_round_trip():
+    """The search by sums of scores, as for a unigram model."""
+    codec = pieces.Codec(PATH, bpe=False)
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
     rnd = random.Random(3)
     for text in [*TEXTS, *("".join(rnd.choice("ab et▁é\nzth") for _ in range(60)) for _ in range(40))]:

@@ -23,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import bounded, stored
 from .decontaminate import TO_WORDS
 
 CATEGORIES = ("quality", "toxic")
@@ -37,6 +38,8 @@ MIN_DOCS = 5
 PREFIX = 4
 RIDGE, STEPS, RATE = 1e-4, 150, 0.3
 THRESHOLD = 0.5
+#: Documents whose features a task holds at once, and features whose weights it gathers at once.
+AT_ONCE, CHUNK = 200, 1 << 20
 _SPLIT = re.compile(r"[^\W_]+")
 
 
@@ -61,30 +64,48 @@ class Model:
     earlier: np.ndarray
     bias: float
 
-    def predict(self, rows: list[np.ndarray], before: np.ndarray) -> np.ndarray:
-        z = np.array([self.weights[i].sum() for i in rows]) + self.bias
+    def predict(self, flat: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> np.ndarray:
+        z = np.concatenate([np.zeros(0), *(_sums(self.weights, ids, n) for _, ids, n in _parts(flat, sizes))]) + self.bias
         if before.shape[1]:
             z = z + (before - 0.5) @ self.earlier
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, width: int) -> Model:
+def _parts(flat: np.ndarray, sizes: np.ndarray) -> list[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows of about CHUNK features together: which they are, their features one after the other, and how many each has."""
+    ends = np.cumsum(sizes)
+    edges = np.unique(np.concatenate(([0], np.searchsorted(ends, np.arange(CHUNK, len(flat), CHUNK)) + 1, [len(sizes)])))
+    return [(slice(a, b), flat[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b]) for a, b in zip(edges, edges[1:])]  # noqa: B905
+
+
+def _sums(weights: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each row's features."""
+    out, some = np.zeros(len(sizes)), sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(weights[flat], (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
+def flattened(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32), np.array([len(r) for r in rows], np.int64)
+
+
+def fit(flat: np.ndarray, sizes: np.ndarray, before: np.ndarray, y: np.ndarray, width: int) -> Model:
     """Logistic regression with a ridge, by full-batch Adam; each class has the same total weight up to 4 to 1."""
     k = before.shape[1]
     positive = float(y.mean()) if len(y) else 0.0
     if positive in (0.0, 1.0):
         return Model(np.zeros(width), np.zeros(k), -30.0 if positive == 0 else 30.0)
-    size = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
+    parts = _parts(flat, sizes)
     w, b = np.zeros(width + k), float(np.log(positive / (1 - positive)))
     weight = np.where(y == 1, min(4.0, max(1.0, (1 - positive) / positive)), min(4.0, max(1.0, positive / (1 - positive))))
     weight /= weight.sum()
     m, v = np.zeros(width + k + 1), np.zeros(width + k + 1)
     centred = before - 0.5
     for step in range(1, STEPS + 1):
-        z = np.bincount(owner, w[flat], len(rows)) + centred @ w[width:] + b
+        z = np.concatenate([_sums(w, ids, n) for _, ids, n in parts]) + centred @ w[width:] + b
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.concatenate([np.bincount(flat, g[owner], width), centred.T @ g, [g.sum()]])
+        grad = np.concatenate([sum(np.bincount(ids, np.repeat(g[at], n), width) for at, ids, n in parts), centred.T @ g, [g.sum()]])
         grad[:-1] += RIDGE * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
@@ -100,44 +121,48 @@ class Chain:
 
     def rows(self, texts) -> list[np.ndarray]:
         get = self.vocabulary.get
-        return [np.array([i for i in map(get, sorted(features(x))) if i is not None], np.int64) for x in texts]
+        return [np.array([i for i in map(get, sorted(features(x))) if i is not None], np.int32) for x in texts]
 
     def predict(self, texts) -> np.ndarray:
         """Probabilities, a column for each category in order."""
-        rows = self.rows(texts)
-        out = np.zeros((len(rows), 0))
+        flat, sizes = flattened(self.rows(texts))
+        out = np.zeros((len(sizes), 0))
         for model in self.models:
-            out = np.column_stack([out, model.predict(rows, out)])
+            out = np.column_stack([out, model.predict(flat, sizes, out)])
         return out
 
 
 def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf.drop(columns="text").assign(words=[sorted(features(x)) for x in pdf["text"]])
+        for part in (pdf.iloc[i : i + AT_ONCE] for i in range(0, len(pdf), AT_ONCE)):
+            yield part.drop(columns="text").assign(words=[sorted(features(x)) for x in part["text"]])
 
 
 def _fold_fit(width: int, k: int):
     """Fits category k without fold ``held`` (-1: on all) and predicts that fold; one task for each fold."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        held = int(pdf["held"].iloc[0])
-        inside = (pdf["fold"] == held).to_numpy()
-        rows = [np.asarray(r, np.int64) for r in pdf["ids"]]
-        before = np.array(pdf["before"].to_list(), float).reshape(len(pdf), k)
-        y = np.array([labels[k] for labels in pdf["labels"]], float)
-        model = fit([r for r, i in zip(rows, inside, strict=True) if not i], before[~inside], y[~inside], width)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        held, inside = table["held"][0].as_py(), table["fold"].to_numpy() == table["held"][0].as_py()
+        doc_ids, n = table["doc_id"].to_numpy(), table.num_rows
+        lists = table["ids"].combine_chunks()
+        sizes, flat = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
+        before = table["before"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, k)
+        y = table["labels"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)[:, k]
+        del table, lists
+        of = np.repeat(inside, sizes)
+        model = fit(flat[~of], sizes[~inside], before[~inside], y[~inside], width)
         out = {"held": [held], "weights": [None], "earlier": [None], "bias": [model.bias], "doc_ids": [[]], "p": [[]]}
         if held < 0:
             out |= {"weights": [model.weights.astype("<f8").tobytes()], "earlier": [model.earlier.tolist()]}
         else:
-            own = [r for r, i in zip(rows, inside, strict=True) if i]
-            out |= {"doc_ids": [pdf["doc_id"][inside].tolist()], "p": [model.predict(own, before[inside]).tolist()]}
-        return pd.DataFrame(out)
+            out |= {"doc_ids": [doc_ids[inside].tolist()], "p": [model.predict(flat[of], sizes[inside], before[inside]).tolist()]}
+        return pa.table(out, schema=_FITTED)
 
     return run
 
 
+_FITTED = pa.schema([("held", pa.int32()), ("weights", pa.binary()), ("earlier", pa.list_(pa.float64())), ("bias", pa.float64()), ("doc_ids", pa.list_(pa.int64())), ("p", pa.list_(pa.float64()))])
 FITTED = "held int, weights binary, earlier array<double>, bias double, doc_ids array<long>, p array<double>"
 
 
@@ -146,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
 
     Everything here has the size of the sample: at most about SAMPLE documents.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     labels = labels.where("doc_id is not null").dropna(subset=list(categories)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(c).alias(c) for c in categories])
     total = labels.count()
     if not total:
@@ -171,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     models: list[Model] = []
     for k in range(len(categories)):
         copies = rows.withColumn("held", F.explode(F.array(*[F.lit(f) for f in range(-1, FOLDS)])))
-        fitted = copies.groupBy("held").applyInPandas(_fold_fit(len(vocabulary), k), FITTED).collect()
+        fitted = copies.groupBy("held").applyInArrow(_fold_fit(len(vocabulary), k), FITTED).collect()
         final = next((r for r in fitted if r["held"] < 0), None)
         if final is None:  # labels, but of no document at hand
             return Chain(tuple(categories), {}, [Model(np.zeros(0), np.zeros(j), -30.0) for j in range(len(categories))]), None

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_dir, remove_dir, stored
+from .common import bounded, fresh_dir, held, remove_dir, stored
 
 END_ID = 0
 #: A chunk ends where the top bits of the rolling hash are zero: every 2**CUT_BITS ids on average.
@@ -134,9 +134,12 @@ class Encoder:
         return np.frombuffer(b"".join(map(known.__getitem__, row.tolist())), self.dtype), ends
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    kept = held("castore")
+    if path not in kept:
+        kept.clear()
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def rolling(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -210,7 +213,7 @@ def _root(chunks: pd.Series) -> pd.Series:
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
     """Write the store of ``docs(doc_id, text)`` under ``path``; see the module for the layout."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("uid")).mapInArrow(_store_rows(tokenizer_path, end_id), ROWS)
+    rows = bounded(docs).select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("uid")).mapInArrow(_store_rows(tokenizer_path, end_id), ROWS)
     # Equal chunk rows meet by all their columns and are combined before the shuffle; a chunk that very many
     # documents share is one row of each slice of texts, and the documents that use it are rows of their own.
     rows.distinct().write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/raw")

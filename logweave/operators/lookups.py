@@ -35,6 +35,14 @@ def channels_with_messages(channels: DataFrame, messages: DataFrame) -> DataFram
     return channels.join(messages.select("channel_id"), "channel_id", "left_semi")
 
 
+def chunks_of(chunks: DataFrame, kind: str | None = None, channel_id: int | None = None, state: str | None = None) -> DataFrame:
+    """Chunks of a kind, a channel, a state, as far as these are given."""
+    for column, value in (("chunk_type", kind), ("channel_id", channel_id), ("chunk_state", state)):
+        if value is not None:
+            chunks = chunks.where(F.col(column) == value)
+    return chunks
+
+
 def pending_stats(chunks: DataFrame, texts: DataFrame, max_tokens: int) -> DataFrame:
     """embeddable, total_tokens, oversized of pending chunks, in one pass."""
     rows = chunks.where("embedding_status = 'pending'").join(texts, "chunk_id")

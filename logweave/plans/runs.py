@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import runs, warehouse
-from ..operators import projection
+from ..operators import chunking as C
+from ..operators import lookups, projection
 from ..operators.storage import fresh_dir
 from ..sources import adapters as A
 from ..warehouse import Warehouse
@@ -76,6 +77,17 @@ def embedding_resumed(spark, sf_dir):
     return waiting.join(done, "chunk_type")
 
 
+def open_chunks_by_author(spark, sf_dir):
+    """Where the open group of each author of a channel begins."""
+    found = lookups.chunks_of(C.author_groups(A.messages(spark, sf_dir)), "author_group", state="open")
+    return found.select("channel_id", "author_id", "start_message_id")
+
+
+def chunks_of_a_channel(spark, sf_dir):
+    found = lookups.chunks_of(C.sliding_windows(A.messages(spark, sf_dir)), "sliding_window", channel_id=7)
+    return found.select("start_message_id", "n_messages", "chunk_state")
+
+
 def chunking_counters(spark, sf_dir):
     """What one run over the whole log says that it wrote, by kind."""
     wh = Warehouse(spark, fresh_dir(spark, "warehouse"))
@@ -122,11 +134,13 @@ def layout_properties(spark, sf_dir):
 
 _TYPED = chunking._EVERY + ", latest as (select 'sliding_window' chunk_type, ch channel_id, min(id) start_message_id, max(id) last_id from x group by ch, s union all select 'author_group', ch, min(id), max(id) from f2 group by ch, a, s union all select 'reply_chain', ch, leaf, leaf from chains)"
 
-QUERIES = {f.__name__: f for f in (chunks_resumed, embedding_resumed, chunking_counters, semantic_search_filters, pca_components, pca_keeps_distances, layout_properties)} | {f"merge_{n}": _merge_query(n, c) for n, c in _FROZEN.items()}
+QUERIES = {f.__name__: f for f in (chunks_resumed, embedding_resumed, open_chunks_by_author, chunks_of_a_channel, chunking_counters, semantic_search_filters, pca_components, pca_keeps_distances, layout_properties)} | {f"merge_{n}": _merge_query(n, c) for n, c in _FROZEN.items()}
 
 SQL = {
     "chunks_resumed": chunking._EVERY + " select chunk_type, channel_id, start_message_id, case when is_open then 'open' else 'closed' end chunk_state from every",
     "embedding_resumed": _TYPED + " select chunk_type, count(*) filter (where last_id%1000 > 3) waiting, count(*) embedded from latest group by chunk_type",
+    "open_chunks_by_author": chunking._AUTHORS + " select ch channel_id, a author_id, first_id start_message_id from g where is_open",
+    "chunks_of_a_channel": chunking._WINDOWS + " select min(id) start_message_id, count(*) n_messages, case when is_open then 'open' else 'closed' end chunk_state from x where ch = 7 group by s, is_open",
     "chunking_counters": chunking._EVERY + " select chunk_type, count(*) chunks from every group by chunk_type",
     "semantic_search_filters": f"with q as (select embedding qv from embeddings where vec_id = {_QUERY_ID}), d as (select vec_id chunk_id, {_DISTANCE} distance from embeddings, q where label = {_QUERY_GUILD} and (vec_id%7 = 3 or vec_id%11 = 3) and 1704067200 + vec_id*3600 >= epoch(timestamp '2024-01-02') and 1704067200 + vec_id*3600 + 1800 <= epoch(timestamp '2024-01-20')) select d.chunk_id, distance, text from (select * from d order by distance, chunk_id limit 10) d left join documents on doc_id = chunk_id",
     "pca_components": "with u as (select unnest(embedding) x, generate_subscripts(embedding, 1) pos from embeddings), v as (select var_samp(cast(x as double)) v from u group by pos) select count(*) components, round(sum(v), 6) variance, cast(0 as double) largest_mean, cast(1 as double) as share, true descending from v",

@@ -9,12 +9,14 @@ Counts are exact and cover all documents: every word of the corpus and every pai
 before it. A model gives ``BIGRAM`` times the share of the pair among the pairs of its first word, plus the
 rest times the share of the word, to whose count ``ADD`` is added; after a word that the model has not
 seen before another, the share of the word alone. So its probabilities of the corpus' words sum to one.
+Every document is scored by what the others say: its own words and pairs are taken off the counts of the
+models that they went into, and a target document gains nothing by being one. A copy of it is another one.
 
 Neither model is held anywhere as a whole. Documents are taken in blocks of about ``BLOCK_TOKENS`` tokens.
 A block counts its own words and pairs, deals them out by a hash to as many parts as the corpus needs, and
-a part adds up what all blocks sent: first the words, whose numbers and counts go back to the blocks, then
-the pairs, whose losses go back as sums for each document. A frequent word or pair is sent once by a block,
-however often it occurs there, so none makes a part large.
+a part adds up what all blocks sent and answers each with the sums of what it sent: first for the words,
+with their numbers, then for the pairs. A frequent word or pair is sent once by a block, however often it
+occurs there, so none makes a part large.
 
 A null or empty text has no tokens and null losses. Rows that repeat a doc_id count and are scored each;
 a target id that is repeated counts once; a null doc_id is scored and never a target. Without target
@@ -34,20 +36,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import bounded, maybe_broadcast, stored
 from .decontaminate import words
 
 #: Weight of the bigram in the interpolation, and what is added to each word's count.
 BIGRAM, ADD = 0.6, 0.5
 #: Tokens of a block of documents, except that a longer text is a block of its own.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Words that blocks send to one part, and tokens whose pairs they send to one part, on average.
-PART_WORDS, PART_TOKENS = 500_000, 4_000_000
+PART_WORDS, PART_TOKENS = 500_000, 3_000_000
 #: Number of what stands before the first word; those of words are below.
 START = (1 << 32) - 1
 
 _BLOCKS = "block long, n_tokens long, n_target long, n_docs long, n_target_docs long, n_words long, head binary, tokens binary, words binary"
 _SENT = "block long, part long, payload binary"
+#: What a row for a block holds.
+HEAD, TOKENS, NUMBERS, COUNTS, SUMS = range(5)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -176,122 +180,116 @@ def _count_words(parts: int):
         rows = []
         for i, (block, x, (a, b)) in enumerate(zip(table["block"].to_pylist(), got, _runs(np.array([len(x[0]) for x in got])), strict=True)):
             some = at[a:b]
-            rows.append((block, part, _packed(x[0], _narrow(some.astype(np.int64) * parts + part), *(_narrow(t[some]) for t in totals)), 0 if i else n))
-        return _table(rows, ("block", pa.int64()), ("part", pa.int64()), ("payload", pa.binary()), ("n_words", pa.int64()))
+            rows.append((block, part, _packed(x[0], _narrow(some.astype(np.int64) * parts + part)), _packed(*(_narrow(t[some]) for t in totals)), 0 if i else n))
+        return _table(rows, ("block", pa.int64()), ("part", pa.int64()), ("numbers", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64()))
 
     return run
 
 
-def _deal_pairs(parts: int, starts: tuple[int, int]):
-    """The pairs of a block with the counts of their words, and the documents that have them."""
+class _Block:
+    """The tokens of a block and their pairs, made from the rows that hold them."""
+
+    def __init__(self, table: pa.Table, parts: int):
+        self.id = table["block"][0].as_py()
+        self.sent: dict[int, dict[int, list[np.ndarray]]] = {k: {} for k in range(5)}
+        for kind, part, payload in zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["payload"], strict=True):
+            self.sent[kind][part] = _unpacked(payload.as_py())
+        tokens, numbers = self.sent[TOKENS][0], sorted(self.sent[NUMBERS].items())
+        self.ids, self.sizes, self.target = tokens[0].astype(np.int64), tokens[1].astype(np.int64), tokens[2]
+        self.local = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(x[0], dtype=np.int64) for _, x in numbers)])
+        number = np.full(len(self.local) + 1, START, np.uint64)
+        number[self.local] = np.concatenate([np.zeros(0, np.uint64), *(x[1].astype(np.uint64) for _, x in numbers)])
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.previous = np.empty_like(self.ids)
+        self.previous[1:] = self.ids[:-1]
+        self.previous[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = len(self.local)
+        self.pairs, self.first, self.pair = np.unique((number[self.previous] << np.uint64(32)) | number[self.ids], return_index=True, return_inverse=True)
+        mixed = (self.pairs ^ (self.pairs >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        part = (((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        #: The pairs of each part, ascending.
+        self.of_part = [order[a:b] for a, b in _runs(np.bincount(part, minlength=parts))]
+
+
+def _deal_pairs(parts: int):
+    """The pairs of a block and how often they occur in it and in its target documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        block, known, tokens = table["block"][0].as_py(), [], None
-        for part, payload in zip(table["part"].to_pylist(), table["payload"], strict=True):
-            if part < 0:
-                tokens = _unpacked(payload.as_py())
-            else:
-                known.append(_unpacked(payload.as_py()))
-        if not known:
-            return _sent([])
-        ids, sizes, target = tokens[0].astype(np.int64), tokens[1].astype(np.int64), tokens[2]
-        local = np.concatenate([np.cumsum(x[0]) for x in known])
-        number, of_target, of_all, target_before, before = (np.zeros(len(local) + 1, np.int64) for _ in range(5))
-        for k, x in enumerate((number, of_target, of_all, target_before, before), 1):
-            x[local] = np.concatenate([y[k] for y in known])
-        number[-1], target_before[-1], before[-1] = START, *starts
-        previous = np.empty_like(ids)
-        previous[1:] = ids[:-1]
-        previous[(np.cumsum(sizes) - sizes)[sizes > 0]] = len(local)
-        key = (number[previous].astype(np.uint64) << np.uint64(32)) | number[ids].astype(np.uint64)
-        order = np.argsort(key, kind="stable")  # documents ascend within a pair
-        key, doc = key[order], np.repeat(np.arange(len(sizes)), sizes)[order]
-        new_key = np.append(True, key[1:] != key[:-1])
-        entry = np.flatnonzero(new_key | np.append(True, doc[1:] != doc[:-1]))
-        n = np.diff(entry, append=len(key))
-        doc = doc[entry]
-        at = np.flatnonzero(new_key[entry])
-        docs = np.diff(at, append=len(entry))
-        n_target = np.add.reduceat(np.where(target[doc], n, 0), at)
-        place = order[entry[at]]
-        key, word, context = key[entry[at]], ids[place], previous[place]
-        mixed = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        part = (((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % parts
-        by_part, entries = np.argsort(part, kind="stable"), np.argsort(np.repeat(part, docs), kind="stable")
-        rows = []
-        ranges = zip(_runs(np.bincount(part, minlength=parts)), _runs(np.bincount(part, weights=docs, minlength=parts).astype(np.int64)), strict=True)
-        for k, ((a, b), (c, d)) in enumerate(ranges):
-            if b > a:
-                s, e = by_part[a:b], entries[c:d]
-                counts = n_target[s], of_target[word[s]], of_all[word[s]], target_before[context[s]], before[context[s]]
-                rows.append((block, k, _packed(_steps(key[s]), *map(_narrow, (docs[s], *counts, doc[e], n[e])))))
-        return _sent(rows)
+        b = _Block(table, parts)
+        counts = [np.bincount(b.pair[some], minlength=len(b.pairs)) for some in (slice(None), b.target[b.doc])]
+        return _sent([(b.id, k, _packed(_steps(b.pairs[s]), *(_narrow(c[s]) for c in counts))) for k, s in enumerate(b.of_part) if len(s)])
 
     return run
 
 
-def _losses(n_words: int, n_target: int, n_tokens: int):
-    """For one part of the pairs: what they add to the losses of each block's documents."""
+def _count_pairs(table: pa.Table) -> pa.Table:
+    """For one part of the pairs: their counts in the corpus and in the target, for each block in its order."""
+    got = [_unpacked(p) for p in table["payload"].to_pylist()]
+    distinct, at = np.unique(np.concatenate([np.cumsum(x[0]) for x in got]), return_inverse=True)
+    totals = []
+    for k in (1, 2):
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, at, np.concatenate([x[k] for x in got]).astype(np.int64))
+        totals.append(total)
+    runs = _runs(np.array([len(x[0]) for x in got]))
+    return _sent([(block, part, _packed(*(_narrow(t[at[a:b]]) for t in totals))) for block, part, (a, b) in zip(table["block"].to_pylist(), table["part"].to_pylist(), runs, strict=True)])
+
 
-    def loss(pair: np.ndarray, word: np.ndarray, context: np.ndarray, tokens: int) -> np.ndarray:
-        alone = (word + ADD) / (tokens + ADD * n_words)
-        return -np.log(np.where(context > 0, BIGRAM * pair / np.maximum(context, 1) + (1 - BIGRAM) * alone, alone))
+def _scores(parts: int, n_words: int, n_docs: tuple[int, int], n_tokens: tuple[int, int]):
+    """The mean losses of a block's documents under the models of the target and of all documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        part, payloads = table["part"][0].as_py(), table["payload"]
-        keys, targets, alls = [], [], []
-        for payload in payloads:  # what is not counted is unpacked again below, one block at a time
-            steps, docs, in_target, *_, n = _unpacked(payload.as_py())
-            keys.append(np.cumsum(steps))
-            targets.append(in_target)
-            alls.append(np.add.reduceat(n.astype(np.int64), np.cumsum(docs, dtype=np.int64) - docs))
-        sizes = np.array([len(x) for x in keys])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total_target, total = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        np.add.at(total_target, at, np.concatenate(targets).astype(np.int64))
-        np.add.at(total, at, np.concatenate(alls))
-        rows = []
-        for block, payload, (a, b) in zip(table["block"].to_pylist(), payloads, _runs(sizes), strict=True):
-            _, docs, _, of_target, of_all, target_before, before, doc, n = _unpacked(payload.as_py())
-            here = np.unique(doc)
-            slot = np.searchsorted(here, doc)
-            sums = []
-            for pair, word, context, tokens in ((total_target, of_target, target_before, n_target), (total, of_all, before, n_tokens)):
-                each = np.repeat(loss(pair[at[a:b]], word.astype(np.int64), context.astype(np.int64), tokens), docs)
-                sums.append(np.bincount(slot, weights=each * n, minlength=len(here)))
-            rows.append((block, part, _packed(_steps(here), *sums)))
-        return _sent(rows)
+        b = _Block(table, parts)
+        doc_ids, known, _ = b.sent[HEAD][0]
+        n = len(b.local)
+        of_pair = np.zeros((2, len(b.pairs)), np.int64)
+        for k, (total, of_target) in b.sent[SUMS].items():
+            of_pair[:, b.of_part[k]] = of_target, total
+        of_word, before = np.zeros((2, n + 1), np.int64), np.zeros((2, n + 1), np.int64)
+        if n:
+            for k, to in enumerate((of_word[0], of_word[1], before[0], before[1])):
+                to[b.local] = np.concatenate([x[k] for _, x in sorted(b.sent[COUNTS].items())])
+        before[:, n] = n_docs
+        # What a document has itself: pairs, words, and words before another.
+        entry, own_pair = np.unique(b.doc * max(len(b.pairs), 1) + b.pair, return_counts=True)
+        doc, pair = entry // max(len(b.pairs), 1), entry % max(len(b.pairs), 1)
+        held, own = np.unique(b.doc * (n + 1) + b.ids, return_counts=True)
+        has = lambda word: own[np.minimum(np.searchsorted(held, doc * (n + 1) + word), len(own) - 1)]
+        word, context = b.ids[b.first[pair]], b.previous[b.first[pair]]
+        last = np.full(len(b.sizes), -1)
+        last[b.sizes > 0] = b.ids[np.cumsum(b.sizes)[b.sizes > 0] - 1]
+        own_word = has(word) if n else word
+        own_before = np.where(context == n, 1, has(context) - (last[doc] == context)) if n else context
+        means = []
+        for k, inside in enumerate((b.target[doc].astype(np.int64), np.ones(len(doc), np.int64))):
+            alone = (of_word[k, word] - inside * own_word + ADD) / (n_tokens[k] - inside * b.sizes[doc] + ADD * n_words)
+            seen = before[k, context] - inside * own_before
+            p = np.where(seen > 0, BIGRAM * (of_pair[k, pair] - inside * own_pair) / np.maximum(seen, 1) + (1 - BIGRAM) * alone, alone)
+            means.append(np.bincount(doc, weights=-np.log(p) * own_pair, minlength=len(b.sizes)) / np.maximum(b.sizes, 1))
+        none = b.sizes == 0
+        return pa.table({"doc_id": pa.array(doc_ids, mask=~known), "n_tokens": b.sizes, "target_loss": pa.array(means[0], mask=none), "background_loss": pa.array(means[1], mask=none)})
 
     return run
 
 
-def _scores(table: pa.Table) -> pa.Table:
-    """The mean losses of a block's documents."""
-    sent = dict(zip(table["part"].to_pylist(), table["payload"].to_pylist(), strict=True))
-    doc_ids, known, sizes = _unpacked(sent.pop(-1))
-    sums = np.zeros((2, len(sizes)))
-    for _, payload in sorted(sent.items()):
-        steps, target, background = _unpacked(payload)
-        here = np.cumsum(steps, dtype=np.int64)
-        sums[0, here] += target
-        sums[1, here] += background
-    means = sums / np.maximum(sizes, 1)
-    none = sizes == 0
-    return pa.table({"doc_id": pa.array(doc_ids, mask=~known), "n_tokens": sizes.astype(np.int64), "target_loss": pa.array(means[0], mask=none), "background_loss": pa.array(means[1], mask=none)})
-
-
 def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference for every row of ``docs``, the target being the rows whose id is in ``target_ids``."""
     ids = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(stored(ids, "targets")), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    marked = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(stored(ids, "targets")), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     blocks = stored(marked.mapInArrow(_blocks(BLOCK_TOKENS), _BLOCKS), "blocks")
     n_tokens, n_target, n_docs, n_target_docs, n_sent = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_target", "n_docs", "n_target_docs", "n_words"))).first()
     parts = n_sent // PART_WORDS + 1
     dealt = blocks.select("block", "words").mapInArrow(_deal_words(parts), _SENT)
-    known = stored(dealt.groupBy("part").applyInArrow(_count_words(parts), _SENT + ", n_words long"), "words")
+    known = stored(dealt.groupBy("part").applyInArrow(_count_words(parts), "block long, part long, numbers binary, counts binary, n_words long"), "words")
     n_words = known.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    of_block = lambda payload: blocks.select("block", F.lit(-1).cast("long").alias("part"), F.col(payload).alias("payload"))
-    pairs = of_block("tokens").union(known.drop("n_words")).groupBy("block").applyInArrow(_deal_pairs(n_tokens // PART_TOKENS + 1, (n_target_docs, n_docs)), _SENT)
-    sums = pairs.groupBy("part").applyInArrow(_losses(n_words, n_target, n_tokens), _SENT)
-    losses = of_block("head").union(sums).groupBy("block").applyInArrow(_scores, "doc_id long, n_tokens long, target_loss double, background_loss double")
+
+    def rows(df: DataFrame, kind: int, payload: str = "payload", part=None) -> DataFrame:
+        return df.select("block", F.lit(kind).alias("kind"), (F.lit(0).cast("long") if part is None else F.col(part)).alias("part"), F.col(payload).alias("payload"))
+
+    tokens = rows(blocks, TOKENS, "tokens").union(rows(known, NUMBERS, "numbers", "part"))
+    parts = n_tokens // PART_TOKENS + 1
+    pairs = tokens.groupBy("block").applyInArrow(_deal_pairs(parts), _SENT)
+    sums = pairs.groupBy("part").applyInArrow(_count_pairs, _SENT)
+    every = tokens.union(rows(blocks, HEAD, "head")).union(rows(known, COUNTS, "counts", "part")).union(rows(sums, SUMS, part="part"))
+    losses = every.groupBy("block").applyInArrow(_scores(parts, n_words, (n_target_docs, n_docs), (n_target, n_tokens)), "doc_id long, n_tokens long, target_loss double, background_loss double")
     return losses.withColumn("difference", F.round(F.col("target_loss") - F.col("background_loss"), 6)).withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss")})

@@ -7,27 +7,51 @@ import pytest
 from logweave.llm import lmscore
 
 
+def counted(split):
+    """Words, words before others, and pairs of documents given as lists of words."""
+    some = [["", *w] for w in split if w]
+    return Counter(x for w in some for x in w[1:]), Counter(x for w in some for x in w[:-1]), Counter(p for w in some for p in zip(w, w[1:]))  # noqa: B905
+
+
+def probability(model, a, b, size):
+    word, context, pair = model
+    alone = (word[b] + 0.5) / (sum(word.values()) + 0.5 * size)
+    return 0.6 * pair[a, b] / context[a] + 0.4 * alone if context[a] else alone
+
+
 def plain(rows, target_ids):
-    """Losses by models that are held as a whole."""
-    split = [(d, (t or "").split(), d in target_ids) for d, t in rows]
-    models = []
-    for only in (True, False):
-        some = [["", *w] for _, w, target in split if w and (target or not only)]
-        models.append((Counter(x for w in some for x in w[1:]), Counter(x for w in some for x in w[:-1]), Counter(p for w in some for p in zip(w, w[1:]))))  # noqa: B905
+    """Losses of each document by models of the others that are held as a whole."""
+    split = [((t or "").split(), d in target_ids) for d, t in rows]
+    models = [counted(w for w, target in split if target), counted(w for w, _ in split)]
     size = len(models[1][0])
     out = []
-    for d, w, _ in split:
+    for (d, _), (w, target) in zip(rows, split, strict=True):
         losses = []
-        for word, context, pair in models:
-            total, loss = sum(word.values()), 0.0
+        for model, inside in zip(models, (target, True), strict=True):
+            for whole, own in zip(model, counted([w]), strict=True):
+                whole.subtract(own if inside else ())
+            total = sum(model[0].values())
+            loss = 0.0
             for a, b in zip(["", *w], w):  # noqa: B905
-                alone = (word[b] + 0.5) / (total + 0.5 * size)
-                loss -= math.log(0.6 * pair[a, b] / context[a] + 0.4 * alone if context[a] else alone)
+                alone = (model[0][b] + 0.5) / (total + 0.5 * size)
+                loss -= math.log(0.6 * model[2][a, b] / model[1][a] + 0.4 * alone if model[1][a] else alone)
+            for whole, own in zip(model, counted([w]), strict=True):
+                whole.update(own if inside else ())
             losses.append(loss / len(w) if w else None)
         out.append((d, len(w), *losses))
     return out
 
 
+def test_probabilities_sum_to_one():
+    """Of the plain models that the operator is compared with, whatever the context."""
+    rnd = random.Random(5)
+    every = [[f"w{rnd.randrange(40)}" for _ in range(rnd.randrange(30))] for _ in range(60)]
+    words = {x for w in every for x in w}
+    for model in (counted(every), counted(every[:7]), counted([])):
+        for context in ["", *sorted(words)]:
+            assert sum(probability(model, context, b, len(words)) for b in words) == pytest.approx(1, abs=1e-9)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_counts_of_the_whole_corpus(spark, monkeypatch, small):
     """More words and pairs than any fixed table had, and a pair that stands in every document."""

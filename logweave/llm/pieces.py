@@ -45,6 +45,8 @@ AT_ONCE = 500
 _NONE = -float("inf")
 #: Last piece of a prefix whose last character is written as bytes, or that is empty.
 _APART = -1
+#: Two pieces are one number, the first shifted by so many bits.
+_PAIR_BITS = 24
 
 
 def merged(parts: list[str], rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:
@@ -95,7 +97,7 @@ class Codec:
         self.matcher.make_automaton()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _take_apart(self, pieces: dict[str, int]) -> dict[str, int]:
         """Sets how each piece came about; gives the pieces that merges can reach, and the characters they begin with."""
@@ -107,7 +109,7 @@ class Codec:
         out = {p: i for p, i in ids.items() if len(p) == 1 or p in made}
         n = max(ids.values()) + 1
         self.rank, self.left, self.right = [-1] * n, [_APART] * n, [_APART] * n
-        self.joined: dict[tuple[int, int], int] = {}
+        self.joined: dict[int, int] = {}
         for p, (a, b) in made.items():
             i = ids[p]
             self.rank[i], self.left[i], self.right[i] = rank[p], ids[a], ids[b]
@@ -116,22 +118,23 @@ class Codec:
         for p in made:
             for k in range(1, len(p)):
                 if p[:k] in out and p[k:] in out:
-                    self.joined[ids[p[:k]], ids[p[k:]]] = rank[p]
+                    self.joined[ids[p[:k]] << _PAIR_BITS | ids[p[k:]]] = rank[p]
         return out
 
     def beside(self, a: int, b: int) -> bool:
         """Whether merges leave pieces a and b side by side."""
-        known = self.pairs.get((a, b))
+        pair = a << _PAIR_BITS | b
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._beside(a, b)
+            known = self.pairs[pair] = self._beside(a, b)
         return known
 
     def _beside(self, a: int, b: int) -> bool:
         rank, before = self.rank, len(self.rank)  # merges of a lower rank than ``before`` would have come first
         while True:
-            if self.joined.get((a, b), before) < before:
+            if self.joined.get(a << _PAIR_BITS | b, before) < before:
                 return False
             if rank[a] < 0 and rank[b] < 0:
                 return True

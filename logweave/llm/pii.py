@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded
+from .common import bounded, held
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "secret", "account")
@@ -133,6 +133,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held("pii")
     for pdf in batches:
         got = [[{"kind": k, "start": s, "end": e} for k, s, e in spans(x)] for x in pdf["text"]]
         yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "spans": got})
@@ -172,6 +173,7 @@ def redacted(text: str | None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def redact_column(text: pd.Series) -> pd.Series:
+    held("pii")
     return pd.Series([redacted(x) for x in text], dtype=object)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, stored
+from .common import bounded, held, stored
 from .decontaminate import TO_WORDS
 
 CATEGORIES = ("quality", "toxic")
@@ -133,6 +133,7 @@ class Chain:
 
 
 def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held("toxicity")
     for pdf in batches:
         for part in (pdf.iloc[i : i + AT_ONCE] for i in range(0, len(pdf), AT_ONCE)):
             yield part.drop(columns="text").assign(words=[sorted(features(x)) for x in part["text"]])
@@ -142,8 +143,10 @@ def _fold_fit(width: int, k: int):
     """Fits category k without fold ``held`` (-1: on all) and predicts that fold; one task for each fold."""
 
     def run(table: pa.Table) -> pa.Table:
+        held("toxicity")
         table = table.sort_by("doc_id")
-        held, inside = table["held"][0].as_py(), table["fold"].to_numpy() == table["held"][0].as_py()
+        fold = table["held"][0].as_py()
+        inside = table["fold"].to_numpy() == fold
         doc_ids, n = table["doc_id"].to_numpy(), table.num_rows
         lists = table["ids"].combine_chunks()
         sizes, flat = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
@@ -152,8 +155,8 @@ def _fold_fit(width: int, k: int):
         del table, lists
         of = np.repeat(inside, sizes)
         model = fit(flat[~of], sizes[~inside], before[~inside], y[~inside], width)
-        out = {"held": [held], "weights": [None], "earlier": [None], "bias": [model.bias], "doc_ids": [[]], "p": [[]]}
-        if held < 0:
+        out = {"held": [fold], "weights": [None], "earlier": [None], "bias": [model.bias], "doc_ids": [[]], "p": [[]]}
+        if fold < 0:
             out |= {"weights": [model.weights.astype("<f8").tobytes()], "earlier": [model.earlier.tolist()]}
         else:
             out |= {"doc_ids": [doc_ids[inside].tolist()], "p": [model.predict(flat[of], sizes[inside], before[inside]).tolist()]}
@@ -212,6 +215,7 @@ def probabilities(chain: Chain, spark) -> callable:
     shared = spark.sparkContext.broadcast(chain)
 
     def predict(text: pd.Series) -> pd.Series:
+        held("toxicity")
         return pd.Series(list(shared.value.predict(text)), index=text.index, dtype=object)
 
     return F.pandas_udf(predict, T.ArrayType(T.DoubleType()))

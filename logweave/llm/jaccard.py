@@ -14,15 +14,18 @@ connected component of that graph:
    document at home with p lies within RHO + R of p, and within 2 R more of p than of its own nearest
    pivot: boundary documents are replicated into just those cells.
 4. *Recursion.* Inside a region, one-shingle sets act as the next pivots: in any global order, partners
-   share one of their first |x| - ceil(0.8 |x|) + 1 shingles, so a document goes to the regions of those.
-   The order puts frequent shingles last, as counted in one document of ORDER_SHARE; any order is exact,
-   this one keeps regions small. The smallest document of each such region is its next pivot: it is
-   compared with all others, and what it links is one group from then on. Regions with more than one
-   group left are parted once more by set size, which for partners differs by a factor of at most 1.25.
-   There, pairs are dropped when their distances to the cell's pivot differ by more than R, when both are
-   of one group already, or when the shingles they share among the first cannot reach the overlap needed.
-   Pairs of either kind are dropped when their parities (for each of PARITY classes of shingles, whether a
-   set has an odd number of them) differ in more places than partners differ in shingles.
+   share one of their first |x| - ceil(0.8 |x|) + 1 shingles, so a document goes to the regions of those
+   that another document has among its first. The order puts frequent shingles last, by the powers of two
+   of their counts in one document of ORDER_SHARE; any order is exact, this one keeps regions small. The
+   smallest document of each such region is its next pivot: it is compared with all others, and what it
+   links is one group from then on. Regions with more than one group left are parted once more by set
+   size, which for partners differs by a factor of at most 1.25; there, documents outside of the region's
+   largest group meet the others. Pairs are dropped when their distances to the cell's pivot differ by more
+   than R, when both are of one group already, or when, the region's shingle being the first they share,
+   what follows it in either set is less than the overlap needed. Of different pairs left, those go whose
+   parities (for each of CLASSES classes of shingles, whether a set has an odd number of them) differ in more
+   places than partners differ in shingles; and of sets of over LONG shingles, those whose numbers of
+   shingles in each class differ by more in all.
 5. *Exact check.* The sets of remaining pairs are made again from the texts and intersected.
 
 Sampling chooses pivots and the order only; every document takes part in every step and no list, region
@@ -47,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import maybe_broadcast, stored
+from .common import bounded, fresh_dir, held, maybe_broadcast, remove_dir, stored, stored_at
 from .graph import components
 
 SHINGLE = 5
@@ -58,15 +61,15 @@ PIVOT_SHINGLES = 4096
 ORDER_SHARE, ORDERED = 16, 2_000_000
 R, RHO, APART = 0.2, 0.3, 0.5
 OUTER = -1
-#: Classes of shingles, 64 to a word.
-PARITY = 512
-CACHE_WORDS = 250_000
+#: Classes of shingles by the last bits of their fingerprints; sets of more shingles are compared by their numbers in each as well.
+CLASSES, LONG = 512, 400
+#: Fingerprints of words that a worker keeps.
+CACHE_WORDS = 100_000
 #: Documents whose sets a task holds at once.
 AT_ONCE = 500
 _EPS = 1e-9
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
 
 
 def shingles(text: str | bytes | None) -> np.ndarray:
@@ -76,15 +79,16 @@ def shingles(text: str | bytes | None) -> np.ndarray:
     w = text.lower().split() if text else []
     if not w:
         return np.zeros(0, np.uint64)
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
+    known = held("jaccard")
+    if len(known) > CACHE_WORDS:
+        known.clear()
     try:
-        h = np.array([_words[x] for x in w], np.uint64)
+        h = np.array([known[x] for x in w], np.uint64)
     except KeyError:
         for x in w:
-            if x not in _words:
-                _words[x] = xxhash.xxh3_64_intdigest(x)
-        h = np.array([_words[x] for x in w], np.uint64)
+            if x not in known:
+                known[x] = xxhash.xxh3_64_intdigest(x)
+        h = np.array([known[x] for x in w], np.uint64)
     size = min(SHINGLE, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
@@ -154,20 +158,20 @@ class Pivots:
         return anchors, cells
 
 
-def first_shingles(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles in the order that has ``frequent`` (ascending) last."""
+def first_shingles(s: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first shingles in the order that goes by ``level``, which ``frequent`` (ascending) have above zero."""
     if not len(s):
         return s
     size = len(s) - (8 * len(s) + 9) // 10 + 1
     if not len(frequent):
         return s[:size]
-    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-    return np.concatenate([s[~late], s[late]])[:size]
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    return s[np.argsort(np.where(frequent[at] == s, level[at], 0), kind="stable")[:size]]
 
 
-def parities(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """For each set the words that hold, a bit for each class of shingles, whether it has an odd number of them."""
-    return [np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).view(np.int64) for s in sets]
+def in_classes(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a set are in each class."""
+    return np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -210,18 +214,21 @@ _CELL = pa.struct([("p", pa.int32()), ("d", pa.float64()), ("home", pa.bool_())]
 
 def _placed(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, frequent = shared.value
+        pivots, *order = shared.value
         for part, sets in _slices(batches):
             got = [pivots.place(s) for s in sets]
             cells = [[{"p": p, "d": d, "home": h} for p, d, h in c] for _, c in got]
-            first = [first_shingles(s, frequent).view(np.int64) for s in sets]
-            columns = [part["doc_id"], part["uid"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array(cells, pa.list_(_CELL)), _lists(first, pa.int64()), _lists(parities(sets), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "n", "digest", "anchors", "cells", "first", "odd"])
+            first = [first_shingles(s, *order).view(np.int64) for s in sets]
+            counts = [in_classes(s) for s in sets]
+            odd = [np.packbits(c.astype(np.uint8) & 1).view(np.int64) for c in counts]
+            spread = [np.minimum(c, 255).astype(np.uint8).tobytes() if len(s) > LONG else None for c, s in zip(counts, sets, strict=True)]
+            columns = [part["doc_id"], part["uid"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array(cells, pa.list_(_CELL)), _lists(first, pa.int64()), _lists(odd, pa.int64()), pa.array(spread, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "n", "digest", "anchors", "cells", "first", "odd", "spread"])
 
     return run
 
 
-PLACED = "doc_id long, uid long, n long, digest binary, anchors array<int>, cells array<struct<p:int,d:double,home:boolean>>, first array<long>, odd array<long>"
+PLACED = "doc_id long, uid long, n long, digest binary, anchors array<int>, cells array<struct<p:int,d:double,home:boolean>>, first array<long>, odd array<long>, spread binary"
 
 
 @F.pandas_udf(T.LongType())
@@ -229,8 +236,8 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Ascending shingles that at least two documents of the counted share have, the most frequent ORDERED of them."""
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending shingles that at least two documents of the counted share have, the most frequent ORDERED of them, and the power of two of each one's count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _slices(batches):
@@ -239,47 +246,63 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
     part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0).dropDuplicates(["text"])
     counted = part.mapInArrow(run, "h long").groupBy("h").count().where("count > 1")
-    rows = counted.orderBy(F.desc("count"), "h").limit(ORDERED).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+    rows = counted.orderBy(F.desc("count"), "h").limit(ORDERED).select("h", F.log2("count").cast("byte").alias("level")).toPandas()
+    h, level = rows["h"].to_numpy(np.int64).view(np.uint64), rows["level"].to_numpy(np.uint8)
+    order = np.argsort(h)
+    return h[order], level[order]
 
 
-def _enough(c: str, n1: str, n2: str) -> str:
-    """Whether sets of which c of the first shingles are shared can link: what is left of one set adds to c."""
-    return f"10 * least({n1}, {n2}) >= 8 * greatest({n1}, {n2}) and {c} + floor((8 * greatest({n1}, {n2}) + 9) / 10) - 1 >= ceil(4 * ({n1} + {n2}) / 9)"
-
-
-#: Whether the parities of two sets allow a link, for which they may differ in so many shingles.
-_ALIKE = " + ".join(f"bit_count(ox[{k}] ^ oy[{k}])" for k in range(PARITY // 64)) + " <= nx + ny - 2 * ceil(4 * (nx + ny) / 9)"
+def _may(n1: str, at1: str, n2: str, at2: str) -> str:
+    """Whether sets whose first shared shingle is at these places can link: what follows in either is enough."""
+    return f"10 * least({n1}, {n2}) >= 8 * greatest({n1}, {n2}) and least({n1} - {at1}, {n2} - {at2}) >= ceil(4 * ({n1} + {n2}) / 9)"
 
 
 def regions(reps: DataFrame) -> DataFrame:
-    """p, h, rep, leader: the documents of each one-shingle region that has two at least."""
-    rows = reps.select("rep", F.explode("cells.p").alias("p"), "first").select("rep", "p", F.explode("first").alias("h"))
-    shared = rows.groupBy("p", "h").agg(F.count("*").alias("m"), F.min("rep").alias("leader")).where("m > 1").select("p", "h", "leader")
+    """p, h, rep, n, at, d, home, leader: the documents of each one-shingle region that has two at least, with their places in it and its smallest document."""
+    first = reps.select("rep", F.posexplode("first").alias("at", "h"))
+    twice = first.groupBy("h").count().where("count > 1").select("h")
+    met = first.join(twice, "h", "left_semi").join(reps.select("rep", F.col("n").cast("int").alias("n"), "cells"), "rep")
+    rows = stored(met.select("rep", "n", "at", "h", F.explode("cells").alias("c")).select("c.p", "h", "rep", "n", "at", "c.d", "c.home"), "placed-regions")
+    shared = rows.groupBy("p", "h").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n", "at")).alias("leader")).where("m > 1").drop("m")
     return rows.join(shared, ["p", "h"])
 
 
-def leader_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
+def leader_pairs(members: DataFrame) -> DataFrame:
     """(x, y): documents and the leaders of their regions that may link."""
-    met = members.where("rep <> leader").groupBy(F.col("leader").alias("x"), F.col("rep").alias("y")).agg(F.count("*").alias("c"))
-    sized = met.join(sizes.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("odd").alias("ox")), "x").join(sizes.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("odd").alias("oy")), "y")
-    return sized.where(_enough("c", "nx", "ny")).where(_ALIKE).select("x", "y")
+    met = members.where("rep <> leader.rep").where(_may("n", "at", "leader.n", "leader.at"))
+    return met.select(F.col("leader.rep").alias("x"), F.col("rep").alias("y")).distinct()
 
 
-def other_pairs(members: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
+def other_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
     """(x, y) that may link and are not of one group, within regions where more than one group is left."""
-    placed = reps.select("rep", "n", "odd", F.explode("cells").alias("c")).select("rep", "n", "odd", F.col("c.p").alias("p"), F.col("c.d").alias("d"), F.col("c.home").alias("home"))
-    placed = placed.join(groups, placed["rep"] == groups["node"], "left").select("rep", "p", "n", "odd", "d", "home", F.coalesce("component", "rep").alias("g"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + F.lit(1e-6)).cast("int").alias("size"))
-    known = members.select("p", "h", "rep").join(placed.select("rep", "p", "g", "home"), ["rep", "p"])
-    left_over = known.groupBy("p", "h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("home").alias("any_home")).where("lo <> hi and any_home").select("p", "h")
-    known = known.select("p", "h", "rep").join(left_over, ["p", "h"]).join(placed, ["rep", "p"])
-    left = known.select("p", "h", F.col("size").alias("part"), "size", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("odd").alias("ox"), F.col("g").alias("gx"), F.col("d").alias("dx"), F.col("home").alias("hx"))
-    right = known.select("p", "h", F.explode(F.array("size", F.col("size") - 1)).alias("part"), F.col("size").alias("size_y"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("odd").alias("oy"), F.col("g").alias("gy"), F.col("d").alias("dy"), F.col("home").alias("hy"))
-    met = left.join(right, ["p", "h", "part"]).where(
-        f"(size_y > size or x < y) and (hx or hy) and gx <> gy and abs(dx - dy) <= {R + _EPS} and 10 * least(nx, ny) >= 8 * greatest(nx, ny) and {_ALIKE}"
-    )
-    pairs = met.groupBy("p", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("c"), F.first(F.greatest("nx", "ny")).alias("n1"), F.first(F.least("nx", "ny")).alias("n2"))
-    return pairs.where(_enough("c", "n1", "n2")).select("x", "y").distinct()
+    grouped = members.drop("leader").join(groups, members["rep"] == groups["node"], "left").drop("node").withColumn("g", F.coalesce("component", "rep")).drop("component")
+    counted = grouped.groupBy("p", "h", "g").agg(F.count("*").alias("m"), F.max("home").alias("at_home"))
+    left_over = counted.groupBy("p", "h").agg(F.count("*").alias("k"), F.max("at_home").alias("at_home"), F.max_by("g", F.struct("m", "g")).alias("top")).where("k > 1 and at_home").select("p", "h", "top")
+    known = grouped.join(left_over, ["p", "h"]).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + F.lit(1e-6)).cast("int"))
+    named = lambda k: [F.col(c).alias(c + k) for c in ("rep", "n", "at", "d", "home", "g")]
+    left = known.where("g <> top").select("p", "h", F.col("size").alias("part"), "top", *named("1"))
+    right = known.select("p", "h", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)).alias("part"), *named("2"))
+    may = f"g1 <> g2 and (g2 = top or rep1 < rep2) and (home1 or home2) and abs(d1 - d2) <= {R + _EPS} and {_may('n1', 'at1', 'n2', 'at2')}"
+    return left.join(right, ["p", "h", "part"]).where(may).select(F.least("rep1", "rep2").alias("x"), F.greatest("rep1", "rep2").alias("y")).distinct()
+
+
+#: In how many shingles partners may differ, and in how many the parities say that two sets differ at least.
+_MOST = "nx + ny - 2 * ceil(4 * (nx + ny) / 9)"
+_ODD = " + ".join(f"bit_count(oddx[{k}] ^ oddy[{k}])" for k in range(CLASSES // 64))
+
+
+@F.pandas_udf(T.LongType())
+def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    """In how many shingles two sets differ at least by their numbers in each class; 0 where these are not kept."""
+    counts = lambda x: np.frombuffer(x, np.uint8).astype(np.int64)
+    return pd.Series([0 if x is None or y is None else int(np.abs(counts(x) - counts(y)).sum()) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The (x, y) of ``pairs``, each once, that may link by what is kept of their sets."""
+    side = lambda k: reps.select(F.col("rep").alias(k), *(F.col(c).alias(c + k) for c in ("n", "odd", "spread")))
+    near = pairs.join(side("x"), "x").join(side("y"), "y").where(f"{_ODD} <= {_MOST}")
+    return near.where(_apart("spreadx", "spready") <= F.expr(_MOST)).select("x", "y")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -297,21 +320,23 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests, sets = sample_pivots(docs)
     pivots = Pivots(sets)
-    shared = spark.sparkContext.broadcast((pivots, frequent_shingles(docs)))
-    placed = stored(docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_placed(shared), PLACED), "placed")
-
+    shared = spark.sparkContext.broadcast((pivots, *frequent_shingles(docs)))
+    path = fresh_dir(spark, "placed")
+    placed = stored_at(docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_placed(shared), PLACED), path)
     classes = placed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "uid")).alias("least"))
     classes = stored(classes.select("digest", F.col("least.doc_id").alias("rep"), F.col("least.uid").alias("uid")), "classes")
-    reps = classes.select("rep", "uid").join(placed.select("uid", "n", "anchors", "cells", "first", "odd"), "uid")
+    reps = stored(classes.select("rep", "uid").join(placed.select("uid", "n", "anchors", "cells", "first", "odd", "spread"), "uid").drop("uid"), "reps")
+    placed = stored(placed.select("doc_id", "n", "digest"), "placed-ids")
+    remove_dir(spark, path)  # what is needed of it is in reps and placed
+    shared.destroy()
     members = stored(regions(reps), "regions")
-    reps = stored(reps.select("rep", "n", "anchors", "cells", "odd"), "reps")
-    links = _anchor_edges(reps, classes, digests, pivots).unionByName(verified(leader_pairs(members, reps), docs, classes))
+    links = _anchor_edges(reps, classes, digests, pivots).unionByName(verified(alike(leader_pairs(members), reps), docs, classes))
     links = stored(links, "links")
     groups = stored(components(links), "groups")
-    links = links.unionByName(verified(other_pairs(members, reps, groups), docs, classes))
+    links = links.unionByName(verified(alike(other_pairs(members, groups), reps), docs, classes))
     found = components(links)
     labels = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -1,12 +1,15 @@
 """Substring deduplication by content-defined chunking (operator 9).
 
-A gear rolling hash over the last 16 bytes cuts each text at places that its content alone decides, every
-``1 << CUT_BITS`` bytes on average, so an insertion moves only the cuts around it. From each cut, as many
-chunks as make ``MIN_SPAN`` bytes are a span, known by a 96-bit digest. A digest that occurs in two
-documents at least is a repeat. Overlapping and touching repeats of a document make runs,
-and runs of at least ``MIN_RUN`` characters are reported. A passage of over fifty words holds several
-spans, wherever it stands. The occurrence in the document with the smallest doc_id stays, the others are
-for removal.
+A gear rolling hash over the last 16 bytes cuts each text at places that its content alone decides: after
+the byte of the least hash of every ``WINDOW`` bytes, so an insertion moves only the cuts around it and no
+stretch of ``WINDOW`` bytes is without a cut. From each cut, as many chunks as make ``MIN_SPAN`` bytes are a
+span, known by a 64-bit digest. A digest that occurs in two documents at least is a repeat. Overlapping and
+touching repeats of a document make runs, and runs of at least ``MIN_RUN`` characters are reported.
+
+Of a passage of n bytes that two documents share, all is covered but 15 + WINDOW bytes before the first
+cut and WINDOW after the last at most; so it is reported if n is at least 15 + 2 * WINDOW + MIN_RUN (175),
+wherever it stands, and most of those that are shorter by half of that are, too. The occurrence in the
+document with the smallest doc_id stays, the others are for removal.
 
 Offsets are code points, ends exclusive. A null or empty text has no repeats; a repeat within one document
 alone does not count; rows that repeat a doc_id are one document and carry its report each; a row with a
@@ -27,15 +30,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .castore import cuts
-from .common import stored
-
-CUT_BITS, MAX_CHUNK = 5, 256
-MIN_SPAN, MIN_RUN = 48, 64
-#: Bytes of text that a task cuts at once, except that a longer text is cut whole.
-AT_ONCE = 4 << 20
-
-_SPANS = pa.schema([("key", pa.int64()), ("extra", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+from .castore import rolling
+from .common import bounded, stored
+
+WINDOW, MIN_SPAN, MIN_RUN = 48, 48, 64
+#: Bytes that the rolling hash looks at.
+GEAR = 16
+#: Bytes of texts, of which a longer one is taken whole, and bytes whose cuts are found at once.
+AT_ONCE, STEP = 2 << 20, 1 << 20
+#: A span is its start, shifted by so many bits, and its length.
+LENGTH_BITS = 20
+
+_SPANS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
+
+
+def cuts(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of texts that lie one after the other and end at ``ends``."""
+    n, begins = len(values), np.concatenate(([0], ends[:-1]))
+    found = []
+    for lo in range(0, n, STEP):
+        back, hi = max(lo - GEAR + 1, 0), min(lo + STEP + WINDOW - 1, n)
+        if hi - lo < WINDOW:
+            continue
+        inside = begins[np.searchsorted(begins, back) : np.searchsorted(begins, hi)]
+        least = (rolling(values[back:hi], inside - back)[lo - back :].astype(np.uint64) << np.uint64(32)) | np.arange(hi - lo, dtype=np.uint64)
+        size = 1
+        while size < WINDOW:
+            step = min(size, WINDOW - size)
+            least, size = np.minimum(least[:-step], least[step:]), size + step
+        whole = np.arange(lo + WINDOW, hi + 1)
+        least = least[whole <= ends[np.searchsorted(ends, whole - WINDOW, side="right")]]  # windows within one text
+        least = least[np.append(True, least[1:] != least[:-1])] if len(least) else least
+        found.append(((least & np.uint64(0xFFFFFFFF)).astype(np.int64) + lo, least >> np.uint64(32)))
+    at, h = (np.concatenate([np.zeros(0, np.int64), *(x[k].astype(np.int64) for x in found)]) for k in (0, 1))
+    if len(at):
+        # Of equal hashes, as in a run of one character, one in a window is enough.
+        first = np.append(True, h[1:] != h[:-1])
+        run = np.cumsum(first)
+        offset = (at - at[first][run - 1]) // WINDOW
+        at = at[np.append(True, (run[1:] != run[:-1]) | (offset[1:] != offset[:-1]))]
+    return np.unique(np.concatenate([at + 1, ends]))
 
 
 def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -46,7 +80,7 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
         none = np.zeros(0, np.int64)
         return none, none, none, []
     values = np.frombuffer(raw, np.uint8)
-    at = cuts(values, ends[sizes > 0], CUT_BITS, MAX_CHUNK)
+    at = cuts(values, ends[sizes > 0])
     owner = np.searchsorted(ends, at, side="left")
     begin = np.concatenate(([0], at[:-1]))
     # From each cut to the first cut at least MIN_SPAN bytes on, if the text has one.
@@ -73,8 +107,8 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, hi - lo)
             texts = [t or b"" for t in part["text"].cast(pa.binary()).to_pylist()]
             owner, start, end, pieces = spans(texts)
-            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.int64).reshape(-1, 2)
-            columns = [pa.array(digests[:, 0]), pa.array((digests[:, 1] >> 32).astype(np.int32)), part["doc_id"].take(pa.array(owner)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+            digests = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces)).view(np.int64)
+            columns = [pa.array(digests), part["doc_id"].take(pa.array(owner)), pa.array((start << LENGTH_BITS) | (end - start))]
             yield pa.RecordBatch.from_arrays(columns, schema=_SPANS)
 
 
@@ -104,11 +138,14 @@ def _runs(start: pd.Series, end: pd.Series, later: pd.Series) -> pd.DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, repeats, removed (arrays of start, end) of the documents that have any."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(rows.mapInArrow(_span_rows, "key long, extra int, doc_id long, start int, end int"), "spans")
-    shared = found.groupBy("key", "extra").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "extra", "lo")
-    # A digest of very many documents is split by the engine's skew handling: nothing above needs its rows together.
-    hits = found.join(shared, ["key", "extra"]).select("doc_id", F.struct("start", "end", (F.col("doc_id") > F.col("lo")).alias("later")).alias("s"))
+    rows = bounded(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Cut twice, once to count and once to look up: that costs less than to keep the spans of all texts.
+    found = rows.mapInArrow(_span_rows, "key long, doc_id long, at long")
+    # Written, so that the join below has a shuffle on either side and a digest of very many documents can be split.
+    shared = stored(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo"), "shared-spans")
+    start = F.shiftright("at", LENGTH_BITS)
+    span = F.struct(start.cast("int").alias("start"), (start + F.col("at").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))).cast("int").alias("end"), (F.col("doc_id") > F.col("lo")).alias("later"))
+    hits = found.join(shared, "key").select("doc_id", span.alias("s"))
     each = hits.groupBy("doc_id").agg(F.collect_set("s").alias("s"))
     runs = each.select("doc_id", _runs("s.start", "s.end", "s.later").alias("r")).select("doc_id", "r.*")
     return runs.where(F.size("repeats") > 0)

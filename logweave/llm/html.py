@@ -2,18 +2,23 @@
 
 Every page is cut into blocks of text, each with what its markup says: inside the article, inside a menu,
 header, footer, sidebar, notice, advert or reader comment, or neither. Scripts, styles, forms and markup
-give no blocks. The token streams of a host's pages are concatenated, with a mark of its own after each
-page, into a suffix array (prefix doubling; common prefixes of neighbours from the ranks of all doublings).
-Runs of at least ``MIN_TOKENS`` tokens found on ``MIN_PAGES`` pages of different content are repeated.
+give no blocks. The token streams of a host's pages, blocks of a kind together, are concatenated, with a mark
+of its own after each stream, into a suffix array. Runs of at least ``MIN_TOKENS`` tokens found on
+``MIN_PAGES`` pages of different content are repeated; as a longer run is covered by its parts of
+``MIN_TOKENS``, the order of the suffixes need not be known any deeper.
 
 A block goes when the markup calls it boilerplate. Of the others repeats decide: outside of an article a
 block goes when repeated runs cover most of it, whether the page has an article or not; inside of one, when
 the runs that cover most of it are on ``WIDE_SHARE`` of the host's different pages and on ``WIDE_PAGES`` at
 least. Other repeats inside an article are counted but stay: articles quote one another and are copied
-whole, and the text of an article has to come out whole.
+whole, and the text of an article has to come out whole. How many blocks went by markup and by repeats is
+told for each page.
 
-A host of more than ``ARRAY_PAGES`` pages gets several arrays, its pages dealt by a hash: what is
-boilerplate stands on pages of each of them. No page is left out and no text shortened.
+A host of more than ``ARRAY_PAGES`` pages gets several arrays, its pages dealt by a hash of page_id and url. What
+stands outside of articles is counted over the whole host all the same: the runs of ``MIN_TOKENS`` tokens of
+all its pages are added up by digest, and each array is told which of its pages' runs are repeated. Which
+runs inside articles are on ``WIDE_SHARE`` of the pages is seen from an array's own pages, as is the number of
+repeated tokens inside articles. No page is left out and no text shortened.
 
 A null or empty html gives an empty text; a null url belongs to a host of its own; page_id may be null and
 may repeat, every row is extracted; an empty table gives none. Other columns are ignored.
@@ -27,10 +32,11 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import bounded, maybe_broadcast, stored
 
 MIN_TOKENS, MIN_PAGES = 5, 3
 #: Pages of one suffix array on average; memory of a task grows with their text alone.
@@ -179,69 +185,125 @@ def repeated(tokens: np.ndarray, content: np.ndarray, *least: int) -> list[np.nd
     several = np.bincount(pages, minlength=group[-1] + 1)[group]
     out = []
     for k in least:
-        starts = order[several >= k]
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, np.minimum(starts + MIN_TOKENS, n), -1)
-        out.append(np.cumsum(edge)[:n] > 0)
+        out.append(_spread(order[several >= k], n))
     return out
 
 
-def main_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
-    """For the blocks of pages of one host: the main text of each, and how many of its tokens are repeated."""
+def digests(words: list[str]) -> np.ndarray:
+    """Digests of the runs of MIN_TOKENS words."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    out = np.zeros(max(len(h) - MIN_TOKENS + 1, 0), np.uint64)
+    for k in range(MIN_TOKENS):
+        out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _spread(starts: np.ndarray, n: int) -> np.ndarray:
+    """Which of n tokens lie in runs of MIN_TOKENS that begin at ``starts``."""
+    edge = np.zeros(n + MIN_TOKENS + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + MIN_TOKENS, -1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def main_texts(pages: list[list[tuple[int, str]]], told: list[set[int] | None]) -> list[tuple[str, int, int, int]]:
+    """For the blocks of pages of one host: the main text of each, how many tokens of its other blocks and its article are repeated, and how many blocks went by markup and by repeats.
+
+    ``told``: of each page the digests of runs outside of articles that are repeated; None: the pages here are
+    all of the host, and its suffix array says which are.
+    """
     words: list[str] = []
-    page_of, block_of = [], []
+    page_of, block_of, role_of = [], [], []
     n_blocks = 0
     contents: dict[int, int] = {}
     for page in pages:
         content = contents.setdefault(hash(tuple(page)), len(contents))
-        for _, text in page:
-            split = text.split()
-            words += split
-            page_of += [content] * len(split)
-            block_of += [n_blocks] * len(split)
-            n_blocks += 1
-        words.append("")  # made different for every page below
-        page_of.append(content)
-        block_of.append(-1)
-    tokens = pd.factorize(np.array(words, object))[0].astype(np.int64)
-    block = np.array(block_of, np.int64)
+        for kind in (MAIN, PLAIN):
+            for k, (role, text) in enumerate(page):
+                if role == kind:
+                    split = text.split()
+                    words += split
+                    page_of += [content] * len(split)
+                    block_of += [n_blocks + k] * len(split)
+                    role_of += [kind] * len(split)
+            words.append("")  # made different for every stream below
+            page_of.append(content)
+            block_of.append(-1)
+            role_of.append(kind)
+        n_blocks += len(page)
+    block, role = np.array(block_of, np.int64), np.array(role_of, np.int64)
+    tokens = pd.factorize(np.array(words, object))[0].astype(np.int64) * 3 + role  # what is inside and outside of articles is not alike
     marks = np.flatnonzero(block < 0)
     tokens[marks] = tokens.max(initial=0) + 1 + np.arange(len(marks))
     covered, wide = repeated(tokens, np.array(page_of, np.int64), MIN_PAGES, max(WIDE_PAGES, int(np.ceil(WIDE_SHARE * len(contents)))))
+    at = 0
+    for page, known in zip(pages, told, strict=True):
+        sizes = [sum(len(t.split()) for r, t in page if r == kind) for kind in (MAIN, PLAIN)]
+        first = at + sizes[0] + 1
+        if known is not None and sizes[1]:
+            runs = digests(words[first : first + sizes[1]])
+            covered[first : first + sizes[1]] = _spread(np.flatnonzero([int(x) in known for x in runs]), sizes[1])
+        at = first + sizes[1] + 1
     inside = block >= 0
     total = np.bincount(block[inside], minlength=n_blocks)
     share, wide_share = (np.bincount(block[inside], weights=x[inside], minlength=n_blocks) / np.maximum(total, 1) for x in (covered, wide))
     out, k = [], 0
     for page in pages:
-        kept, n_repeated = [], 0
+        kept, n_repeated, by_markup, by_repeats = [], 0, 0, 0
         for role, text in page:
             n_repeated += round(share[k] * total[k])
-            if role == MAIN and wide_share[k] < COVERED or role == PLAIN and share[k] < COVERED:
+            if role == BOILERPLATE:
+                by_markup += 1
+            elif (wide_share if role == MAIN else share)[k] < COVERED:
                 kept.append(text)
+            else:
+                by_repeats += 1
             k += 1
-        out.append(("\n\n".join(kept), n_repeated))
+        out.append(("\n\n".join(kept), n_repeated, by_markup, by_repeats))
     return out
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Roles and texts of the blocks; of what the markup calls boilerplate the roles alone."""
     for pdf in batches:
         got = [blocks(x) for x in pdf["html"]]
-        yield pdf.drop(columns="html").assign(roles=[[r for r, _ in b] for b in got], texts=[[t for _, t in b] for b in got])
+        yield pdf.drop(columns="html").assign(roles=[[r for r, _ in b] for b in got], texts=[[t if r != BOILERPLATE else "" for r, t in b] for b in got])
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The digests of each page's runs outside of its article, and one of the page's content."""
+    for pdf in batches:
+        for host, part, uid, html in zip(pdf["host"], pdf["part"], pdf["uid"], pdf["html"], strict=True):
+            page = blocks(html)
+            found = np.unique(digests([w for r, t in page if r == PLAIN for w in t.split()]))
+            if len(found):
+                content = xxhash.xxh3_64_intdigest("\0".join(f"{r}{t if r != BOILERPLATE else ''}" for r, t in page).encode("utf-8", "surrogatepass")) >> 1
+                yield pd.DataFrame({"host": host, "part": part, "uid": uid, "digest": found, "content": content})
 
 
-def _extract(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["page_id", "url"], kind="stable")
-    got = main_texts([list(zip([int(r) for r in roles], texts, strict=True)) for roles, texts in zip(pdf["roles"], pdf["texts"], strict=True)])
-    return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").array, "url": pdf["url"].array, "text": [t for t, _ in got], "n_chars": [len(t) for t, _ in got], "n_repeated_tokens": [n for _, n in got]})
+def _extract(pdf: pd.DataFrame, repeats: pd.DataFrame) -> pd.DataFrame:
+    if not len(pdf):
+        return pd.DataFrame({"page_id": pd.Series(dtype="Int64"), "url": [], "text": [], "n_chars": [], "n_repeated_tokens": [], "n_blocks_by_markup": [], "n_blocks_by_repeats": []})
+    pdf = pdf.sort_values(["page_id", "url", "uid"], kind="stable")
+    known = dict(zip(repeats["uid"].tolist(), repeats["digests"], strict=True))
+    told = [set(map(int, known.get(uid, ()))) if arrays > 1 else None for uid, arrays in zip(pdf["uid"].tolist(), pdf["arrays"], strict=True)]
+    got = main_texts([list(zip([int(r) for r in roles], texts, strict=True)) for roles, texts in zip(pdf["roles"], pdf["texts"], strict=True)], told)
+    columns = dict(zip(("text", "n_repeated_tokens", "n_blocks_by_markup", "n_blocks_by_repeats"), zip(*got, strict=True), strict=True))
+    return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").array, "url": pdf["url"].array, "text": columns.pop("text"), "n_chars": [len(t) for t, *_ in got]} | columns)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_repeated_tokens for every row of ``pages(page_id, url, html)``."""
+    """page_id, url, text, n_chars, n_repeated_tokens, n_blocks_by_markup, n_blocks_by_repeats for every row of ``pages(page_id, url, html)``."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
+    rows = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("uid"))
     # Only hosts that need several arrays are listed.
     large = stored(rows.groupBy("host").count().where(F.col("count") > ARRAY_PAGES).select("host", F.ceil(F.col("count") / ARRAY_PAGES).alias("arrays")), "hosts")
-    dealt = rows.join(maybe_broadcast(large), "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("arrays", F.lit(1))))
-    cut = dealt.select("page_id", "url", "html", "host", "part").mapInPandas(_cut, "page_id long, url string, host string, part long, roles array<int>, texts array<string>")
-    return cut.groupBy("host", "part").applyInPandas(_extract, "page_id long, url string, text string, n_chars long, n_repeated_tokens long")
+    dealt = rows.join(maybe_broadcast(large), "host", "left").withColumn("arrays", F.coalesce("arrays", F.lit(1).cast("long"))).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), "arrays"))
+    runs = stored(dealt.where("arrays > 1").select("host", "part", "uid", "html").mapInPandas(_runs, "host string, part long, uid long, digest long, content long"), "host-runs")
+    # Rows that are alike have one uid, and the same runs. Runs of different contents are counted, not gathered; a run of very many pages is one row of each content and task.
+    often = stored(runs.select("host", "digest", "content").distinct().groupBy("host", "digest").count().where(F.col("count") >= MIN_PAGES).select("host", "digest"), "host-repeats")
+    repeats = runs.join(often, ["host", "digest"]).groupBy("host", "part", "uid").agg(F.collect_set("digest").alias("digests"))
+    cut = dealt.select("page_id", "url", "html", "host", "uid", "arrays", "part").mapInPandas(_cut, "page_id long, url string, host string, uid long, arrays long, part long, roles array<int>, texts array<string>")
+    out = "page_id long, url string, text string, n_chars long, n_repeated_tokens long, n_blocks_by_markup long, n_blocks_by_repeats long"
+    return cut.groupBy("host", "part").cogroup(repeats.groupBy("host", "part")).applyInPandas(_extract, out)

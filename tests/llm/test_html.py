@@ -7,7 +7,7 @@ from logweave.llm import html
 
 
 def text_of(page):
-    return html.main_texts([html.blocks(page)])[0][0]
+    return html.main_texts([html.blocks(page)], [None])[0][0]
 
 
 def test_blocks_and_decoding():
@@ -75,4 +75,54 @@ def test_repeats_decide_in_and_beside_an_article():
         inside = [body, quoted] if i in (3, 8, 9, 20) else [body]
         pages.append(f"<p>{lead}</p><article>" + "".join(f"<p>{x}</p>" for x in inside) + (f"<p>{offer}</p>" if i % 4 else "") + f"</article><p>{foot}</p>")
         want.append("\n\n".join([lead, *inside]))
-    assert [t for t, _ in html.main_texts([html.blocks(p) for p in pages])] == want
+    got = html.main_texts([html.blocks(p) for p in pages], [None] * 40)
+    assert [t for t, *_ in got] == want
+    assert all(markup == 0 and repeats == (2 if i % 4 else 1) for i, (_, _, markup, repeats) in enumerate(got))
+
+
+def plain(pages):
+    """Main texts of one host's pages without articles: blocks that are mostly made of runs found on three contents go."""
+    runs = {}
+    streams = [[w for r, t in p if r == html.PLAIN for w in t.split()] for p in pages]
+    for page, words in zip(pages, streams, strict=True):
+        for k in range(len(words) - html.MIN_TOKENS + 1):
+            runs.setdefault(tuple(words[k : k + html.MIN_TOKENS]), set()).add(tuple((r, t if r != html.BOILERPLATE else "") for r, t in page))
+    out = []
+    for page, words in zip(pages, streams, strict=True):
+        covered = [False] * len(words)
+        for k in range(len(words) - html.MIN_TOKENS + 1):
+            if len(runs[tuple(words[k : k + html.MIN_TOKENS])]) >= html.MIN_PAGES:
+                covered[k : k + html.MIN_TOKENS] = [True] * html.MIN_TOKENS
+        kept, at = [], 0
+        for role, text in page:
+            if role == html.PLAIN:
+                n = len(text.split())
+                if sum(covered[at : at + n]) < html.COVERED * n:
+                    kept.append(text)
+                at += n
+        out.append("\n\n".join(kept))
+    return out
+
+
+def test_a_large_host_is_like_one_array(spark, monkeypatch):
+    """Pages without an article, and a notice that stands on few of them: each array alone would see it once."""
+    rnd = random.Random(6)
+    sentence = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    notice, menu, foot = sentence(8), sentence(6), sentence(7)
+    rows = []
+    for i in range(200):
+        parts = [menu, sentence(12), *([notice] if i % 40 == 3 else []), sentence(20) + (" " + foot if i % 9 == 0 else ""), foot]
+        rows.append((i, f"https://big.example/{i}", "<nav>x y z</nav>" + "".join(f"<div>{p}</div>" for p in parts)))
+    rows += [(300 + i, "https://big.example/copy", rows[5][2]) for i in range(60)] + [(5, rows[5][1], rows[5][2])] * 5
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    texts = lambda: sorted((r["page_id"], r["text"], r["n_blocks_by_repeats"]) for r in html.extract(pages).collect())
+    whole = []
+    for size in (100_000, 7):
+        monkeypatch.setattr(html, "ARRAY_PAGES", size)
+        whole.append(texts())
+    assert whole[0] == whole[1]
+    want = plain([html.blocks(h) for _, _, h in rows])
+    assert [t for _, t, _ in whole[1]] == [t for _, t in sorted(zip([d for d, _, _ in rows], want, strict=True))]
+    assert not any(notice in t or menu in t for t in want)
+    monkeypatch.setattr(html, "MIN_PAGES", 10**6)  # without repeats the text is another
+    assert sum(notice in t for _, t, _ in texts()) == 5

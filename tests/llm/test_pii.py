@@ -41,7 +41,7 @@ def test_samples():
 
 
 def test_very_long_runs():
-    runs = [c * 20_000 for c in "0123456789.@+- ()a_"] + ["0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 9000 + "4", "1." * 9000, "1 " * 9000, "1-" * 9000, "+1" * 9000, "a@" * 9000, "+1" + "(" * 9000 + "2", "a@" + "b." * 9000 + "c"]
+    runs = [c * 2_000 for c in "0123456789.@+- ()a_"] + ["0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 9000 + "4", "1." * 2000, "1 " * 2000, "1-" * 2000, "+1" * 2000, "a@" * 2000, "+1" + "(" * 2000 + "2", "a@" + "b." * 2000 + "c"]
     for a in runs:
         assert base(a) == plain(a)
         assert base(f"x {a} 1.2.3.4") == plain(f"x {a} 1.2.3.4")

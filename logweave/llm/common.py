@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,10 +86,19 @@ def held(owner: str) -> dict:
     """
     if owner not in _held:
         _held.clear()
+        _given_back()
         _held[owner] = {}
     return _held[owner]
 
 
+def _given_back() -> None:
+    """Hand memory that this process has freed back to the machine; allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has no such call everywhere
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark ``df`` for broadcast if its counted rows are few enough, otherwise leave it to a shuffled join."""
     rows = df.count() if rows is None else rows

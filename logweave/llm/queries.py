@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import castore, decontaminate, html, jaccard, lmscore, pieces, pii, substrings, toxicity, vectors
+from . import castore, codes, collocations, decontaminate, html, jaccard, lmscore, pieces, pii, substrings, toxicity, vectors
 from .common import table
 
 
@@ -49,6 +49,14 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,7 +70,55 @@ QUERIES = {
         op8_personal_data,
         op9_repeated_substrings,
         op10_embedding_near_duplicates,
+        op11_vector_codes,
+        op13_collocations,
     )
 }
 
-SQL: dict[str, str] = {}
+
+def _nearest_sql(k: int) -> str:
+    """Every distinct part with the least of distance * 64 + entry."""
+    return (
+        f" a{k} as (select d.j, d.v, d.w, min(list_sum(list_transform(list_zip(d.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + c.e) m"
+        f" from d join c{k} c on c.j = d.j group by d.j, d.v, d.w),"
+    )
+
+
+def _moved_sql(k: int) -> str:
+    """The entries after a round: floors of sums by counts."""
+    return (
+        f" s{k} as (select j, m % 64 e, pos, sum(w * x) s, sum(w) n from (select j, m, w, unnest(v) x, generate_subscripts(v, 1) pos from a{k}) group by j, e, pos),"
+        f" c{k + 1} as (select c.j, c.e, list(coalesce(cast((s - ((s % n) + n) % n) // n as bigint), x) order by c.pos) v"
+        f" from (select j, e, unnest(v) x, generate_subscripts(v, 1) pos from c{k}) c left join s{k} using (j, e, pos) group by c.j, c.e),"
+    )
+
+
+_CODES = (
+    "with k as (select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) q from embeddings"
+    " where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),"
+    " p as (select vec_id, label, j, q[j * (len(q) // 16) + 1 : (j + 1) * (len(q) // 16)] v from k, (select unnest(range(16)) j)),"
+    " d as (select j, v, count(*) w from p group by j, v),"
+    " c0 as (select j, row_number() over (partition by j order by vec_id) - 1 e, v from p qualify e < 64),"
+    + _nearest_sql(0) + _moved_sql(0) + _nearest_sql(1) + _moved_sql(1) + _nearest_sql(2)
+    + " h as (select sha256(string_agg(array_to_string(v, ','), ',' order by j, e)) codebooks_sha256 from c2),"
+    " t as (select vec_id, any_value(label) as label, string_agg(lpad(lower(to_hex(cast(m % 64 as bigint))), 2, '0'), '' order by p.j) code, cast(sum(m // 64) as bigint) error"
+    " from p join a2 on a2.j = p.j and a2.v = p.v group by vec_id)"
+    " select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, codebooks_sha256 from t, h"
+)
+
+_COLLOCATIONS = (
+    "with t as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),"
+    " w as (select lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') as ws from t),"
+    " g as (select lang, len(ws) as size, unnest(ws) as w1, unnest(ws[2:]) as w2, unnest(ws[3:]) as w3, unnest(ws[4:]) as w4 from w),"
+    " p as (select lang, w1 as p, 1 as m from g union all select lang, w1 || ' ' || w2, 2 from g where w2 is not null union all select lang, w1 || ' ' || w2 || ' ' || w3, 3 from g where w3 is not null union all select lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 4 from g where w4 is not null),"
+    " n as (select lang, count(*) as n from g group by lang),"
+    " f as (select lang, string_split(p, ' ') as ws, p, m, count(*) as c from p group by lang, p, m having count(*) >= 30),"
+    " cuts as (select lang, p, c as a, k, array_to_string(ws[1:k], ' ') as lp, array_to_string(ws[k+1:], ' ') as rp from f, (select unnest([1, 2, 3]) as k) where k < m),"
+    " k as (select cuts.*, x.c as l, y.c as r, 2000000 * cast(a as hugeint) // (x.c + y.c) as score from cuts join f x on x.lang = cuts.lang and x.p = lp join f y on y.lang = cuts.lang and y.p = rp),"
+    " b as (select * from k qualify row_number() over (partition by lang, p order by score, k) = 1),"
+    " o as (select lang, array_to_string(ws[i:i + j - 1], ' ') as p, max(c) as longer from f, (select unnest([2, 3]) as j), (select unnest([1, 2, 3]) as i) where j < m and i + j - 1 <= m group by 1, 2),"
+    " e as (select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.p) as rank from b left join o on o.lang = b.lang and o.p = b.p where o.longer is null or 100 * o.longer < 80 * b.a)"
+    " select e.lang, rank, p as phrase, a, l, r, n.n as n, cast(score as bigint) as score from e join n on n.lang = e.lang where rank <= 2000"
+)
+
+SQL: dict[str, str] = {"op11_vector_codes": _CODES, "op13_collocations": _COLLOCATIONS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import castore, codes, collocations, decontaminate, html, jaccard, lmscore, pieces, pii, substrings, toxicity, vectors
+from . import castore, codes, collocations, decontaminate, html, jaccard, lmscore, pieces, pii, substrings, suffixes, toxicity, vectors
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
         op9_repeated_substrings,
         op10_embedding_near_duplicates,
         op11_vector_codes,
+        op12_suffix_runs,
         op13_collocations,
     )
 }
@@ -121,4 +126,16 @@ _COLLOCATIONS = (
     " select e.lang, rank, p as phrase, a, l, r, n.n as n, cast(score as bigint) as score from e join n on n.lang = e.lang where rank <= 2000"
 )
 
-SQL: dict[str, str] = {"op11_vector_codes": _CODES, "op13_collocations": _COLLOCATIONS}
+_SUFFIXES = (
+    "with t as (select row_number() over () as row_no, doc_id, hex(encode(coalesce(text, ''))) as h from documents),"
+    " w as (select row_no, i, md5_number(substr(h, 2 * i + 1, 800)) as m from (select row_no, h, unnest(range(0, len(h) // 2 - 399)) as i from t where len(h) >= 800)),"
+    " d as (select row_no, i from (select row_no, i, count(*) over (partition by m) as c from w) where c > 1),"
+    " b as (select row_no, i, sum(fresh) over (partition by row_no order by i) as run from (select row_no, i, case when i - lag(i) over (partition by row_no order by i) <= 400 then 0 else 1 end as fresh from d)),"
+    " s as (select row_no, run, min(i) as lo, max(i) + 400 as hi from b group by row_no, run),"
+    " k as (select row_no, lag(hi, 1, 0) over (partition by row_no order by lo) as lo, lo as hi from s union all select t.row_no, coalesce(max(s.hi), 0), len(any_value(t.h)) // 2 from t left join s on s.row_no = t.row_no group by t.row_no),"
+    " r as (select k.row_no, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' order by lo) as kept from k join t on t.row_no = k.row_no group by k.row_no),"
+    " n as (select row_no, cast(sum(hi - lo) as bigint) as removed, count(*) as spans from s group by row_no)"
+    " select doc_id, len(h) // 2 as n_bytes, coalesce(removed, 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(kept)) as kept_sha256 from t join r on r.row_no = t.row_no left join n on n.row_no = t.row_no"
+)
+
+SQL: dict[str, str] = {"op11_vector_codes": _CODES, "op12_suffix_runs": _SUFFIXES, "op13_collocations": _COLLOCATIONS}

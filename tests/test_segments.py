@@ -74,3 +74,43 @@ def test_packing(spark):
 def test_numbers(spark):
     df = spark.range(0, 1000, 1, 7).selectExpr("(id * 37) % 1000 as k")
     assert [r["number"] for r in S.numbered(df, ["k"]).orderBy("k").collect()] == list(range(1000))
+
+
+def plain_fold(costs, times, budget, fold=None):
+    fold = fold or S.Fold()
+    return [fold.step(c, t, budget) for c, t in zip(costs, times, strict=True)], fold
+
+
+BUDGETS = [
+    C.WINDOW,
+    C.AUTHOR,
+    S.Budget(max_cost=60, overlap=0.4, max_overlap=3, hard_cost=75),
+    S.Budget(max_cost=200, max_rows=6, overlap=0.5, max_overlap=4, max_gap_s=8),
+    S.Budget(max_gap_s=9),
+    S.Budget(max_cost=10**6, hard_cost=70),
+    S.Budget(max_rows=5),
+]
+
+
+@pytest.mark.parametrize("k", range(len(BUDGETS)))
+def test_pieces_of_a_long_group_equal_the_fold(spark, k):
+    """Long groups in pieces of a few rows, short ones beside them, and from states, in one run and in two."""
+    budget, rnd = BUDGETS[k], random.Random(k)
+    rows, want = [], {}
+    for g, n in (("hot", 400), ("warm", 61), ("cold", 9)):
+        costs = [rnd.choice([0, 0, 1, 3, 20, 45, 80, 300] if g != "warm" else [0, 1, 30]) for _ in range(n)]
+        times, t = [], 0.0
+        for _ in range(n):
+            t += rnd.choice([0.0, 1.0, 1.0, 2.0, 9.5])
+            times.append(t)
+        rows += [(g, i, c, x) for i, (c, x) in enumerate(zip(costs, times, strict=True))]
+        got, _ = plain_fold(costs, times, budget)
+        want |= {(g, i): x for i, x in enumerate(got) if x}
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, id bigint, cost bigint, at double").repartition(3)
+    read = lambda found: {(r["g"], r["id"]): (r["pos"], r["seg_start"]) for r in found.where("state is null").collect()}
+    assert read(S.folded(df, ["g"], ["id"], "cost", budget, "at", piece_rows=23)) == want
+    first = S.folded(df.where("id < 137"), ["g"], ["id"], "cost", budget, "at", piece_rows=23)
+    states = S.states_after(first, ["g"])
+    second = S.folded(df.where("id >= 137"), ["g"], ["id"], "cost", budget, "at", states=states, piece_rows=23)
+    assert read(first) | read(second) == want

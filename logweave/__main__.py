@@ -1,6 +1,6 @@
-"""python -m logweave load|chunk|embed|project|search: thin commands over the library's jobs.
+"""python -m logweave load|chunk|embed|project|search|vacuum: thin commands over the library's jobs.
 
-Tables are versions of Parquet folders in one warehouse; the log of messages is a folder that grows.
+Tables are buckets of Parquet in one warehouse; the log of messages is a folder that grows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def load(wh: Warehouse, pages: str, guild: int | None = None) -> int:
     n = runs.persist_messages(wh, raw, guild)
     ids = raw.select(F.get_json_object("raw", "$.id").cast("bigint").alias("message_id")).distinct()
     told = rendered(wh).join(ids, "message_id", "left_semi")
+    if wh.holds("log"):  # one row a message
+        told = told.join(wh.spark.read.parquet(f"{wh.root}/log").select("message_id"), "message_id", "left_anti")
     if wh.has("chunking_checkpoints"):  # the log only goes on, as its readers never look behind their checkpoint
         told = told.join(wh.read("chunking_checkpoints"), "channel_id", "left").where("last_message_id is null or message_id > last_message_id").drop("last_message_id")
     told.write.mode("append").parquet(f"{wh.root}/log")
@@ -37,14 +39,14 @@ def rendered(wh: Warehouse):
     return told.select("message_id", "channel_id", "guild_id", "author_id", "type", "ref_id", "content", "created_s", "mentions", "has_attachments", "line", "cost")
 
 
-def project(wh: Warehouse) -> None:
-    """The layout of all vectors as a table of point clouds."""
-    glxy.write(projection.layout(wh.read("vectors")), f"{wh.root}/projections")
+def project(wh: Warehouse, guild_id: int | None = None, channel_id: int | None = None) -> None:
+    """The layout of all vectors, or those of one guild or channel, as a table of point clouds."""
+    glxy.write(projection.layout(runs.scoped(wh.read("vectors"), guild_id, channel_id)), f"{wh.root}/projections")
 
 
 def main() -> None:
     p = argparse.ArgumentParser(prog="logweave")
-    p.add_argument("command", choices=("load", "chunk", "embed", "project", "search"))
+    p.add_argument("command", choices=("load", "chunk", "embed", "project", "search", "vacuum"))
     p.add_argument("--warehouse", default="warehouse")
     p.add_argument("--pages", default="pages")
     for name in ("guild-id", "channel-id", "author-id"):
@@ -58,10 +60,14 @@ def main() -> None:
     wh = Warehouse(spark, a.warehouse)
     if a.command == "load":
         print(load(wh, a.pages, a.guild_id))
-    elif a.command in ("chunk", "embed"):
-        print({"chunk": runs.chunk, "embed": runs.embed}[a.command](wh))
+    elif a.command == "chunk":
+        print(runs.chunk(wh, a.guild_id, a.channel_id))
+    elif a.command == "embed":
+        print(runs.embed(wh, guild_id=a.guild_id, channel_id=a.channel_id))
+    elif a.command == "vacuum":
+        print({name: wh.vacuum(name) for name in wh.tables()})
     elif a.command == "project":
-        project(wh)
+        project(wh, a.guild_id, a.channel_id)
     else:
         asked = spark.createDataFrame([(a.query or "",)], "text string").select(search.hashing_encoder(instruction=a.instruction or "")("text").alias("v")).head()["v"]
         texts = wh.read("chunk_texts") if a.include_text else None

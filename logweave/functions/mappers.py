@@ -19,8 +19,8 @@ def _parsed(payloads: DataFrame, schema: str, required: list[str]) -> DataFrame:
     return parsed
 
 
-def messages(payloads: DataFrame, guild_id: int | None = None) -> DataFrame:
-    """``payloads(raw)`` as messages; a guild in the payload comes before ``guild_id``."""
+def messages(payloads: DataFrame, guild_id: int | None = None, *kept: str) -> DataFrame:
+    """``payloads(raw)`` as messages, with columns of ``payloads`` to be kept; a guild in the payload comes before ``guild_id``."""
     d = _parsed(payloads, schemas.API_MESSAGE, ["id", "channel_id", "author.id", "timestamp"])
     ids: list[Column] = [to_id("d.id").alias("message_id"), to_id("d.channel_id").alias("channel_id"), to_id("d.author.id").alias("author_id")]
     return d.select(
@@ -38,6 +38,7 @@ def messages(payloads: DataFrame, guild_id: int | None = None) -> DataFrame:
         to_id("d.webhook_id").alias("webhook_id"),
         F.coalesce("d.embeds", F.array().cast(f"array<{schemas.EMBED}>")).alias("embeds"),
         "raw",
+        *kept,
     )
 
 

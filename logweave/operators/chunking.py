@@ -117,5 +117,6 @@ def texts(chunks: DataFrame, rendered: DataFrame, key: list[str], reply_chain: b
     from ..functions import rendering as R
 
     rows = chunks.select(*key, F.posexplode("message_ids").alias("at", "message_id")).join(rendered.select("message_id", "line"), "message_id")
-    lines = rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("lines"))
+    once = rows.groupBy(*key, "at").agg(F.min("line").alias("line"))  # a log may hold a message twice
+    lines = once.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("lines"))
     return lines.select(*key, R.chunk_text("lines", reply_chain).alias("text"))

@@ -118,9 +118,15 @@ _CHAINS = (
 _EVERY = (
     _WINDOWS
     + f", {_groups('log', 60, 1000).replace('r as', 'r2 as').replace('from r)', 'from r2)').replace('c as', 'c2 as').replace('from c where', 'from c2 where').replace('join c n', 'join c2 n').replace('join c p', 'join c2 p').replace('f as (select ch, a', 'f2 as (select ch, a').replace('from f join', 'from f2 join').replace('f.', 'f2.')},"
-    + " g as (select ch, s, min(id) first_id, s = max(s) over (partition by ch, a) is_open from f2 group by ch, a, s),"
+    + " g as (select ch, s, min(id) first_id, string_agg(cast(id as varchar), ',' order by id) ids, s = max(s) over (partition by ch, a) is_open from f2 group by ch, a, s),"
     + _CHAINS.split(LOG + ", ", 1)[1].replace("w as", "w3 as").replace("from w ", "from w3 ").replace("w.", "w3.").replace("x as", "x3 as").replace("join x on x.leaf", "join x3 x on x.leaf").replace("k as", "k3 as").replace("from k ", "from k3 k ")
-    + ", every as (select 'sliding_window' chunk_type, ch channel_id, min(id) start_message_id, is_open from x group by ch, s, is_open union all select 'author_group', ch, first_id, is_open from g union all select 'reply_chain', ch, leaf, false from chains)"
+    + ", every as (select 'sliding_window' chunk_type, ch channel_id, min(id) start_message_id, is_open, string_agg(cast(id as varchar), ',' order by i) message_ids from x group by ch, s, is_open union all select 'author_group', ch, first_id, is_open, ids from g union all select 'reply_chain', ch, leaf, false, ids from chains)"
+)
+
+_TEXTS = (
+    _EVERY + ", members as (select chunk_type, start_message_id, message_ids, unnest(string_split(message_ids, ',')) mid, generate_subscripts(string_split(message_ids, ','), 1) pos from every),"
+    " told as (select chunk_type, start_message_id, message_ids, string_agg(case when chunk_type = 'reply_chain' and pos > 1 then '↳ ' else '' end || line, chr(10) || chr(10) order by pos) txt from members join log on message_id = cast(mid as bigint) group by all)"
+    " select every.chunk_type, channel_id, every.start_message_id, case when is_open then 'open' else 'closed' end chunk_state, every.message_ids, txt as text from every join told on told.chunk_type = every.chunk_type and told.start_message_id = every.start_message_id and told.message_ids = every.message_ids"
 )
 
 SQL = {

@@ -50,22 +50,64 @@ _APPENDS = ("message_id % 1000 <= 3", "message_id % 1000 > 3")
 
 
 def _run_twice(spark, sf_dir) -> tuple[Warehouse, dict[str, int]]:
-    """Chunks and embeds after the first append, and chunks again after the second."""
+    """Chunks and embeds after the first append, and chunks again after the second; no append is in order."""
     wh, counts = Warehouse(spark, fresh_dir(spark, "warehouse")), {}
     log = A.messages(spark, sf_dir)
     for k, part in enumerate(_APPENDS):
-        log.where(part).write.mode("append").parquet(f"{wh.root}/log")
+        log.where(part).repartition(6).sortWithinPartitions(F.xxhash64("message_id")).write.mode("append").parquet(f"{wh.root}/log")
         counts = runs.chunk(wh)
         if not k:
             runs.embed(wh)
     return wh, counts
 
 
+def _chunks_and_texts(wh: Warehouse):
+    chunks = wh.read("chunks").join(wh.read("chunk_texts").select("chunk_id", "text"), "chunk_id", "left")
+    ids = F.array_join(F.transform("message_ids", lambda x: x.cast("string")), ",")
+    return chunks.select("chunk_type", "channel_id", F.col("anchor_id").alias("start_message_id"), "chunk_state", ids.alias("message_ids"), "text")
+
+
 def chunks_resumed(spark, sf_dir):
-    """Chunks of a log that came in two parts, chunked after each: the same as of the whole log."""
-    wh, _ = _run_twice(spark, sf_dir)
-    chunks = wh.read("chunks").join(wh.read("chunk_texts").select("chunk_id", "token_count"), "chunk_id")
-    return chunks.select("chunk_type", "channel_id", F.col("anchor_id").alias("start_message_id"), "chunk_state")
+    """Chunks, members and texts of a log that came in two parts, chunked after each: the same as of the whole log."""
+    return _chunks_and_texts(_run_twice(spark, sf_dir)[0])
+
+
+def chunks_of_unordered_log(spark, sf_dir):
+    """The same of a log that came at once, some of it twice, in no order."""
+    wh = Warehouse(spark, fresh_dir(spark, "warehouse"))
+    log = A.messages(spark, sf_dir)
+    log.unionByName(log.where("message_id % 5 = 0")).repartition(7).sortWithinPartitions(F.xxhash64("message_id")).write.parquet(f"{wh.root}/log")
+    runs.chunk(wh)
+    return _chunks_and_texts(wh)
+
+
+def chunk_one_guild(spark, sf_dir):
+    """Only one guild's channels are chunked, then one channel of another."""
+    wh = Warehouse(spark, fresh_dir(spark, "warehouse"))
+    A.messages(spark, sf_dir).write.parquet(f"{wh.root}/log")
+    runs.chunk(wh, guild_id=_CHUNKED_GUILD)
+    runs.chunk(wh, channel_id=_CHUNKED_CHANNEL)
+    return _chunks_and_texts(wh).drop("text")
+
+
+def merge_attachments(spark, sf_dir):
+    """Attachments that are known keep all they have."""
+    parts = A.table(spark, sf_dir, "part")
+    table = parts.select(F.col("p_partkey").alias("attachment_id"), F.lit("old").alias("filename"), F.col("p_size").alias("size"))
+    batch = parts.where("p_partkey % 3 = 0").select((F.col("p_partkey") * 2).alias("attachment_id"), F.lit("new").alias("filename"), F.lit(None).cast("int").alias("size"))
+    return warehouse.merged("attachments", table, batch.withColumn("size", F.col("size").cast(table.schema["size"].dataType)), ["attachment_id"])
+
+
+def merge_rewrites_one_bucket(spark, sf_dir):
+    """Orders merged as a table, then one order that changed: counts by status, and how many buckets the second merge wrote."""
+    wh = Warehouse(spark, fresh_dir(spark, "warehouse"), buckets=8)
+    rule = warehouse.Rule(("o_orderkey",), ("o_orderstatus",))
+    orders = A.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    wh.merge("orders", orders, ["o_orderkey"], rule)
+    one = orders.where(F.col("o_orderkey") == orders.agg(F.min("o_orderkey")).head()[0])
+    wh.merge("orders", one.withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"], rule)
+    wh.vacuum("orders")
+    return wh.read("orders").groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total")).withColumn("buckets_written", F.lit(len(wh.rewritten("orders"))))
 
 
 def embedding_resumed(spark, sf_dir):
@@ -103,6 +145,7 @@ def semantic_search_filters(spark, sf_dir):
 
 
 _QUERY_GUILD = 1
+_CHUNKED_GUILD, _CHUNKED_CHANNEL = 1, 8
 
 
 def pca_components(spark, sf_dir):
@@ -134,10 +177,14 @@ def layout_properties(spark, sf_dir):
 
 _TYPED = chunking._EVERY + ", latest as (select 'sliding_window' chunk_type, ch channel_id, min(id) start_message_id, max(id) last_id from x group by ch, s union all select 'author_group', ch, min(id), max(id) from f2 group by ch, a, s union all select 'reply_chain', ch, leaf, leaf from chains)"
 
-QUERIES = {f.__name__: f for f in (chunks_resumed, embedding_resumed, open_chunks_by_author, chunks_of_a_channel, chunking_counters, semantic_search_filters, pca_components, pca_keeps_distances, layout_properties)} | {f"merge_{n}": _merge_query(n, c) for n, c in _FROZEN.items()}
+QUERIES = {f.__name__: f for f in (chunks_resumed, chunks_of_unordered_log, chunk_one_guild, merge_attachments, merge_rewrites_one_bucket, embedding_resumed, open_chunks_by_author, chunks_of_a_channel, chunking_counters, semantic_search_filters, pca_components, pca_keeps_distances, layout_properties)} | {f"merge_{n}": _merge_query(n, c) for n, c in _FROZEN.items()}
 
 SQL = {
-    "chunks_resumed": chunking._EVERY + " select chunk_type, channel_id, start_message_id, case when is_open then 'open' else 'closed' end chunk_state from every",
+    "chunks_resumed": chunking._TEXTS,
+    "chunks_of_unordered_log": chunking._TEXTS,
+    "chunk_one_guild": chunking._EVERY + f" select chunk_type, channel_id, start_message_id, case when is_open then 'open' else 'closed' end chunk_state, message_ids from every where channel_id = {_CHUNKED_CHANNEL} or channel_id in (select channel_id from log where guild_id = {_CHUNKED_GUILD})",
+    "merge_attachments": "with o as (select p_partkey k, p_size from part), n as (select p_partkey*2 k from part where p_partkey%3 = 0) select coalesce(o.k, n.k) attachment_id, case when o.k is null then 'new' else 'old' end filename, p_size as size from o full join n on n.k = o.k",
+    "merge_rewrites_one_bucket": "select case when o_orderkey = (select min(o_orderkey) from orders) then 'X' else o_orderstatus end o_orderstatus, count(*) orders, round(sum(o_totalprice), 2) total, 1 buckets_written from orders group by 1",
     "embedding_resumed": _TYPED + " select chunk_type, count(*) filter (where last_id%1000 > 3) waiting, count(*) embedded from latest group by chunk_type",
     "open_chunks_by_author": chunking._AUTHORS + " select ch channel_id, a author_id, first_id start_message_id from g where is_open",
     "chunks_of_a_channel": chunking._WINDOWS + " select min(id) start_message_id, count(*) n_messages, case when is_open then 'open' else 'closed' end chunk_state from x where ch = 7 group by s, is_open",

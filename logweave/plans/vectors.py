@@ -183,7 +183,7 @@ def sql_auto_limit(spark, sf_dir):
     return sqlguard.query(spark, "select o_orderkey from orders order by o_orderkey;").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
 
 
-def _streamed(spark, sf_dir, keys, budget):
+def _streamed(spark, sf_dir, keys, budget, **how):
     from ..streaming import stateful
 
     root = fresh_dir(spark, "stream")
@@ -191,23 +191,32 @@ def _streamed(spark, sf_dir, keys, budget):
     # Three appends by ranges of the id, as a log grows; the stream reads the oldest files first.
     lo, hi = log.approxQuantile("message_id", [1 / 3, 2 / 3], 0.01)
     for part in (F.col("message_id") <= lo, (F.col("message_id") > lo) & (F.col("message_id") <= hi), F.col("message_id") > hi):
-        # A key is in one file of each append, so that its rows come in order whatever file is read first.
-        log.where(part).repartition(8, *keys).sortWithinPartitions("message_id").write.mode("append").parquet(f"{root}/in")
+        # Rows of a key are in all files of an append, in the order of a hash.
+        log.where(part).repartition(8).sortWithinPartitions(F.xxhash64("message_id")).write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
-    return stateful.run_available(spark, stream, keys, budget, root)
+    return stateful.run_available(spark, stream, keys, budget, root, **how)
+
+
+_ENDS = "message_ids[0] as start_message_id", "element_at(message_ids, -1) as end_message_id"
 
 
 def stream_equals_batch_sliding(spark, sf_dir):
     """Windows from a stream of micro-batches."""
     got = _streamed(spark, sf_dir, ["channel_id"], C.WINDOW)
-    return got.select(F.col("key").cast("bigint").alias("channel_id"), "start_message_id", "end_message_id", (F.col("seg_end") - F.col("seg_start") + 1).alias("n_messages"))
+    return got.select(F.col("key").cast("bigint").alias("channel_id"), *map(F.expr, _ENDS), (F.col("seg_end") - F.col("seg_start") + 1).alias("n_messages"))
+
+
+def stream_in_pieces(spark, sf_dir):
+    """The same where a channel's rows of a micro-batch are folded in pieces of a few rows, all at once."""
+    got = _streamed(spark, sf_dir, ["channel_id"], C.WINDOW, piece_rows=2)
+    return got.select(F.col("key").cast("bigint").alias("channel_id"), *map(F.expr, _ENDS), F.col("state").alias("chunk_state"))
 
 
 def stream_equals_batch_sessions(spark, sf_dir):
     """Author groups from a stream of micro-batches."""
     got = _streamed(spark, sf_dir, ["channel_id", "author_id"], C.AUTHOR)
     key = F.split("key", "/")
-    return got.select(key[0].cast("bigint").alias("channel_id"), key[1].cast("bigint").alias("author_id"), "start_message_id", "end_message_id", (F.col("seg_end") - F.col("seg_start") + 1).alias("n_messages"))
+    return got.select(key[0].cast("bigint").alias("channel_id"), key[1].cast("bigint").alias("author_id"), *map(F.expr, _ENDS), (F.col("seg_end") - F.col("seg_start") + 1).alias("n_messages"))
 
 
 _DISTANCE = "round(list_sum(list_transform(list_zip(embedding, qv), lambda z: (cast(z[1] as double) - cast(z[2] as double)) * (cast(z[1] as double) - cast(z[2] as double)))), 6)"
@@ -239,6 +248,7 @@ SQL = {
     "glxy_roundtrip": f"with {_LAYOUT} select guild guild_id, count(*) points, cast(sum(vec_id) as bigint) chunk_ids, cast(sum(ch) as bigint) channel_ids, round(sum(cast(cast(x as float) as double)), 2) sum_x from l group by guild",
     "sql_auto_limit": "with t as (select o_orderkey from orders order by o_orderkey limit 500) select count(*) n, max(o_orderkey) as last from t",
     "stream_equals_batch_sliding": chunking._WINDOWS + " select ch channel_id, min(id) start_message_id, max(id) end_message_id, count(*) n_messages from x group by ch, s",
+    "stream_in_pieces": chunking._WINDOWS + " select ch channel_id, min(id) start_message_id, max(id) end_message_id, case when is_open then 'open' else 'closed' end chunk_state from x group by ch, s, is_open",
     "stream_equals_batch_sessions": chunking._AUTHORS + " select ch channel_id, a author_id, first_id start_message_id, last_id end_message_id, n n_messages from g",
 } | PASSTHROUGH
 
@@ -247,6 +257,6 @@ QUERIES = {
     for f in (
         vector_topk, vector_topk_filtered, vector_topk_author, vector_topk_time, galaxy_search_fanout, search_with_text, knn_graph, l2_normalize_check, encoded_documents, embedding_batches_packed, embedding_batches_paged,
         chunk_detail, chunks_by_ids, guilds_with_projection, channels_listing, channels_with_messages, message_counts, vector_mean, vector_total_variance, pca_project, layout_normalized, layout_by_pca, bounding_box,
-        glxy_roundtrip, sql_auto_limit, stream_equals_batch_sliding, stream_equals_batch_sessions,
+        glxy_roundtrip, sql_auto_limit, stream_equals_batch_sliding, stream_in_pieces, stream_equals_batch_sessions,
     )
 } | {name: _passthrough(sql) for name, sql in PASSTHROUGH.items()}

@@ -9,8 +9,9 @@ from .functions import mappers
 from .functions import rendering as R
 from .operators import chunking, merge, search
 from .operators.segments import Budget
+from .operators.storage import stored
 from .streaming import stateful
-from .warehouse import Warehouse
+from .warehouse import ENDED, NEW_CHAINS, STATUS, Warehouse
 
 
 def persist_messages(wh: Warehouse, payloads: DataFrame, guild_id: int | None = None) -> int:
@@ -19,7 +20,8 @@ def persist_messages(wh: Warehouse, payloads: DataFrame, guild_id: int | None =
     payloads = payloads.observe(told, F.count("*").alias("messages"))
     users = mappers.users_of_messages(payloads)
     wh.merge("users", merge.keep_first(users, ["user_id"], ["message_id", "at"]).select("user_id", "username", "global_name", "bot"), ["user_id"])
-    wh.merge("messages", mappers.messages(payloads, guild_id), ["message_id"])
+    # Of a message that comes twice the first stays, as rows come in the order of their pages.
+    wh.merge("messages", mappers.messages(payloads.select("raw", F.monotonically_increasing_id().alias("_at")), guild_id, "_at"), ["_at"])
     wh.merge("attachments", mappers.attachments(payloads), ["message_id"])
     wh.merge("reactions", mappers.reactions(payloads), ["message_id"])
     return told.get["messages"]
@@ -70,70 +72,76 @@ def _chunk_rows(found: DataFrame, log: DataFrame, kind: str) -> DataFrame:
     return told.withColumn("n_messages", F.size("message_ids").cast("bigint"))
 
 
-def chunk(wh: Warehouse) -> dict[str, int]:
-    """Chunk what came to the log since the last run.
+def scoped(df: DataFrame, guild_id: int | None, channel_id: int | None) -> DataFrame:
+    """Rows of one guild or channel; the filters reach the scan."""
+    for name, value in (("guild_id", guild_id), ("channel_id", channel_id)):
+        df = df if value is None else df.where(F.col(name) == int(value))
+    return df
 
-    Windows and author groups go on from the state of a stream over the log's files: a run takes all files that
-    are new, and its checkpoint moves when its batch is in the chunk table. Of reply chains those whose leaf is new are
-    added. Chunks that changed wait for their embedding again. Counts of what was written, by kind.
+
+def _keep(wh: Warehouse, rows: DataFrame, log: DataFrame, kind: str, told: dict[str, int], rule=None) -> None:
+    """Merge chunks and then their texts. Until the texts are there, nothing says that the chunks were made."""
+    rows = stored(rows, "chunk-rows")
+    told[kind] = told.get(kind, 0) + rows.count()
+    wh.merge("chunks", rows, ["n_messages"], rule)
+    texts = chunking.texts(rows, log, ["chunk_id"], reply_chain=kind == "reply_chain")
+    wh.merge("chunk_texts", texts.withColumn("token_count", R.count_tokens("text")), ["token_count"])
+
+
+def chunk(wh: Warehouse, guild_id: int | None = None, channel_id: int | None = None) -> dict[str, int]:
+    """Chunk what came to the log since the last run, of one guild or channel if asked; how many chunks were written, by kind.
+
+    Windows and author groups go on from their states. Without a scope a stream over the log's files hands on
+    those that are new; with one the log is read for what is newer than the states. Of reply chains those whose leaf is
+    new are added. Chunks that changed wait for their embedding again. In each step chunks are written first,
+    then their texts, then the state or checkpoint that says so: a run that breaks off is made up for by the next.
     """
     spark, path = wh.spark, f"{wh.root}/log"
     log = spark.read.parquet(path)
     counts: dict[str, int] = {}
     for kind, (keys, budget) in KINDS.items():
 
-        def keep(batch: DataFrame, number: int, kind=kind, keys=keys, budget=budget) -> None:
-            key = F.split("key", "/")
-            states = batch.groupBy("key", F.col("seg_start_id").alias("anchor_id")).agg(F.max("seg_end").alias("_end"), F.max_by("message_ids", "seg_end").alias("message_ids"))
-            last = states.groupBy("key").agg(F.max("_end").alias("_last"))
-            states = states.join(last, "key").withColumn("chunk_state", F.when(F.col("_end") == F.col("_last"), "open").otherwise("closed"))
-            told = Observation(f"chunks-{number}")
-            rows = _chunk_rows(states.withColumn("channel_id", key[0].cast("bigint")), log, kind)
-            new = wh.write(f"changed_{kind}", rows.observe(told, F.count("*").alias("n")))
-            if wh.has("chunks"):  # an open chunk of the table is closed where a later one of its key has begun
-                old = wh.read("chunks").where((F.col("chunk_type") == kind) & (F.col("chunk_state") == "open"))
-                first = new.groupBy("channel_id", F.col("author_ids") if kind == "author_group" else F.lit(0).alias("_k")).agg(F.min("anchor_id").alias("_first"))
-                on = ["channel_id", "author_ids"] if kind == "author_group" else ["channel_id"]
-                closed = old.join(first.select(*on, "_first"), on).where("anchor_id < _first").withColumn("chunk_state", F.lit("closed")).select(*new.columns)
-                new = wh.write(f"changed_{kind}", new.unionByName(closed))
-            wh.merge("chunks", new, ["n_messages"])
-            counts[kind] = counts.get(kind, 0) + told.get["n"]
-
-        stream = spark.readStream.schema(log.schema).parquet(path)
-        query = stateful.windows(stream, keys, budget).writeStream.outputMode("update").option("checkpointLocation", f"{wh.root}/_checkpoints/{kind}").trigger(availableNow=True).foreachBatch(keep).start()
-        query.awaitTermination()
-    leaves = log
+        def take(batch: DataFrame, number: int = 0, kind=kind, keys=keys, budget=budget) -> None:
+            def keep(chunks: DataFrame) -> None:
+                found = chunks.select(F.split("key", "/")[0].cast("bigint").alias("channel_id"), F.col("message_ids")[0].alias("anchor_id"), "message_ids", F.col("state").alias("chunk_state"), "grown")
+                _keep(wh, _chunk_rows(found.where("grown"), log, kind), log, kind, counts)
+                ended = found.where("not grown").drop("grown")
+                if not ended.isEmpty():  # their members and texts stay, and so does their embedding
+                    wh.merge("chunks", _chunk_rows(ended, log, kind), ["n_messages"], ENDED)
+
+            stateful.step(wh, f"states_{kind}", stateful.keyed(batch, keys), budget, keep)
+
+        if guild_id is None and channel_id is None:
+            stream = spark.readStream.schema(log.schema).parquet(path)
+            stream.writeStream.option("checkpointLocation", f"{wh.root}/_checkpoints/{kind}").trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
+        else:
+            take(scoped(log, guild_id, channel_id))
+    leaves = scoped(log, guild_id, channel_id)
     if wh.has("chunking_checkpoints"):
-        known = log.join(wh.read("chunking_checkpoints"), "channel_id", "left")
-        leaves = known.where("last_message_id is null or message_id > last_message_id")
-    chains = chunking.reply_chains(log, leaves=leaves).select("channel_id", F.col("leaf_message_id").alias("anchor_id"), "message_ids", F.lit("closed").alias("chunk_state"))
-    new = wh.write("changed_reply_chain", _chunk_rows(chains, log, "reply_chain"))
-    counts["reply_chain"] = new.count()
-    wh.merge("chunks", new.withColumn("_ignore", F.lit(True)), ["anchor_id"])
-    for kind in (*KINDS, "reply_chain"):
-        if wh.has(f"changed_{kind}"):
-            texts = chunking.texts(wh.read(f"changed_{kind}"), log, ["chunk_id"], reply_chain=kind == "reply_chain")
-            wh.merge("chunk_texts", texts.withColumn("token_count", R.count_tokens("text")), ["token_count"])
-    newest = log.groupBy("channel_id").agg(F.max("message_id").alias("last_message_id"))
+        known = leaves.join(wh.read("chunking_checkpoints"), "channel_id", "left")
+        leaves = known.where("last_message_id is null or message_id > last_message_id").drop("last_message_id")
+    leaves = stored(leaves.select("message_id", "channel_id"), "leaves")
+    chains = chunking.reply_chains(log.dropDuplicates(["message_id"]), leaves=leaves).select("channel_id", F.col("leaf_message_id").alias("anchor_id"), "message_ids", F.lit("closed").alias("chunk_state"))
+    _keep(wh, _chunk_rows(chains, log, "reply_chain"), log, "reply_chain", counts, NEW_CHAINS)
+    newest = leaves.groupBy("channel_id").agg(F.max("message_id").alias("last_message_id"))
     wh.merge("chunking_checkpoints", newest, ["last_message_id"])
     return counts
 
 
-def embed(wh: Warehouse, encoder=None) -> int:
+def embed(wh: Warehouse, encoder=None, guild_id: int | None = None, channel_id: int | None = None) -> int:
     """Pending chunks with texts to vectors, rows of like length together; then they are embedded. How many there were.
 
     Vectors are written before the status: a run that breaks off between is done again with the same outcome.
     """
     encoder = encoder or search.hashing_encoder()
-    pending = wh.read("chunks").where("embedding_status = 'pending'")
+    pending = scoped(wh.read("chunks").where("embedding_status = 'pending'"), guild_id, channel_id)
     rows = pending.join(wh.read("chunk_texts").select("chunk_id", "text", "token_count"), "chunk_id").where(F.col("token_count") <= chunking.HARD_COST)
     ranged = rows.repartitionByRange("token_count", "chunk_id").sortWithinPartitions("token_count", "chunk_id")
-    told = Observation("embedded")
     vectors = ranged.select("chunk_id", "guild_id", "channel_id", "author_ids", F.timestamp_seconds("first_message_s").alias("first_message_at"), F.timestamp_seconds("last_message_s").alias("last_message_at"), encoder("text").alias("vector"))
-    done = wh.write("embedded", vectors.observe(told, F.count("*").alias("n")))
+    done = stored(vectors, "embedded")
     wh.merge("vectors", done, ["chunk_id"])
-    wh.write("chunks", merge.set_status(wh.read("chunks"), done))
-    return told.get["n"]
+    wh.merge("chunks", pending.join(done.select("chunk_id"), "chunk_id", "left_semi").withColumn("embedding_status", F.lit("embedded")), ["chunk_id"], STATUS)
+    return done.count()
 
 
 def semantic_search(vectors: DataFrame, query: list[float], limit: int = 20, *, texts: DataFrame | None = None, guild_id=None, channel_id=None, author_id=None, after=None, before=None) -> DataFrame:

@@ -1,66 +1,74 @@
-"""The chunkers over a stream: open chunks are state, every batch emits the chunks it changed.
+"""The chunkers over a stream: every micro-batch goes on from the state of each key and tells the chunks it changed.
 
-State for a key is the fold of :mod:`logweave.operators.segments`, a few numbers, and the ids of its open
-segment, which the budget bounds. A row that comes after a
-newer one of its key is left out, as the batch readers never look behind their checkpoint.
+A micro-batch is folded by :func:`logweave.operators.segments.folded`: Spark deals its rows by key and sorts them, so
+they may come in any order, in any number of files and Arrow batches, and a key with very many rows is
+folded in pieces. The state of a key is the fold's, a few numbers, with the ids of its open segment, which the budget bounds,
+and the newest id it has seen. A row that is not newer than that *before* its micro-batch is late and left out, as the
+batch readers never look behind their checkpoint; so a micro-batch that runs again after its state was written
+changes nothing, and one that runs again before that does the same again.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import merge
+from ..operators import segments as S
 from ..operators.chunking import SKIPPED_TYPE
-from ..operators.segments import Budget, Fold
-
-OUT = "key string, seg_start_id bigint, seg_start bigint, seg_end bigint, end_message_id bigint, message_ids array<bigint>"
-STATE = "position bigint, start bigint, total bigint, largest bigint, last_time double, recent array<bigint>, ids array<bigint>, newest bigint"
-
-
-def _advance(budget: Budget):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids: list[int] = []
-        if state.exists:
-            position, start, total, largest, last_time, recent, ids, newest = state.get
-            fold, ids = Fold(position, start, total, largest, last_time, deque(recent, maxlen=max(budget.max_overlap, 1))), list(ids)
-        else:
-            fold, newest = Fold(), -1
-        changed: dict[int, tuple] = {}
-        for pdf in batches:
-            for r in pdf.sort_values("message_id").itertuples():
-                if r.message_id <= newest:
-                    continue
-                newest = r.message_id
-                got = fold.step(int(r.cost), None if pd.isna(r.created_s) else float(r.created_s), budget)
-                if not got or got[0] is None:
-                    continue
-                ids = [*ids, int(r.message_id)][-(got[0] - got[1] + 1) :]  # a new segment begins some rows back
-                changed[got[1]] = (key[0], ids[0], got[1], got[0], int(r.message_id), ids)
-        state.update((fold.position, fold.start, fold.total, fold.largest, fold.last_time, list(fold.recent or []), ids, newest))
-        if changed:
-            yield pd.DataFrame(list(changed.values()), columns=["key", "seg_start_id", "seg_start", "seg_end", "end_message_id", "message_ids"])
-
-    return run
-
-
-def windows(messages: DataFrame, keys: list[str], budget: Budget) -> DataFrame:
-    """A stream of chunk states (update mode): merge them by key and seg_start, the last one wins."""
-    told = messages.where(F.coalesce("type", F.lit(0)) != SKIPPED_TYPE).select(F.concat_ws("/", *keys).alias("key"), "message_id", F.col("cost").cast("bigint").alias("cost"), F.col("created_s").cast("double").alias("created_s"))
-    return told.groupBy("key").applyInPandasWithState(_advance(budget), OUT, STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def run_available(spark: SparkSession, messages: DataFrame, keys: list[str], budget: Budget, path: str) -> DataFrame:
-    """Process all that is available in micro-batches; returns the merged chunk table."""
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batches/batch={number}")  # a batch run again replaces its rows
-
-    stream = windows(messages, keys, budget).writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
-    stream.awaitTermination()
-    states = spark.read.parquet(f"{path}/batches")
-    return states.groupBy("key", "seg_start").agg(F.max_by("seg_start_id", "batch").alias("start_message_id"), F.max("seg_end").alias("seg_end"), F.max("end_message_id").alias("end_message_id"))
+from ..operators.storage import stored
+from ..warehouse import STATES, Warehouse
+
+STATE_ROWS = f"key string, state {S.STATE}, ids array<bigint>, newest bigint"
+
+
+def keyed(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """key, message_id, cost, created_s of the messages that are chunked."""
+    told = messages.where(F.coalesce("type", F.lit(0)) != SKIPPED_TYPE)
+    return told.select(F.concat_ws("/", *keys).alias("key"), "message_id", F.col("cost").cast("bigint").alias("cost"), F.col("created_s").cast("double").alias("created_s"))
+
+
+def advance(rows: DataFrame, budget: S.Budget, before: DataFrame, piece_rows: int = S.PIECE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The chunks that new rows change (key, seg_start, seg_end, state, grown, message_ids), and the states of their keys afterwards.
+
+    ``grown`` tells chunks that new rows are in from those that only ended.
+    """
+    new = rows.join(before.select("key", "newest"), "key", "left").where("newest is null or message_id > newest").drop("newest")
+    new = merge.keep_first(new, ["key", "message_id"], ["created_s", "cost"])
+    found = stored(S.folded(new, ["key"], ["message_id"], "cost", budget, "created_s", before.select("key", "state"), piece_rows), "folded")
+    after = stored(S.states_after(found, ["key"]), "states")
+    # The rows of the segments that were open are told again, so that a segment is seen whole, and closed where it ends.
+    start = F.col("state.start")
+    prior = before.join(after.select("key"), "key", "left_semi").select("key", start.alias("seg_start"), F.posexplode("ids").alias("_at", "message_id"))
+    prior = prior.select("key", "message_id", (F.col("seg_start") + F.col("_at")).alias("pos"), "seg_start", F.lit(False).alias("_new"))
+    placed = found.where("state is null").select("key", "message_id", "pos", "seg_start", F.lit(True).alias("_new"))
+    placed = stored(placed.unionByName(prior), "placed")
+    members = S.members(placed, S.segments(placed, ["key"]), ["key"], ["message_id", "_new"])
+    ids = F.array_sort(F.collect_list("message_id")).alias("message_ids")
+    chunks = members.groupBy("key", "seg_start", "seg_end", "state").agg(F.bool_or("_new").alias("grown"), ids)
+    held = placed.join(after, "key").where((start > 0) & (F.col("pos") >= start)).groupBy("key").agg(ids)
+    newest = new.groupBy("key").agg(F.max("message_id").alias("newest"))
+    states = after.join(newest, "key", "left").join(held, "key", "left")
+    none = F.array().cast("array<bigint>")
+    return chunks, states.select("key", "state", F.coalesce("message_ids", none).alias("ids"), "newest")
+
+
+def step(wh: Warehouse, table: str, rows: DataFrame, budget: S.Budget, keep: Callable[[DataFrame], None], piece_rows: int = S.PIECE_ROWS) -> None:
+    """Advance the states in ``table`` by new rows; ``keep`` writes the chunks that changed, and only then are the states written."""
+    before = wh.read(table) if wh.has(table) else wh.spark.createDataFrame([], STATE_ROWS)
+    chunks, states = advance(rows, budget, before, piece_rows)
+    keep(stored(chunks, "chunks"))
+    wh.merge(table, states, ["newest"], STATES)
+
+
+def run_available(spark: SparkSession, messages: DataFrame, keys: list[str], budget: S.Budget, path: str, piece_rows: int = S.PIECE_ROWS) -> DataFrame:
+    """Process all that is available in micro-batches; key, seg_start, seg_end, state, message_ids of all chunks so far."""
+    wh = Warehouse(spark, f"{path}/tables")
+
+    def take(batch: DataFrame, number: int) -> None:
+        step(wh, "states", keyed(batch, keys), budget, lambda chunks: wh.merge("windows", chunks.drop("grown"), ["seg_end"]), piece_rows)
+
+    messages.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
+    return wh.read("windows")

@@ -7,9 +7,7 @@ that costs more than ``HARD_COST``.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import segments as S
@@ -53,27 +51,50 @@ def author_sessions(messages: DataFrame, gap_s: int) -> DataFrame:
     return runs.groupBy("channel_id", "author_id", "run").agg(F.min("message_id").alias("start_message_id"), F.max("message_id").alias("end_message_id"), F.count("*").alias("n_messages")).drop("run")
 
 
-def reply_walk(messages: DataFrame, max_cost: int = 5000, max_depth: int = 20, leaves: DataFrame | None = None) -> DataFrame:
-    """leaf, channel_id, message_id, depth, total, ref_id, type, said: the walk from each reply to its ancestors.
+def ancestors(messages: DataFrame, most: int) -> DataFrame:
+    """message_id, channel_id, path: for messages that answer one of their channel, the ``most`` messages above them at least, if there are.
 
-    It begins at all replies, or at those of ``leaves(message_id)``; ends at ``max_depth`` messages, once ``max_cost`` is reached (that message is kept), at a missing
-    parent, at one of another channel, and where it would come round. One join with the log a level, of ids
-    and costs alone; every level is written, so that the plan of a deep walk is as short as that of a flat one.
+    Each round joins what is known of the last message on a path to it and so doubles the paths; only paths that are
+    still full take part, and no round is made when there are none. Rounds grow with the logarithm of ``most``.
     """
     said = F.coalesce(F.length("content"), F.lit(0)) > 0
     told = stored(messages.select("message_id", "channel_id", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), F.coalesce("type", F.lit(0)).alias("type"), said.alias("said"), "cost"), "replies")
-    first = told.where(f"ref_id <> 0 and type <> {SKIPPED_TYPE}")
+    above = told.select(F.col("message_id").alias("ref_id"), "channel_id", F.array(F.struct("message_id", "ref_id", "type", "said", "cost")).alias("path"))
+    found, reach, full = stored(told.where("ref_id <> 0").select("message_id", "channel_id", "ref_id").join(above, ["ref_id", "channel_id"]).drop("ref_id"), "ancestors"), 1, 1
+    while reach < most and full:
+        more = found.select(F.col("message_id").alias("_last"), F.col("path").alias("_more"))
+        going = found.where(F.size("path") == reach).withColumn("_last", F.element_at("path", -1)["message_id"]).join(more, "_last", "left")
+        going = going.withColumn("path", F.when(F.col("_more").isNull(), F.col("path")).otherwise(F.concat("path", "_more"))).drop("_last", "_more")
+        reach, left = reach * 2, Observation("paths")
+        longer = going.unionByName(found.where(F.size("path") < reach // 2))
+        found = stored(longer.observe(left, F.count_if(F.size("path") == reach).alias("full")), "ancestors")
+        full = left.get["full"]
+    return found
+
+
+def _walks(messages: DataFrame, max_cost: int, max_depth: int, leaves: DataFrame | None) -> DataFrame:
+    """leaf, channel_id, walk: from each reply to its ancestors, with the running cost of each step.
+
+    It begins at all replies, or at those of ``leaves(message_id)``; ends at ``max_depth`` messages, once ``max_cost`` is
+    reached (that message is kept), at a missing parent, at one of another channel, and where it would come round.
+    """
+    first = messages.where(f"coalesce(ref_id, 0) <> 0 and coalesce(type, 0) <> {SKIPPED_TYPE}")
     first = first if leaves is None else first.join(leaves.select("message_id"), "message_id", "left_semi")
-    levels = [stored(first.select(F.col("message_id").alias("leaf"), "channel_id", "message_id", F.lit(1).alias("depth"), F.col("cost").alias("total"), "ref_id", "type", "said", F.array("message_id").alias("path")), "reply-level")]
-    parents = told.select(F.col("message_id").alias("p_id"), "channel_id", *(F.col(c).alias(f"p_{c}") for c in ("ref_id", "type", "said", "cost")))
-    while len(levels) < max_depth:
-        up = levels[-1].where(f"total < {max_cost} and ref_id <> 0").withColumnRenamed("ref_id", "p_id").select("p_id", "channel_id", "leaf", "depth", "total", "path")
-        met = up.join(parents, ["p_id", "channel_id"]).where(~F.array_contains("path", F.col("p_id")))
-        level = stored(met.select("leaf", "channel_id", F.col("p_id").alias("message_id"), (F.col("depth") + 1).alias("depth"), (F.col("total") + F.col("p_cost")).alias("total"), F.col("p_ref_id").alias("ref_id"), F.col("p_type").alias("type"), F.col("p_said").alias("said"), F.concat("path", F.array("p_id")).alias("path")), "reply-level")
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels).drop("path")
+    said = F.coalesce(F.length("content"), F.lit(0)) > 0
+    first = first.select(F.col("message_id").alias("leaf"), "channel_id", F.array(F.struct("message_id", "ref_id", F.coalesce("type", F.lit(0)).alias("type"), said.alias("said"), "cost")).alias("own"))
+    above = ancestors(messages, max_depth - 1).select(F.col("message_id").alias("leaf"), "path")
+    path = F.slice(F.when(F.col("path").isNull(), F.col("own")).otherwise(F.concat("own", "path")), 1, max_depth)
+    met = first.join(above, "leaf", "left").select("leaf", "channel_id", path.alias("walk"))
+    upto = lambda i: F.slice("walk", 1, i + 1)
+    steps = F.transform("walk", lambda x, i: F.struct(x["message_id"].alias("message_id"), x["ref_id"].alias("ref_id"), x["type"].alias("type"), x["said"].alias("said"), F.aggregate(upto(i), F.lit(0).cast("bigint"), lambda t, y: t + y["cost"]).alias("total"), (F.size(F.array_distinct(F.transform(upto(i), lambda y: y["message_id"]))) == i + 1).alias("new"), x["cost"].alias("cost")))
+    walk = F.filter(F.col("walk"), lambda x: x["new"] & ((x["total"] - x["cost"] < max_cost) | (x["total"] == x["cost"])))
+    return met.withColumn("walk", steps).withColumn("walk", walk)
+
+
+def reply_walk(messages: DataFrame, max_cost: int = 5000, max_depth: int = 20, leaves: DataFrame | None = None) -> DataFrame:
+    """leaf, channel_id, depth, message_id, ref_id, type, said, total: a row for each step of each walk."""
+    rows = _walks(messages, max_cost, max_depth, leaves).select("leaf", "channel_id", F.posexplode("walk").alias("depth", "x"))
+    return rows.select("leaf", "channel_id", (F.col("depth") + 1).alias("depth"), "x.message_id", "x.ref_id", "x.type", "x.said", "x.total")
 
 
 def reply_chains(messages: DataFrame, max_cost: int = 5000, max_depth: int = 20, leaves: DataFrame | None = None) -> DataFrame:
@@ -82,19 +103,13 @@ def reply_chains(messages: DataFrame, max_cost: int = 5000, max_depth: int = 20,
     A chain that costs more than HARD_COST is left out, skipped types leave their chains after the limits
     were applied, and a chain without any content is none.
     """
-    walk = reply_walk(messages, max_cost, max_depth, leaves)
-    kept = F.when(F.col("type") != SKIPPED_TYPE, F.struct("depth", "message_id"))
-    chains = walk.groupBy("leaf", "channel_id").agg(
-        F.max("total").alias("total"),
-        F.sort_array(F.collect_list(kept), asc=False).alias("steps"),
-        F.bool_or((F.col("type") != SKIPPED_TYPE) & F.col("said")).alias("spoken"),
-        F.max_by(F.struct("ref_id", "total"), "depth").alias("end"),
-        F.max("depth").alias("depth"),
-    )
+    kept = F.filter("walk", lambda x: x["type"] != SKIPPED_TYPE)
+    chains = _walks(messages, max_cost, max_depth, leaves).withColumns({"steps": F.reverse(kept), "end": F.element_at("walk", -1), "depth": F.size("walk")})
+    chains = chains.where((F.col("end.total") <= HARD_COST) & F.exists("steps", lambda x: x["said"]))
     home = messages.select(F.col("message_id").alias("p_id"), F.col("channel_id").alias("p_channel"))
     ended = chains.join(home, F.col("end.ref_id") == F.col("p_id"), "left")
     crossed = (F.col("p_channel") != F.col("channel_id")) & (F.col("end.total") < max_cost) & (F.col("depth") < max_depth)
-    return ended.where(f"total <= {HARD_COST} and spoken").select(
+    return ended.select(
         F.col("leaf").alias("leaf_message_id"), "channel_id", F.col("steps.message_id").alias("message_ids"), F.size("steps").cast("bigint").alias("n_messages"), F.when(crossed, F.col("p_id")).alias("cross_channel_ref")
     )
 

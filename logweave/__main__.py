@@ -1,4 +1,4 @@
-"""python -m logweave load|chunk|embed|project|search|vacuum: thin commands over the library's jobs.
+"""python -m logweave ingest|load|chunk|embed|project|search|vacuum: thin commands over the library's jobs.
 
 Tables are buckets of Parquet in one warehouse; the log of messages is a folder that grows.
 """
@@ -9,10 +9,11 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from . import runs, session
+from . import ingest, runs, session
 from .functions import rendering as R
 from .operators import projection, search
 from .sources import glxy
+from .sources.settings import Settings
 from .warehouse import Warehouse
 
 
@@ -46,9 +47,10 @@ def project(wh: Warehouse, guild_id: int | None = None, channel_id: int | None =
 
 def main() -> None:
     p = argparse.ArgumentParser(prog="logweave")
-    p.add_argument("command", choices=("load", "chunk", "embed", "project", "search", "vacuum"))
+    p.add_argument("command", choices=("ingest", "load", "chunk", "embed", "project", "search", "vacuum"))
     p.add_argument("--warehouse", default="warehouse")
     p.add_argument("--pages", default="pages")
+    p.add_argument("--config", default="config.toml")
     for name in ("guild-id", "channel-id", "author-id"):
         p.add_argument(f"--{name}", type=int)
     for name in ("after", "before", "query", "instruction"):
@@ -58,7 +60,10 @@ def main() -> None:
     a = p.parse_args()
     spark = session.create()
     wh = Warehouse(spark, a.warehouse)
-    if a.command == "load":
+    if a.command == "ingest":
+        settings = Settings.from_file(a.config)
+        print(ingest.run(wh, [ingest.Account.of(x) for x in settings.accounts], a.guild_id, a.channel_id))
+    elif a.command == "load":
         print(load(wh, a.pages, a.guild_id))
     elif a.command == "chunk":
         print(runs.chunk(wh, a.guild_id, a.channel_id))

@@ -30,9 +30,10 @@ def persist_messages(wh: Warehouse, payloads: DataFrame, guild_id: int | None =
 def ingest(wh: Warehouse, pages, channels: list[int], guild_id: int | None = None) -> dict[int, int]:
     """Bring channels up to date: those not complete are read backwards to their first message, then all forwards.
 
-    ``pages(direction, bounds)`` gives a DataFrame (channel_id, raw), direction "before" or "after", or None for
-    a channel that may not be read; bounds has channel_id and the message id to go on from. Bounds are written
-    after the messages, so what a broken run has read is read again and merged.
+    ``pages(direction, bounds)`` gives a DataFrame (channel_id, raw), direction "before" or "after"; bounds has
+    channel_id and the message id to go on from. A null raw tells that a channel may not be read: it is skipped, and its
+    backfill is not complete. Bounds are written after the messages, so what a broken run has read is read
+    again and merged.
     """
     spark = wh.spark
     empty = spark.createDataFrame([], "channel_id bigint, oldest bigint, newest bigint, complete boolean")
@@ -42,18 +43,18 @@ def ingest(wh: Warehouse, pages, channels: list[int], guild_id: int | None = Non
         state = wh.read("bounds") if wh.has("bounds") else empty
         rows = wanted.join(state, "channel_id", "left")
         rows = rows.where(~F.coalesce("complete", F.lit(False))) if direction == "before" else rows.where("newest is not null")
-        found = pages(direction, rows.select("channel_id", F.col(edge).alias("message_id")))
-        if found is None:
-            continue
-        found = wh.write(f"landed_{direction}", found.select("channel_id", "raw"))
+        found = stored(pages(direction, rows.select("channel_id", F.col(edge).alias("message_id"))).select("channel_id", "raw"), "landed")
+        denied, found = found.where("raw is null").select("channel_id").distinct(), found.where("raw is not null")
         persist_messages(wh, found.select("raw"), guild_id)
         ids = found.select("channel_id", F.get_json_object("raw", "$.id").cast("bigint").alias("message_id"))
         for r in ids.groupBy("channel_id").count().collect():  # a row for each channel
             counts[r["channel_id"]] = counts.get(r["channel_id"], 0) + r["count"]
         after = merge.bounds(state, ids)
         if direction == "before":
-            after = after.join(rows.select("channel_id", F.lit(True).alias("_done")), "channel_id", "full_outer").withColumn("complete", F.coalesce("complete", F.lit(False)) | F.coalesce("_done", F.lit(False))).drop("_done")
-        wh.write("bounds", after)
+            done = rows.select("channel_id").join(denied, "channel_id", "left_anti").withColumn("_done", F.lit(True))
+            after = after.join(done, "channel_id", "full_outer").withColumn("complete", F.coalesce("complete", F.lit(False)) | F.coalesce("_done", F.lit(False))).drop("_done")
+        after = wanted.join(after, "channel_id", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+        wh.merge("bounds", after, ["newest"])
     return counts
 
 

@@ -45,6 +45,7 @@ RULES = {
     "chunk_texts": Rule(("chunk_id",), None),
     "chunking_checkpoints": Rule(("channel_id",), ("last_message_id",)),
     "vectors": Rule(("chunk_id",), None),
+    "bounds": Rule(("channel_id",), None),
     "windows": Rule(("key", "seg_start"), None),
 }
 

@@ -101,13 +101,6 @@ def test_sync_rules(spark, tmp_path):
     assert rest.next_step(200, 0).action == "ok" and rest.next_step(404, 0).action == "fail"
     assert rest.next_step(429, 4, 2.5) == rest.Decision("wait", 2.5)
     assert [rest.next_step(500, i).seconds for i in range(4)] == [1, 2, 4, 8] and rest.next_step(None, 4).action == "fail"
-    (tmp_path / "9.jsonl").write_text("\n".join(json.dumps({"id": str(i)}) for i in range(1, 251)))
-    (tmp_path / "8.jsonl").write_text(json.dumps({"id": "3"}))
-    rest.register(spark)
-    got = spark.read.format("chat_pages").option("path", str(tmp_path)).option("channels", "9,8").load()
-    assert {(r["channel_id"], r["n"]) for r in got.groupBy("channel_id").agg(F.countDistinct("raw").alias("n")).collect()} == {(9, 250), (8, 1)}
-    old = spark.read.format("chat_pages").option("path", str(tmp_path)).option("channels", "9").option("before", "100").load()
-    assert old.count() == 99
     threads = {None: {"threads": [{"id": "1", "thread_metadata": {"archive_timestamp": "t1"}}], "has_more": True}, "t1": {"threads": [{"id": "2", "thread_metadata": {"archive_timestamp": "t0"}}], "has_more": False}}
     assert [t["id"] for t in rest.archived_threads(lambda _, p: threads[p.get("before")], 1)] == ["1", "2"]
     assert Settings.from_file(str(tmp_path / "none.toml")) == Settings()

@@ -86,12 +86,12 @@ def held(owner: str) -> dict:
     """
     if owner not in _held:
         _held.clear()
-        _given_back()
+        given_back()
         _held[owner] = {}
     return _held[owner]
 
 
-def _given_back() -> None:
+def given_back() -> None:
     """Hand memory that this process has freed back to the machine; allocators keep it otherwise."""
     gc.collect()
     pa.default_memory_pool().release_unused()

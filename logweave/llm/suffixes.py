@@ -99,6 +99,8 @@ def anchors(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     owner, h, at, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
+    h = h.view(np.uint64) * np.uint64(0x9FB21C651E98DF25)  # anchors have small hashes; these are even again
+    h = (h ^ (h >> np.uint64(32))).view(np.int64)
     begin = np.concatenate(([0], ends[:-1]))[owner]
     return owner, h, at - begin, lo - begin, hi - begin
 

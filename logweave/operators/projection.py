@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .segments import numbered
 
@@ -13,11 +17,22 @@ RADIUS, SUBSAMPLE, SEED = 100.0, 1_000_000, 42
 
 
 def subsample(vectors: DataFrame, n: int = SUBSAMPLE) -> DataFrame:
-    """At most n rows, the same ones for the same ids: those with the smallest hash."""
-    if vectors.count() <= n:
+    """At most n rows, the same ones for the same ids whatever their partitions: those with the smallest hash.
+
+    Hashes are even, so a bound that about n of them keep below is known from the count, and only ids
+    below it are sorted.
+    """
+    total = vectors.count()
+    if total <= n:
         return vectors
-    ids = numbered(vectors.select("chunk_id", F.xxhash64("chunk_id", F.lit(SEED)).alias("h")), ["h", "chunk_id"])
-    return vectors.join(ids.where(F.col("number") < n).select("chunk_id"), "chunk_id", "left_semi")
+    hashed = vectors.select("chunk_id", F.xxhash64("chunk_id", F.lit(SEED)).alias("h"))
+    share = (n + 4 * n**0.5 + 20) / total
+    while True:
+        below = hashed if share >= 1 else hashed.where(F.col("h") < int(share * 2**64) - 2**63)
+        ids = numbered(below, ["h", "chunk_id"]).where(F.col("number") < n).select("chunk_id")
+        if share >= 1 or ids.count() >= n:
+            return vectors.join(ids, "chunk_id", "left_semi")
+        share *= 2
 
 
 def mean_vector(vectors: DataFrame) -> DataFrame:
@@ -31,21 +46,81 @@ def total_variance(vectors: DataFrame) -> DataFrame:
     return parts.agg(F.sum("v").alias("variance"))
 
 
+_MOMENTS = "n bigint, mean binary, scatter binary"
+#: Partial moments that are merged in one task before the driver merges the rest.
+FAN_IN = 16
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Count, mean and scatter matrix of two sets of rows together."""
+    (n, mean, scatter), (m, other, more) = a, b
+    if not n or not m:
+        return b if not n else a
+    off = other - mean
+    return n + m, mean + off * (m / (n + m)), scatter + more + np.outer(off, off) * (n * m / (n + m))
+
+
+def _moments_row(found: tuple) -> pd.DataFrame:
+    return pd.DataFrame({"n": [found[0]], "mean": [found[1].tobytes()], "scatter": [found[2].tobytes()]})
+
+
+def _read_moments(row) -> tuple:
+    mean = np.frombuffer(row["mean"], float)
+    return int(row["n"]), mean, np.frombuffer(row["scatter"], float).reshape(len(mean), len(mean))
+
+
+def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and scatter matrix (sums of products of deviations): one of each for a task, merged in a tree."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (0, np.zeros(0), np.zeros((0, 0)))
+        for batch in batches:
+            if batch.num_rows:
+                x = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                mean = x.mean(axis=0)
+                found = _merged(found, (len(x), mean, (x - mean).T @ (x - mean)))
+        if found[0]:
+            yield pa.RecordBatch.from_pandas(_moments_row(found))
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = (0, np.zeros(0), np.zeros((0, 0)))
+        for row in pdf.sort_values("part").to_dict("records"):
+            found = _merged(found, _read_moments(row))
+        return _moments_row(found)
+
+    rows = vectors.select(F.col("vector").cast("array<double>").alias("v")).mapInArrow(partial, _MOMENTS)
+    parts = rows.withColumn("part", F.spark_partition_id())
+    merged = parts.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(together, _MOMENTS)
+    found = (0, np.zeros(0), np.zeros((0, 0)))
+    for row in merged.collect():  # one for FAN_IN tasks
+        found = _merged(found, _read_moments(row))
+    return found
+
+
+def components(scatter: np.ndarray, n: int, k: int) -> tuple[np.ndarray, list[float]]:
+    """The first k directions by variance, a column each, and each one's share; the largest loading of each is positive."""
+    values, directions = np.linalg.eigh(scatter / max(n - 1, 1))
+    values, directions = np.maximum(values[::-1], 0), directions[:, ::-1][:, :k]
+    signs = np.where(directions[np.abs(directions).argmax(axis=0), np.arange(directions.shape[1])] >= 0, 1.0, -1.0)
+    total = values.sum()
+    return directions * signs, [float(v / total) if total else 0.0 for v in values[:k]]
+
+
 def pca(vectors: DataFrame, k: int, fit_on: DataFrame | None = None):
     """``vectors`` with ``projected`` (array of k), and the share of variance of each component.
 
     The mean is removed before both fitting and projecting. The sign of a component is that which makes
     its largest loading positive.
     """
-    rows = vectors.withColumn("_v", array_to_vector(F.col("vector").cast("array<double>")))
-    fit_rows = rows if fit_on is None else fit_on.withColumn("_v", array_to_vector(F.col("vector").cast("array<double>")))
-    scaler = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(fit_rows)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(scaler.transform(fit_rows))
-    loadings = model.pc.toArray()
-    signs = [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in loadings.T]
-    turned = F.zip_with(vector_to_array("_p"), F.array(*[F.lit(s) for s in signs]), lambda x, s: x * s)
-    out = model.transform(scaler.transform(rows)).withColumn("projected", turned).drop("_v", "_c", "_p")
-    return out, [float(x) for x in model.explainedVariance.toArray()]
+    n, mean, scatter = moments(vectors if fit_on is None else fit_on)
+    directions, share = components(scatter, n, k)
+
+    def project(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        return pd.Series(list((np.stack(v.to_list()) - mean) @ directions), index=v.index)
+
+    return vectors.withColumn("projected", F.pandas_udf(project, T.ArrayType(T.DoubleType()))(F.col("vector").cast("array<double>"))), share
 
 
 def normalized_layout(points: DataFrame, columns: tuple[str, str, str] = ("x", "y", "z"), radius: float = RADIUS) -> DataFrame:

@@ -56,8 +56,8 @@ def top_k(vectors: DataFrame, query: list[float], limit: int = 20, **filters) ->
     Filters come before the search and reach the scan where their columns can be pushed down; the rest is
     one pass that keeps ``limit`` rows in each task.
     """
-    ranked = _filtered(vectors, **filters).withColumn("distance", F.round(squared_distance("vector", query), 6))
-    return ranked.orderBy("distance", "chunk_id").limit(limit)
+    ranked = _filtered(vectors, **filters).withColumn("distance", squared_distance("vector", query))
+    return ranked.orderBy("distance", "chunk_id").limit(limit).withColumn("distance", F.round("distance", 6))
 
 
 def fan_out(vectors: DataFrame, query: list[float], guild_ids: list[int] | None, limit: int = 50) -> DataFrame:
@@ -65,11 +65,11 @@ def fan_out(vectors: DataFrame, query: list[float], guild_ids: list[int] | None,
     if not guild_ids:
         return top_k(vectors, query, limit)
     per = max(limit // len(guild_ids), 10)
-    ranked = _filtered(vectors, guild_ids=guild_ids).withColumn("distance", F.round(squared_distance("vector", query), 6))
+    ranked = _filtered(vectors, guild_ids=guild_ids).withColumn("distance", squared_distance("vector", query))
     # A rank limit over a window is pruned in each task before rows of a guild meet.
     nearest = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("guild_id").orderBy("distance", "chunk_id"))).where(f"_rank <= {per}").drop("_rank")
     once = nearest.withColumn("_rank", F.row_number().over(Window.partitionBy("chunk_id").orderBy("distance", "guild_id"))).where("_rank = 1").drop("_rank")
-    return once.orderBy("distance", "chunk_id").limit(limit)
+    return once.orderBy("distance", "chunk_id").limit(limit).withColumn("distance", F.round("distance", 6))
 
 
 def with_text(hits: DataFrame, texts: DataFrame, channels: DataFrame) -> DataFrame:

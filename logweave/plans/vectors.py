@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunking as C
-from ..operators import lookups, projection, search, sqlguard
+from ..operators import lists, lookups, neighbours, projection, search, sqlguard
 from ..operators import segments as S
 from ..operators.storage import fresh_dir
 from ..sources import adapters as A
@@ -57,6 +57,30 @@ def knn_graph(spark, sf_dir):
     return search.knn_graph(A.vectors(spark, sf_dir), 5).groupBy("chunk_id").agg(F.count("*").alias("neighbors"), F.round(F.sum("distance"), 6).alias("total_distance"))
 
 
+def knn_graph_descent(spark, sf_dir):
+    """Neighbours by trees and descent: how many each row has, and whether at least nine in ten of the nearest of the asked rows are there."""
+    v = A.vectors(spark, sf_dir)
+    edges = neighbours.graph(v, 5)
+    good = neighbours.recall(v, edges, 5) >= 0.9
+    return edges.groupBy("chunk_id").agg(F.count("*").alias("neighbors")).withColumn("recall_reached", F.lit(good))
+
+
+def _index(spark, sf_dir):
+    v = A.vectors(spark, sf_dir)
+    return lists.Index.build(v, fresh_dir(spark, "index")), _asked(v)
+
+
+def vector_index_topk(spark, sf_dir):
+    """The nearest rows by inverted lists, of which those that cannot matter are not read."""
+    index, query = _index(spark, sf_dir)
+    return index.top_k(query, 20)[0].select("chunk_id", "distance")
+
+
+def vector_index_topk_filtered(spark, sf_dir):
+    index, query = _index(spark, sf_dir)
+    return index.top_k(query, 20, guild_ids=[1, 2, 3])[0].select("chunk_id", "guild_id", "distance")
+
+
 def l2_normalize_check(spark, sf_dir):
     v = A.vectors(spark, sf_dir).select("chunk_id", F.transform(F.col("vector").cast("array<double>"), lambda x: x * 3.5).alias("vector"))
     unit = v.select("chunk_id", search.normalized("vector").alias("u"))
@@ -227,6 +251,9 @@ _LAYOUT = "p as (select vec_id, cast(label as bigint) guild, vec_id%20 ch, cast(
 SQL = {
     "vector_topk": f"with {_Q} select chunk_id, distance from d order by distance, chunk_id limit 20",
     "vector_topk_filtered": f"with {_Q} select chunk_id, cast(label as bigint) guild_id, distance from d where label in (1, 2, 3) order by distance, chunk_id limit 20",
+    "vector_index_topk": f"with {_Q} select chunk_id, distance from d order by distance, chunk_id limit 20",
+    "vector_index_topk_filtered": f"with {_Q} select chunk_id, cast(label as bigint) guild_id, distance from d where label in (1, 2, 3) order by distance, chunk_id limit 20",
+    "knn_graph_descent": "select vec_id chunk_id, 5 neighbors, true recall_reached from embeddings",
     "vector_topk_author": f"with {_Q} select chunk_id, distance from d where a1 = 3 or a2 = 3 order by distance, chunk_id limit 20",
     "vector_topk_time": f"with {_Q} select chunk_id, distance from d where ch = 4 and t >= epoch(timestamp '2024-01-03') and t + 1800 <= epoch(timestamp '2024-01-15') order by distance, chunk_id limit 20",
     "galaxy_search_fanout": f"with {_Q}, r as (select *, row_number() over (partition by label order by distance, chunk_id) k from d where label between 1 and 6) select chunk_id, cast(label as bigint) guild_id, distance from r where k <= 10 order by distance, chunk_id limit 50",
@@ -255,7 +282,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_topk_filtered, vector_topk_author, vector_topk_time, galaxy_search_fanout, search_with_text, knn_graph, l2_normalize_check, encoded_documents, embedding_batches_packed, embedding_batches_paged,
+        vector_topk, vector_topk_filtered, vector_topk_author, vector_topk_time, galaxy_search_fanout, search_with_text, knn_graph, knn_graph_descent, vector_index_topk, vector_index_topk_filtered, l2_normalize_check, encoded_documents, embedding_batches_packed, embedding_batches_paged,
         chunk_detail, chunks_by_ids, guilds_with_projection, channels_listing, channels_with_messages, message_counts, vector_mean, vector_total_variance, pca_project, layout_normalized, layout_by_pca, bounding_box,
         glxy_roundtrip, sql_auto_limit, stream_equals_batch_sliding, stream_in_pieces, stream_equals_batch_sessions,
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import ingest, runs, session
 from .functions import rendering as R
-from .operators import projection, search
+from .operators import layout, search
 from .sources import glxy
 from .sources.settings import Settings
 from .warehouse import Warehouse
@@ -42,7 +42,7 @@ def rendered(wh: Warehouse):
 
 def project(wh: Warehouse, guild_id: int | None = None, channel_id: int | None = None) -> None:
     """The layout of all vectors, or those of one guild or channel, as a table of point clouds."""
-    glxy.write(projection.layout(runs.scoped(wh.read("vectors"), guild_id, channel_id)), f"{wh.root}/projections")
+    glxy.write(layout.layout(runs.scoped(wh.read("vectors"), guild_id, channel_id)), f"{wh.root}/projections")
 
 
 def main() -> None:

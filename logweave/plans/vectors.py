@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import chunking as C
-from ..operators import lists, lookups, neighbours, projection, search, sqlguard
+from ..operators import layout, lists, lookups, neighbours, projection, search, sqlguard
 from ..operators import segments as S
 from ..operators.storage import fresh_dir
 from ..sources import adapters as A
@@ -164,6 +165,16 @@ def layout_by_pca(spark, sf_dir):
     return projection.layout(A.vectors(spark, sf_dir), 16).select("chunk_id", *[F.round(c, 3).alias(c) for c in "xyz"])
 
 
+def layout_keeps_neighbours(spark, sf_dir):
+    """The layout of all vectors: how many points, and whether it keeps neighbours better than three components, by the rows whose id 5 divides."""
+    v = A.vectors(spark, sf_dir)
+    points, flat = (x.withColumn("point", F.array("x", "y", "z")).select("chunk_id", "point") for x in (layout.layout(v), projection.layout(v)))
+    asked = v.where("chunk_id % 5 = 0").join(points, "chunk_id").join(flat.withColumnRenamed("point", "flat"), "chunk_id").limit(2000).toPandas()
+    own, near, far = (np.stack(asked[c].to_list()).astype(float) for c in ("vector", "point", "flat"))
+    better = layout.trustworthiness(own, near, 5) > layout.trustworthiness(own, far, 5)
+    return v.agg(F.count("*").alias("points")).withColumn("keeps_more", F.lit(bool(better)))
+
+
 def bounding_box(spark, sf_dir):
     return projection.bounding_box(_points(spark, sf_dir)).select(*[F.round(f"{m}_{c}", 6).alias(f"{m}_{c}") for c in "xyz" for m in ("min", "max")])
 
@@ -271,6 +282,7 @@ SQL = {
     "vector_mean": "with u as (select unnest(embedding) x, generate_subscripts(embedding, 1) - 1 as pos from embeddings) select cast(pos as bigint) as at, round(avg(cast(x as double)), 6) mean from u group by pos",
     "vector_total_variance": "with u as (select unnest(embedding) x, generate_subscripts(embedding, 1) pos from embeddings), v as (select var_samp(cast(x as double)) v from u group by pos) select round(sum(v), 6) variance from v",
     "layout_normalized": f"with {_LAYOUT} select round(max(sqrt(x*x + y*y + z*z)), 6) radius, round(abs(avg(x)), 6) mean_x, round(abs(avg(y)), 6) mean_y, round(abs(avg(z)), 6) mean_z from l",
+    "layout_keeps_neighbours": "select count(*) points, true keeps_more from embeddings",
     "bounding_box": f"with {_LAYOUT} select round(min(x), 6) min_x, round(max(x), 6) max_x, round(min(y), 6) min_y, round(max(y), 6) max_y, round(min(z), 6) min_z, round(max(z), 6) max_z from l",
     "glxy_roundtrip": f"with {_LAYOUT} select guild guild_id, count(*) points, cast(sum(vec_id) as bigint) chunk_ids, cast(sum(ch) as bigint) channel_ids, round(sum(cast(cast(x as float) as double)), 2) sum_x from l group by guild",
     "sql_auto_limit": "with t as (select o_orderkey from orders order by o_orderkey limit 500) select count(*) n, max(o_orderkey) as last from t",
@@ -283,7 +295,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, vector_topk_filtered, vector_topk_author, vector_topk_time, galaxy_search_fanout, search_with_text, knn_graph, knn_graph_descent, vector_index_topk, vector_index_topk_filtered, l2_normalize_check, encoded_documents, embedding_batches_packed, embedding_batches_paged,
-        chunk_detail, chunks_by_ids, guilds_with_projection, channels_listing, channels_with_messages, message_counts, vector_mean, vector_total_variance, pca_project, layout_normalized, layout_by_pca, bounding_box,
+        chunk_detail, chunks_by_ids, guilds_with_projection, channels_listing, channels_with_messages, message_counts, vector_mean, vector_total_variance, pca_project, layout_normalized, layout_by_pca, layout_keeps_neighbours, bounding_box,
         glxy_roundtrip, sql_auto_limit, stream_equals_batch_sliding, stream_in_pieces, stream_equals_batch_sessions,
     )
 } | {name: _passthrough(sql) for name, sql in PASSTHROUGH.items()}

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from logweave.operators import lists, neighbours, projection, search
+from logweave.operators import layout, lists, neighbours, projection, search
 
 
 def table(spark, n=1500, d=12, seed=1, copies=200):
@@ -71,3 +71,19 @@ def test_sample_is_the_same_for_any_partitions(spark):
     hashes = {r["chunk_id"]: r["h"] for r in v.select("chunk_id", F.xxhash64("chunk_id", F.lit(projection.SEED)).alias("h")).collect()}
     assert one == other == set(sorted(hashes, key=lambda i: (hashes[i], i))[:700])
     assert projection.subsample(v, 5000).count() == 5000
+
+
+def test_layout_keeps_more_neighbours_than_components(spark):
+    v, x = table(spark, n=600, copies=3)
+    v = v.withColumn("channel_id", F.col("chunk_id") % 5)
+    points = np.array([[r["x"], r["y"], r["z"]] for r in layout.layout(v, sample=400, epochs=100).orderBy("chunk_id").collect()])
+    flat = np.array([[r["x"], r["y"], r["z"]] for r in projection.layout(v).orderBy("chunk_id").collect()])
+    assert len(points) == 600 and abs(np.sqrt((points**2).sum(axis=1)).max() - 100) < 1e-6
+    assert layout.trustworthiness(x, points, 10) > layout.trustworthiness(x, flat, 10)
+
+
+def test_memberships_add_up():
+    d = np.sort(np.random.default_rng(2).random((50, 8)), axis=1)
+    d[0, 5:] = np.inf
+    w = layout.memberships(d)
+    assert np.allclose(w.sum(axis=1)[1:], 3.0, atol=1e-3) and (w[:, 0] == 1).all() and (w[0, 5:] == 0).all()

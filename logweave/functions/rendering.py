@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,19 +33,44 @@ def count_tokens(text) -> Column:
     return F.floor((F.coalesce(F.length(_c(text)), F.lit(0)) + 3) / 4).cast("bigint")
 
 
+#: Texts of which a worker remembers what a tokenizer said of them (a fixed value).
+REMEMBERED = 16_384
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(path)
+    loaded.no_truncation()
+    return loaded
+
+
+@lru_cache(maxsize=REMEMBERED)
+def _tokens(path: str, text: str) -> int:
+    return len(_tokenizer(path).encode(text, add_special_tokens=False).ids) if text else 0
+
+
 def tokenizer_counter(path: str) -> Counter:
-    """A counter that asks a tokenizer file; one tokenizer for each worker."""
+    """A counter that asks a tokenizer file; a worker loads it once and remembers what it said of texts that come again."""
 
     def counted(text: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
-        loaded = _loaded.setdefault(path, None) or _loaded.update({path: Tokenizer.from_file(path)}) or _loaded[path]
-        return pd.Series([len(e.ids) for e in loaded.encode_batch([x or "" for x in text], add_special_tokens=False)], dtype="int64")
+        return pd.Series([_tokens(path, x or "") for x in text], dtype="int64")
 
     return F.pandas_udf(counted, T.LongType())
 
 
-_loaded: dict = {}
+def tokenizer_truncator(path: str, n: int) -> Counter:
+    """A column function that cuts a text after its first ``n`` tokens and says so by dots; shorter ones and nulls stay."""
+
+    def cut(text: pd.Series) -> pd.Series:
+        out = []
+        for x in text:
+            ids = _tokenizer(path).encode(x, add_special_tokens=False).ids if x else []
+            out.append(x if len(ids) <= n else _tokenizer(path).decode(ids[:n], skip_special_tokens=True) + "...")
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(cut, T.StringType())
 
 
 def truncate_tokens(text, n: int) -> Column:

@@ -12,6 +12,22 @@ from ..sources import adapters as A
 from .chunking import LOG
 
 
+#: A tokenizer file; any other of the kind may be named in its place.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def token_counts_by_tokenizer(spark, sf_dir):
+    """Tokens of every text by a tokenizer beside the estimate from its length."""
+    texts = A.chunk_texts(spark, sf_dir)
+    return texts.select("chunk_id", R.tokenizer_counter(TOKENIZER)("text").alias("tokens"), F.col("token_count").alias("estimate"))
+
+
+def truncated_by_tokenizer(spark, sf_dir):
+    """Every text cut after its first 60 tokens."""
+    cut = R.tokenizer_truncator(TOKENIZER, R.DESCRIPTION_TOKENS)("text")
+    return A.chunk_texts(spark, sf_dir).select("chunk_id", cut.alias("text"))
+
+
 def token_estimates(spark, sf_dir):
     return A.messages(spark, sf_dir).select("message_id", "cost")
 
@@ -259,7 +275,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        token_estimates, message_format, attachment_labels, embed_format, preview_150, stable_hue, search_hit_hue, snowflake_roundtrip, iso_parse, props_json_extract, null_byte_sanitize, emoji_key, id_parsing,
+        token_estimates, token_counts_by_tokenizer, truncated_by_tokenizer, message_format, attachment_labels, embed_format, preview_150, stable_hue, search_hit_hue, snowflake_roundtrip, iso_parse, props_json_extract, null_byte_sanitize, emoji_key, id_parsing,
         message_mapping, users_of_messages, merge_insert_ignore, merge_update_all, merge_partial_columns, user_dedup_keep_first, channel_bounds_monotone, incremental_after_checkpoint, short_page_completion,
         known_parents, base_permissions_bit_or, channel_permissions_overwrites, accessible_channels, channel_type_names, pending_stats, pending_page_keyset, status_after_embed,
     )

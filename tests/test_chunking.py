@@ -67,3 +67,14 @@ def test_embed_lines(spark):
 
 def test_token_counts(spark):
     assert lines(spark, R.count_tokens("t"), ["", None, "a", "abcd", "abcde"], "t string") == [0, 0, 1, 1, 2]
+
+
+def test_counts_and_cuts_by_a_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({w: i for i, w in enumerate(["?", "a", "b", "c"])}, unk_token="?"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    made.save(path := str(tmp_path / "t.json"))
+    texts = ["a b c", "", None, "a", "a b c a b", "zz"]
+    assert lines(spark, R.tokenizer_counter(path)("t"), texts, "t string") == [3, 0, 0, 1, 5, 1]
+    assert lines(spark, R.tokenizer_truncator(path, 3)("t"), texts, "t string") == ["a b c", "", None, "a", "a b c...", "zz"]

@@ -25,7 +25,7 @@ def test_chunking_goes_on_where_it_ended(spark, tmp_path):
     whole, parts = (Warehouse(spark, str(tmp_path / n)) for n in ("whole", "parts"))
     log(spark, range(1, 24)).write.parquet(f"{whole.root}/log")
     counts = runs.chunk(whole)
-    assert counts["reply_chain"] == 20 and counts["sliding_window"] == sum(c[0] == "sliding_window" for c in chunks(whole))
+    assert counts["reply_chain"] == 19 and counts["sliding_window"] == sum(c[0] == "sliding_window" for c in chunks(whole))
     log(spark, range(1, 11)).write.parquet(f"{parts.root}/log")
     runs.chunk(parts)
     assert runs.embed(parts) == len(chunks(parts))

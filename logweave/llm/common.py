@@ -62,6 +62,12 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of DataFrames that nothing refers to any more; it does so when both sides collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: What a Python worker is given at once; rows differ so much in length that a number of rows bounds nothing.
 BATCH_BYTES = 4 << 20
 _UNSET = "67108864b"

@@ -39,13 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, maybe_broadcast, stored
+from .common import bounded, fresh_dir, maybe_broadcast, released, remove_dir, stored, stored_at
 
 LENGTH, GRAM = 400, 128
 #: Anchors that a window can have, less one: the largest offset of a window before its anchor.
 REACH = LENGTH - GRAM
 #: Anchors of one gram that a task may hold, and of a range of hashes on average.
-CLASS_ROWS, RANGE_ROWS = 10_000, 12_000
+CLASS_ROWS, RANGE_ROWS = 40_000, 12_000
 #: Windows of a block, where a gram has too many anchors.
 WIDTHS = (64, 8, 1)
 #: Bytes of a run, and bytes whose anchors are found at once.
@@ -252,7 +252,8 @@ def _merged_range(table: pa.Table) -> pa.Table:
 
 def _with_texts(texts: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
     """row, raw, found: each text that has rows in ``found``, with these, which its length bounds."""
-    return texts.select("row", "raw").join(found.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("found")), "row")
+    of = found.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("found"))
+    return texts.select("row", "raw").join(maybe_broadcast(of, found.count()), "row")
 
 
 def _covered_by_runs(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -325,20 +326,31 @@ def report(docs: DataFrame, class_rows: int = CLASS_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
     given = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     texts = given.where(F.octet_length("raw") >= LENGTH).groupBy("raw").agg(F.count("*").alias("copies"))
-    texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
-    found = stored(bounded(texts.select("row", "raw")).mapInArrow(_anchor_rows, "row bigint, hash bigint, at bigint, lo bigint, hi bigint"), "anchors")
+    spark = docs.sparkSession
+    paths = [fresh_dir(spark, name) for name in ("texts", "anchors", "shared-anchors", "covered")]
+    texts = stored_at(texts.withColumn("row", F.monotonically_increasing_id()), paths[0])
+    released(spark)
+    found = stored_at(bounded(texts.select("row", "raw")).mapInArrow(_anchor_rows, "row bigint, hash bigint, at bigint, lo bigint, hi bigint"), paths[1])
     shared = found.groupBy("hash").count().where("count > 1")
-    found = stored(found.join(shared, "hash"), "shared-anchors")
+    found = stored_at(found.join(shared, "hash"), paths[2])
+    del shared
+    released(spark)
     few, many = found.where(F.col("count") <= class_rows), found.where(F.col("count") > class_rows)
     covered = _covered_by_runs(texts, few)
     if not many.isEmpty():
         covered = covered.unionByName(_covered_by_digests(texts, many))
+    covered = stored_at(covered, paths[3])
+    released(spark)
     once = texts.where("copies = 1")
     kept = _with_texts(once, covered, ["begin", "end"]).select("raw", "found")
     some = bounded(kept).mapInArrow(_kept, "digest binary, n_removed bigint, n_spans bigint, kept_sha256 string")
     nothing = F.lit(hashlib.sha256().hexdigest())
     gone = texts.where("copies > 1").select(F.unhex(F.sha2("raw", 256)).alias("digest"), F.octet_length("raw").cast("bigint").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), nothing.alias("kept_sha256"))
     told = stored(some.unionByName(gone), "removed")
+    del texts, found, few, many, covered, once, kept, some, gone
+    for path in paths:
+        remove_dir(spark, path)
+    released(spark)
     rows = given.select("doc_id", F.octet_length("raw").cast("bigint").alias("n_bytes"), F.unhex(F.sha2("raw", 256)).alias("digest")).join(maybe_broadcast(told), "digest", "left")
     zero = F.lit(0).cast("bigint")
     return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"))

@@ -40,9 +40,11 @@ def rendered(wh: Warehouse):
     return told.select("message_id", "channel_id", "guild_id", "author_id", "type", "ref_id", "content", "created_s", "mentions", "has_attachments", "line", "cost")
 
 
-def project(wh: Warehouse, guild_id: int | None = None, channel_id: int | None = None) -> None:
-    """The layout of all vectors, or those of one guild or channel, as a table of point clouds."""
+def project(wh: Warehouse, guild_id: int | None = None, channel_id: int | None = None, files: str | None = None) -> None:
+    """The layout of all vectors, or those of one guild or channel, as a table of point clouds and, in a mounted folder, as their files."""
     glxy.write(layout.layout(runs.scoped(wh.read("vectors"), guild_id, channel_id)), f"{wh.root}/projections")
+    if files:
+        glxy.write_files(glxy.read(wh.spark, f"{wh.root}/projections"), files)
 
 
 def main() -> None:
@@ -56,6 +58,7 @@ def main() -> None:
     for name in ("after", "before", "query", "instruction"):
         p.add_argument(f"--{name}")
     p.add_argument("--limit", type=int, default=20)
+    p.add_argument("--files", help="project: a folder for <guild>.bin")
     p.add_argument("--include-text", action="store_true")
     a = p.parse_args()
     spark = session.create()
@@ -72,7 +75,7 @@ def main() -> None:
     elif a.command == "vacuum":
         print({name: wh.vacuum(name) for name in wh.tables()})
     elif a.command == "project":
-        project(wh, a.guild_id, a.channel_id)
+        project(wh, a.guild_id, a.channel_id, a.files)
     else:
         asked = spark.createDataFrame([(a.query or "",)], "text string").select(search.hashing_encoder(instruction=a.instruction or "")("text").alias("v")).head()["v"]
         texts = wh.read("chunk_texts") if a.include_text else None

@@ -185,6 +185,15 @@ def glxy_roundtrip(spark, sf_dir):
     return back.groupBy("guild_id").agg(F.count("*").alias("points"), F.sum("chunk_id").alias("chunk_ids"), F.sum("channel_id").alias("channel_ids"), F.round(F.sum(F.col("x").cast("double")), 2).alias("sum_x"))
 
 
+def glxy_files(spark, sf_dir):
+    """Points of a layout, written as a file for each guild by many tasks and read back in ranges, with the files' sizes."""
+    folder = fresh_dir(spark, "clouds")
+    glxy.write_files(_points(spark, sf_dir), folder)
+    sizes = spark.read.format("binaryFile").load(f"{folder}/*.bin").select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("bigint").alias("guild_id"), F.col("length").alias("bytes"))
+    back = glxy.read_files(spark, folder).groupBy("guild_id").agg(F.count("*").alias("points"), F.min("chunk_id").alias("first_chunk"), F.sum("chunk_id").alias("chunk_ids"), F.sum("channel_id").alias("channel_ids"), F.round(F.sum(F.col("z").cast("double")), 2).alias("sum_z"))
+    return back.join(sizes, "guild_id")
+
+
 def _registered(spark, sf_dir) -> None:
     for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations"):
         A.table(spark, sf_dir, name).createOrReplaceTempView(name)
@@ -284,6 +293,7 @@ SQL = {
     "layout_normalized": f"with {_LAYOUT} select round(max(sqrt(x*x + y*y + z*z)), 6) radius, round(abs(avg(x)), 6) mean_x, round(abs(avg(y)), 6) mean_y, round(abs(avg(z)), 6) mean_z from l",
     "layout_keeps_neighbours": "select count(*) points, true keeps_more from embeddings",
     "bounding_box": f"with {_LAYOUT} select round(min(x), 6) min_x, round(max(x), 6) max_x, round(min(y), 6) min_y, round(max(y), 6) max_y, round(min(z), 6) min_z, round(max(z), 6) max_z from l",
+    "glxy_files": f"with {_LAYOUT} select guild guild_id, count(*) points, min(vec_id) first_chunk, cast(sum(vec_id) as bigint) chunk_ids, cast(sum(ch) as bigint) channel_ids, round(sum(cast(cast(z as float) as double)), 2) sum_z, 16 + 28 * count(*) bytes from l group by guild",
     "glxy_roundtrip": f"with {_LAYOUT} select guild guild_id, count(*) points, cast(sum(vec_id) as bigint) chunk_ids, cast(sum(ch) as bigint) channel_ids, round(sum(cast(cast(x as float) as double)), 2) sum_x from l group by guild",
     "sql_auto_limit": "with t as (select o_orderkey from orders order by o_orderkey limit 500) select count(*) n, max(o_orderkey) as last from t",
     "stream_equals_batch_sliding": chunking._WINDOWS + " select ch channel_id, min(id) start_message_id, max(id) end_message_id, count(*) n_messages from x group by ch, s",
@@ -296,6 +306,6 @@ QUERIES = {
     for f in (
         vector_topk, vector_topk_filtered, vector_topk_author, vector_topk_time, galaxy_search_fanout, search_with_text, knn_graph, knn_graph_descent, vector_index_topk, vector_index_topk_filtered, l2_normalize_check, encoded_documents, embedding_batches_packed, embedding_batches_paged,
         chunk_detail, chunks_by_ids, guilds_with_projection, channels_listing, channels_with_messages, message_counts, vector_mean, vector_total_variance, pca_project, layout_normalized, layout_by_pca, layout_keeps_neighbours, bounding_box,
-        glxy_roundtrip, sql_auto_limit, stream_equals_batch_sliding, stream_in_pieces, stream_equals_batch_sessions,
+        glxy_roundtrip, glxy_files, sql_auto_limit, stream_equals_batch_sliding, stream_in_pieces, stream_equals_batch_sessions,
     )
 } | {name: _passthrough(sql) for name, sql in PASSTHROUGH.items()}

@@ -77,6 +77,41 @@ def test_point_clouds(spark, tmp_path):
             glxy.unpack(bad)
 
 
+def test_point_cloud_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(glxy, "BLOCK_POINTS", 7)  # the driver deals the blocks; one guild has nearly all points
+    made = [(5 if i % 20 else 6, 1000 - i // 2, i % 4, float(i), -float(i), 0.5) for i in range(300)]
+    schema = "guild_id bigint, chunk_id bigint, channel_id bigint, x double, y double, z double"
+    points = spark.createDataFrame([*made, (None, 1, 2, 0.0, 0.0, 0.0)], schema).repartition(3)
+    assert glxy.encode(points).groupBy("guild_id").count().orderBy("guild_id").collect() == [(5, 41), (6, 3)]
+    folder = tmp_path / "clouds"
+    glxy.write_files(points, str(folder))
+    assert sorted(f.name for f in folder.iterdir()) == ["5.bin", "6.bin"]
+    for guild in (5, 6):
+        want = sorted(r[1:] for r in made if r[0] == guild)
+        xyz, chunks, channels = glxy.unpack((folder / f"{guild}.bin").read_bytes())
+        assert [(c, h, *p) for c, h, p in zip(chunks.tolist(), channels.tolist(), xyz.tolist(), strict=True)] == want
+        assert (folder / f"{guild}.bin").read_bytes() == glxy.pack(np.array([r[2:] for r in want]), np.array([r[0] for r in want]), np.array([r[1] for r in want]))
+        assert sorted(tuple(r)[1:] for r in glxy.read_files(spark, f"file:{folder}", guild).collect()) == want
+    spark.dataSource.register(glxy.PointClouds)
+    parts = spark.read.format("point_clouds").option("points", 50).load(str(folder))
+    assert sorted(tuple(r) for r in parts.collect()) == sorted(made) and parts.rdd.getNumPartitions() == 7
+    # Guilds that are not written stay, unless all is overwritten.
+    glxy.write_files(points.where("guild_id = 6").limit(2), str(folder))
+    assert glxy.read_files(spark, str(folder)).groupBy("guild_id").count().orderBy("guild_id").collect() == [(5, 285), (6, 2)]
+    glxy.write_files(points.where("guild_id = 6"), str(folder), "overwrite")
+    assert [f.name for f in folder.iterdir()] == ["6.bin"]
+    # A block that is missing leaves the files as they were.
+    with pytest.raises(Exception, match="missing"):
+        glxy.encode(points.where("guild_id = 5")).where("start > 0").write.format("point_clouds").mode("append").save(str(folder))
+    assert [f.name for f in folder.iterdir()] == ["6.bin"]
+    with pytest.raises(Exception, match="No such file"):
+        glxy.read_files(spark, str(folder), 5).collect()
+    glxy.write_files(points.limit(0), str(folder), "overwrite")
+    assert glxy.read_files(spark, str(folder)).count() == 0
+    with pytest.raises(Exception, match="mounted"):
+        glxy.write_files(points, "hdfs://x/y")
+
+
 def test_sql_guard(spark):
     spark.range(1000).createOrReplaceTempView("numbers")
     assert sqlguard.query(spark, "select * from numbers;").count() == 500

@@ -5,9 +5,10 @@ code points from U+0080, everything else separates. A window is ten consecutive
 whole item of fewer. One automaton over all windows scans each normalised text once; a hit is mapped to
 the words it covers and these to offsets in the original.
 
-The automaton is broadcast. Its size is checked: the items are taken in slices of at most
-``SLICE_BYTES`` of text, and where the benchmark has more than one slice, the documents pass the slices'
-automata one after the other in the same tasks, without a shuffle.
+The automaton is broadcast. Its size is checked: the items are dealt by hash into slices of about
+``SLICE_BYTES`` of text (an item is in one slice whole). Where the benchmark has more than one, texts are written
+once with a row number and scanned slice by slice, a job each; what is hit is written, and put together by row
+number at the end. So driver and workers hold one slice at a time, however large the benchmark is.
 
 A null or empty text has no words and no hits; an item without words has no window; items that repeat a
 text are each reported, items that repeat an id count once; the text of an item with a null item_id is
@@ -20,21 +21,20 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, held
+from .common import bounded, fresh_dir, held, stored
 
 WINDOW = 10
 #: Items whose text has together at most so many characters share an automaton (about 100 bytes of memory for each).
 SLICE_BYTES = 2_000_000
-#: Automata that a worker keeps.
-KEPT = 2
 
 # Bytes of UTF-8: all from 0x80 belong to words, so words can be cut from the bytes.
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -95,23 +95,47 @@ def in_original(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-def _scanner(shared):
-    """Adds the hits of one slice of the items to each row."""
+_RANGE = pa.struct([(c, pa.int32()) for c in ("a", "b", "start", "end")])
+_SCAN = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("ranges", pa.list_(_RANGE)), ("items", pa.list_(pa.string()))])
+SCAN = "row long, doc_id long, n_words long, ranges array<struct<a:int,b:int,start:int,end:int>>, items array<string>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _scanner(shared, every: bool):
+    """Rows (row, doc_id, text) with their ranges of hit words, where these stand in the text, and the items; ``every`` row or those with hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.automaton()
-        for pdf in batches:
-            got = [hits(automaton, x) for x in pdf["text"]]
-            yield pdf.assign(
-                doc_id=pdf["doc_id"].astype("Int64"),
-                n_words=[n for n, _, _ in got],
-                ranges=[[*old, *({"a": a, "b": b} for a, b in r)] for old, (_, r, _) in zip(pdf["ranges"], got, strict=True)],
-                items=[[*old, *i] for old, (_, _, i) in zip(pdf["items"], got, strict=True)],
-            )
+        for batch in batches:
+            at, counts, ranges, items = [], [], [], []
+            for k, text in enumerate(batch["text"].to_pylist()):
+                n, found, ids = hits(automaton, text)
+                if every or found:
+                    at.append(k)
+                    counts.append(n)
+                    spans = in_original(text, found) if found else []
+                    ranges.append([{"a": a, "b": b, "start": s, "end": e} for (a, b), (s, e) in zip(found, spans, strict=True)])
+                    items.append(sorted(ids))
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["row"].take(at), batch["doc_id"].take(at), pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(_RANGE)), pa.array(items, pa.list_(pa.string()))], schema=_SCAN)
 
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of all slices, merged where they touch."""
+    for batch in batches:
+        out = []
+        for ranges in batch["ranges"].to_pylist():
+            merged: list[dict] = []
+            for r in sorted(ranges, key=lambda r: (r["a"], r["b"])):
+                if merged and r["a"] <= merged[-1]["b"]:
+                    merged[-1] |= {c: max(merged[-1][c], r[c]) for c in ("b", "end")}
+                else:
+                    merged.append(r)
+            out.append(merged)
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("row", "doc_id", "n_words")), pa.array(out, pa.list_(_RANGE)), batch["items"]], schema=_SCAN)
+
+
 class _Slice:
     """Items broadcast to the tasks, and a name under which a worker keeps the automaton it built from them."""
 
@@ -122,44 +146,45 @@ class _Slice:
     def automaton(self):
         built = held("decontaminate")
         if self.id not in built:
-            if len(built) >= KEPT:
-                built.clear()
+            built.clear()
             built[self.id] = build(self.items.value)
         return built[self.id]
 
 
-def _slices(benchmark: DataFrame) -> list[Items]:
+def _sliced(benchmark: DataFrame) -> tuple[int, Callable[[int], _Slice]]:
+    """The number of slices, and a function that takes up one of them."""
+    spark = benchmark.sparkSession
     items = bounded(benchmark).where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = total // SLICE_BYTES + 1
-    return [sorted(((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()), key=lambda x: (x[0] or "", x[1])) for k in range(n)]
+    n = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // SLICE_BYTES + 1
+    path = fresh_dir(spark, "benchmark-slices")
+    if n > 1:
+        dealt = items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+        dealt.repartition("slice").write.partitionBy("slice").parquet(path)
 
+    def one(k: int) -> _Slice:
+        own = items if n == 1 else spark.read.schema("item_id string, text string, slice bigint").parquet(path).where(F.col("slice") == k)
+        return _Slice(spark, sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] or "", x[1])))
 
-SCAN = "doc_id long, text string, n_words long, ranges array<struct<a:int,b:int>>, items array<string>"
+    return n, one
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items (ids that occur, ascending), spans (original offsets of hit runs)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:int,b:int>>").alias("ranges"), F.array().cast("array<string>").alias("items"))
-    for items in _slices(benchmark):
-        rows = rows.mapInPandas(_scanner(_Slice(spark, items)), SCAN)
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n_hit, spans = [], []
-            for text, ranges in zip(pdf["text"], pdf["ranges"], strict=True):
-                merged: list[tuple[int, int]] = []
-                for a, b in sorted((r["a"], r["b"]) for r in ranges):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-                    else:
-                        merged.append((a, b))
-                n_hit.append(sum(b - a for a, b in merged))
-                spans.append([{"start": s, "end": e} for s, e in in_original(text, merged)] if merged else [])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_words": pdf["n_words"], "n_hit": n_hit, "items": [sorted(set(x)) for x in pdf["items"]], "spans": spans})
-
-    return rows.mapInPandas(finish, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    """doc_id, n_words, n_hit, items (ids that occur, ascending), spans (original offsets of hit runs)."""
+    n, taken = _sliced(benchmark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if n == 1:
+        found = rows.withColumn("row", F.lit(0).cast("long")).mapInArrow(_scanner(taken(0), True), SCAN)
+    else:
+        rows, path = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered-texts"), fresh_dir(docs.sparkSession, "hits")
+        for k in range(n):  # the first gives every row, the others those they hit
+            part = taken(k)
+            rows.mapInArrow(_scanner(part, k == 0), SCAN).write.mode("append").parquet(path)
+            part.items.destroy()
+        told = [F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "items")]
+        found = docs.sparkSession.read.schema(SCAN).parquet(path).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *told)
+        found = found.withColumn("items", F.array_sort(F.array_distinct("items"))).select("row", "doc_id", "n_words", "ranges", "items").mapInArrow(_joined, SCAN)
+    n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda total, r: total + (r["b"] - r["a"]))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", F.transform("ranges", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("spans"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -178,7 +203,15 @@ def _is_clean(shared: _Slice):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in whose text no window occurs, with all their columns."""
-    kept = docs
-    for items in _slices(benchmark):
-        kept = kept.where(_is_clean(_Slice(docs.sparkSession, items))("text"))
-    return kept
+    n, taken = _sliced(benchmark)
+    if n == 1:
+        return docs.where(_is_clean(taken(0))("text"))
+    row, spark = "_row", docs.sparkSession
+    while row in docs.columns:
+        row += "_"
+    rows, path = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-texts"), fresh_dir(spark, "hits")
+    for k in range(n):
+        part = taken(k)
+        rows.where(~_is_clean(part)("text")).select(row).write.mode("append").parquet(path)
+        part.items.destroy()
+    return rows.join(spark.read.schema(f"{row} long").parquet(path), row, "left_anti").select(*docs.columns)

@@ -46,10 +46,11 @@ def random_tables():
 
 def test_against_brute_force(spark, monkeypatch):
     docs, items = random_tables()
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit(1))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit(1)).withColumn("_row", F.lit("x"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(map(str, plain(docs, items)))
-    for size in (10**6, 300):  # one automaton, then several one after the other
+    total = sum(len(x[1] or "") for x in items)
+    for size in (10**6, total // 2 - 1, total // 19):  # 1, 3 and 20 slices, a job each
         monkeypatch.setattr(d, "SLICE_BYTES", size)
         got = d.report(df, bench).collect()
         assert sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"])) for r in got) == want
@@ -75,3 +76,15 @@ def test_items_without_an_id_are_looked_for(spark, monkeypatch):
         got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in d.report(docs, bench).collect()}
         assert got == {1: (11, 0, True), 2: (0, 0, False), 3: (13, 1, True)}
         assert [r["doc_id"] for r in d.drop_contaminated(docs, bench).collect()] == [2]
+
+
+def test_slices_join_hits_and_keep_large_ids(spark, monkeypatch):
+    # Windows of two items that overlap in the text but are in different slices give one run.
+    w = [f"w{i}" for i in range(30)]
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "Ah, " + " ".join(w) + " oh"), (None, "clean"), (big + 1, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w[i : i + 12])) for i in range(0, 18, 3)], "item_id long, text string")
+    for size in (10**6, 20):
+        monkeypatch.setattr(d, "SLICE_BYTES", size)
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["spans"]) for r in d.report(docs, bench).collect()}
+        assert got == {big: (32, 27, 6, f"4:{4 + len(' '.join(w[:27]))}"), None: (1, 0, 0, ""), big + 1: (0, 0, 0, "")}

@@ -105,6 +105,14 @@ def given_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it; Spark does not tell capitals apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark ``df`` for broadcast if its counted rows are few enough, otherwise leave it to a shuffled join."""
     rows = df.count() if rows is None else rows

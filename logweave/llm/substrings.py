@@ -3,7 +3,7 @@
 A gear rolling hash over the last 16 bytes cuts each text at places that its content alone decides: after
 the byte of the least hash of every ``WINDOW`` bytes, so an insertion moves only the cuts around it and no
 stretch of ``WINDOW`` bytes is without a cut. From each cut, as many chunks as make ``MIN_SPAN`` bytes are a
-span, known by a 64-bit digest. A digest that occurs in two documents at least is a repeat. Overlapping and
+span, known by a 128-bit digest. A digest that occurs in two documents at least is a repeat. Overlapping and
 touching repeats of a document make runs, and runs of at least ``MIN_RUN`` characters are reported.
 
 Of a passage of n bytes that two documents share, all is covered but 15 + WINDOW bytes before the first
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .castore import rolling
-from .common import bounded, stored
+from .common import bounded, stored, unused
 
 WINDOW, MIN_SPAN, MIN_RUN = 48, 48, 64
 #: Bytes that the rolling hash looks at.
@@ -41,7 +41,7 @@ AT_ONCE, STEP = 2 << 20, 1 << 20
 #: A span is its start, shifted by so many bits, and its length.
 LENGTH_BITS = 20
 
-_SPANS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
+_SPANS = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
 
 
 def cuts(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -107,8 +107,8 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, hi - lo)
             texts = [t or b"" for t in part["text"].cast(pa.binary()).to_pylist()]
             owner, start, end, pieces = spans(texts)
-            digests = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces)).view(np.int64)
-            columns = [pa.array(digests), part["doc_id"].take(pa.array(owner)), pa.array((start << LENGTH_BITS) | (end - start))]
+            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.int64).reshape(-1, 2)
+            columns = [*map(pa.array, digests.T), part["doc_id"].take(pa.array(owner)), pa.array((start << LENGTH_BITS) | (end - start))]
             yield pa.RecordBatch.from_arrays(columns, schema=_SPANS)
 
 
@@ -140,12 +140,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, repeats, removed (arrays of start, end) of the documents that have any."""
     rows = bounded(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Cut twice, once to count and once to look up: that costs less than to keep the spans of all texts.
-    found = rows.mapInArrow(_span_rows, "key long, doc_id long, at long")
+    found = rows.mapInArrow(_span_rows, "key long, key2 long, doc_id long, at long")
     # Written, so that the join below has a shuffle on either side and a digest of very many documents can be split.
-    shared = stored(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo"), "shared-spans")
+    shared = stored(found.groupBy("key", "key2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "key2", "lo"), "shared-spans")
     start = F.shiftright("at", LENGTH_BITS)
     span = F.struct(start.cast("int").alias("start"), (start + F.col("at").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))).cast("int").alias("end"), (F.col("doc_id") > F.col("lo")).alias("later"))
-    hits = found.join(shared, "key").select("doc_id", span.alias("s"))
+    hits = found.join(shared, ["key", "key2"]).select("doc_id", span.alias("s"))
     each = hits.groupBy("doc_id").agg(F.collect_set("s").alias("s"))
     runs = each.select("doc_id", _runs("s.start", "s.end", "s.later").alias("r")).select("doc_id", "r.*")
     return runs.where(F.size("repeats") > 0)
@@ -176,6 +176,7 @@ def _cut(text: pd.Series, removed: pd.Series) -> pd.Series:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with later occurrences of repeats cut from the texts; all rows and columns are kept."""
-    found = repeats(docs).select(F.col("doc_id").alias("_of"), F.col("removed").alias("_removed"))
-    joined = docs.join(found, docs["doc_id"].cast("long") == F.col("_of"), "left")
-    return joined.withColumn("text", _cut("text", "_removed")).drop("_of", "_removed")
+    of, removed = unused(docs, "_of"), unused(docs, "_removed")
+    found = repeats(docs).select(F.col("doc_id").alias(of), F.col("removed").alias(removed))
+    joined = docs.join(found, docs["doc_id"].cast("long") == F.col(of), "left")
+    return joined.withColumn("text", _cut("text", removed)).drop(of, removed)

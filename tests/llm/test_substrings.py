@@ -31,7 +31,10 @@ def test_planted_passages(spark):
             s, e = map(int, part.split(":"))
             assert sum(texts[d][s:e] in t for t in texts.values()) >= 2  # a true repeat, with true offsets
     assert all(got[d]["removed_chars"] == 0 for d in range(0, 48, 4))  # first occurrences stay
-    kept = {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs).collect()}
+    named = docs.withColumns({"_of": F.lit("a"), "_Removed": F.col("doc_id") + 1})
+    cut = substrings.without_repeats(named)
+    assert cut.columns == named.columns and cut.where("_of = 'a' and _Removed = doc_id + 1").count() == 240
+    kept = {r["doc_id"]: r["text"] for r in cut.collect()}
     assert all(len(texts[d]) - len(kept[d]) == r["removed_chars"] for d, r in got.items())
     assert sum(sum(p[60:-60] in t for t in kept.values()) for p in passages) <= 12 + 2
 

@@ -183,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     picked = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     picked = picked.select("doc_id", F.array(*[F.col(c).cast("double") for c in categories]).alias("labels"))
     # The sample is bounded, so it may be broadcast; the texts stay where they are.
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    # Of texts that share a doc_id the least one is learnt from.
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.any_value("labels").alias("labels"))
     sample = stored(sample.mapInPandas(_featured, "doc_id long, labels array<double>, words array<string>"), "toxicity-sample")
     common = sample.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= MIN_DOCS).select("w")
     vocabulary = {w: i for i, w in enumerate(sorted(r["w"] for r in common.collect()))}

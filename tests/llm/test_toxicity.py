@@ -85,3 +85,13 @@ def test_edges_of_the_input(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r["toxic"] for r in got)
     assert not any(r["toxic"] or r["p_toxic"] for r in toxicity.score(docs, marked.limit(0)).collect())
     assert toxicity.score(docs.limit(0), marked).count() == 0
+
+
+def test_the_least_text_of_a_repeated_id_is_learnt_from(spark):
+    rows, labels = corpus(n=80)
+    docs, marked = frames(spark, rows, labels)
+    more = docs.unionByName(docs.withColumn("text", F.concat(F.lit("~ vile "), "text")))
+    want = toxicity.train(docs, marked)[0].models
+    for some in (more, more.orderBy(F.desc("text")).repartition(3)):
+        got = toxicity.train(some, marked)[0].models
+        assert [m.bias for m in got] == pytest.approx([m.bias for m in want])

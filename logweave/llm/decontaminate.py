@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, fresh_dir, held, stored
+from .common import bounded, fresh_dir, held, stored, unused
 
 WINDOW = 10
 #: Items whose text has together at most so many characters share an automaton (about 100 bytes of memory for each).
@@ -206,9 +206,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n, taken = _sliced(benchmark)
     if n == 1:
         return docs.where(_is_clean(taken(0))("text"))
-    row, spark = "_row", docs.sparkSession
-    while row in docs.columns:
-        row += "_"
+    row, spark = unused(docs, "_row"), docs.sparkSession
     rows, path = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-texts"), fresh_dir(spark, "hits")
     for k in range(n):
         part = taken(k)

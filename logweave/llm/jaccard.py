@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bounded, fresh_dir, held, maybe_broadcast, remove_dir, stored, stored_at
+from .common import bounded, fresh_dir, held, maybe_broadcast, remove_dir, stored, stored_at, unused
 from .graph import components
 
 SHINGLE = 5
@@ -364,7 +364,8 @@ def keep_one(docs: DataFrame, joined: DataFrame | None = None) -> DataFrame:
     repeated = stored(joined.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return out
-    marked = out.join(maybe_broadcast(repeated.withColumn("again", F.lit(True))), "doc_id", "left")
+    again = unused(out, "_again")
+    marked = out.join(maybe_broadcast(repeated.withColumn(again, F.lit(1))), "doc_id", "left")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    single = marked.where("again").withColumn("again", rank).where("again = 1")
-    return marked.where("again is null").drop("again").unionByName(single.drop("again"))
+    single = marked.where(F.col(again).isNotNull()).withColumn(again, rank).where(F.col(again) == 1)
+    return marked.where(F.col(again).isNull()).drop(again).unionByName(single.drop(again))

@@ -75,3 +75,10 @@ def test_copies_do_not_multiply(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["component_id"] for r in jaccard.join(docs).collect()} == {0, 5000}
     assert jaccard.keep_one(docs).count() == 2
+
+
+def test_one_row_of_a_repeated_id_stays_with_its_columns(spark):
+    rows = [(1, "b x y", "u", "p"), (1, "a x y", "v", "q"), (1, None, "w", "r"), (2, "z", "x", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, again string, _AGAIN string")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[1], rows[3]]

@@ -22,3 +22,10 @@ def test_index_holds_times_that_pandas_has_not(spark, tmp_path):
     assert index.rows().agg(F.max(F.unix_seconds("first_message_at"))).head()[0] == 1704067200 + 299 * 10_000 * 3600
     found, _ = index.top_k(x[7].tolist(), 20)
     assert [(r["chunk_id"], r["distance"]) for r in found.collect()] == [(r["chunk_id"], r["distance"]) for r in search.top_k(v, x[7].tolist(), 20).collect()]
+
+
+def test_filtered_search_of_such_an_index(spark, tmp_path):
+    v, x = far_rows(spark)
+    found, _ = lists.Index.build(v, str(tmp_path)).top_k(x[7].tolist(), 20, guild_ids=[1, 2])
+    want = search.top_k(v, x[7].tolist(), 20, guild_ids=[1, 2])
+    assert [(r["chunk_id"], r["guild_id"], r["distance"]) for r in found.collect()] == [(r["chunk_id"], r["guild_id"], r["distance"]) for r in want.collect()]

@@ -29,3 +29,15 @@ def test_filtered_search_of_such_an_index(spark, tmp_path):
     found, _ = lists.Index.build(v, str(tmp_path)).top_k(x[7].tolist(), 20, guild_ids=[1, 2])
     want = search.top_k(v, x[7].tolist(), 20, guild_ids=[1, 2])
     assert [(r["chunk_id"], r["guild_id"], r["distance"]) for r in found.collect()] == [(r["chunk_id"], r["guild_id"], r["distance"]) for r in want.collect()]
+
+
+def events(spark, folder, rows):
+    """A table of events of one user; times are seconds after noon."""
+    told = [(i, dt.datetime(2024, 1, 1, 12) + dt.timedelta(seconds=s), 1, "click", 1.0, '{"k": 1}') for i, s in rows]
+    spark.createDataFrame(told, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_author_groups_round_seconds_as_sql_does(spark, tmp_path):
+    rows = chunking.author_group_events_1h(spark, events(spark, tmp_path, [(1, 0.4), (2, 3600.6), (3, 7200.5)])).orderBy("start_message_id").collect()
+    assert [(r["start_message_id"], r["end_message_id"]) for r in rows] == [(1, 1), (2, 3)]  # 0, 3601, 7200

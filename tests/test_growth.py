@@ -41,3 +41,14 @@ def events(spark, folder, rows):
 def test_author_groups_round_seconds_as_sql_does(spark, tmp_path):
     rows = chunking.author_group_events_1h(spark, events(spark, tmp_path, [(1, 0.4), (2, 3600.6), (3, 7200.5)])).orderBy("start_message_id").collect()
     assert [(r["start_message_id"], r["end_message_id"]) for r in rows] == [(1, 1), (2, 3)]  # 0, 3601, 7200
+
+
+def test_sessions_round_seconds_as_sql_does(spark, tmp_path):
+    rows = chunking.author_sessions_gap_only(spark, events(spark, tmp_path, [(1, 0.4), (2, 3600.6), (3, 7200.5)])).orderBy("start_message_id").collect()
+    assert [(r["start_message_id"], r["end_message_id"]) for r in rows] == [(1, 1), (2, 3)]
+
+
+def test_sessions_of_rows_that_share_an_id(spark, tmp_path):
+    # Both rows of id 2 begin a run: with the first alone, the second opens another, and id 3 belongs to that.
+    rows = chunking.author_sessions_gap_only(spark, events(spark, tmp_path, [(1, 0), (2, 9000), (2, 18000), (3, 18100)])).collect()
+    assert len(rows) == 3 and sum(r["n_messages"] for r in rows) == 4

@@ -52,3 +52,9 @@ def test_sessions_of_rows_that_share_an_id(spark, tmp_path):
     # Both rows of id 2 begin a run: with the first alone, the second opens another, and id 3 belongs to that.
     rows = chunking.author_sessions_gap_only(spark, events(spark, tmp_path, [(1, 0), (2, 9000), (2, 18000), (3, 18100)])).collect()
     assert len(rows) == 3 and sum(r["n_messages"] for r in rows) == 4
+
+
+def test_bounding_box_holds_every_point(spark):
+    points = spark.range(25_001).select(F.col("id").alias("chunk_id"), *[F.when(F.col("id") == 12_345, k * 1000.0).otherwise(F.col("id") % 7).alias(c) for k, c in ((1, "x"), (2, "y"), (3, "z"))])
+    box = projection.bounding_box(points).head()
+    assert [box[f"max_{c}"] for c in "xyz"] == [1000.0, 2000.0, 3000.0] and [box[f"min_{c}"] for c in "xyz"] == [0.0, 0.0, 0.0]

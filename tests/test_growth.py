@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from logweave.operators import lists, projection, search
+from logweave.operators import lists, neighbours, projection, search
 from logweave.plans import chunking
 
 
@@ -58,3 +58,22 @@ def test_bounding_box_holds_every_point(spark):
     points = spark.range(25_001).select(F.col("id").alias("chunk_id"), *[F.when(F.col("id") == 12_345, k * 1000.0).otherwise(F.col("id") % 7).alias(c) for k, c in ((1, "x"), (2, "y"), (3, "z"))])
     box = projection.bounding_box(points).head()
     assert [box[f"max_{c}"] for c in "xyz"] == [1000.0, 2000.0, 3000.0] and [box[f"min_{c}"] for c in "xyz"] == [0.0, 0.0, 0.0]
+
+
+def test_exact_neighbours_in_blocks(spark):
+    x = np.round(np.random.default_rng(6).normal(size=(700, 4)), 1)
+    x[:90] = x[0]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "chunk_id bigint, vector array<double>").repartition(3)
+    for size in (None, 150):
+        got = {}
+        for r in search.knn_graph(v, 5, block_rows=size).collect():
+            got.setdefault(r["chunk_id"], []).append((r["distance"], r["neighbor"]))
+        for i in range(0, 700, 13):
+            d = np.round(((x - x[i]) ** 2).sum(axis=1), 6)
+            assert sorted(got[i]) == sorted((float(d[j]), j) for j in np.lexsort((np.arange(700), d)) if j != i)[:5]
+
+
+def test_exact_neighbours_alike_in_six_places_are_taken_by_id(spark):
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 1e-5]), (2, [1.0, 0.0])]  # squared distances 1.0000000001 and 1
+    near = search.knn_graph(spark.createDataFrame(rows, "chunk_id bigint, vector array<double>"), 1).where("chunk_id = 0").head()
+    assert near["neighbor"] == 1

@@ -60,6 +60,14 @@ def test_bounding_box_holds_every_point(spark):
     assert [box[f"max_{c}"] for c in "xyz"] == [1000.0, 2000.0, 3000.0] and [box[f"min_{c}"] for c in "xyz"] == [0.0, 0.0, 0.0]
 
 
+def test_graph_of_vectors_without_structure(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 400)
+    x = np.random.default_rng(5).normal(size=(3000, 48))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "chunk_id bigint, vector array<float>").repartition(3)
+    edges = neighbours.graph(v, 5)
+    assert neighbours.recall(v, edges, 5, every=20) >= 0.9 and edges.count() == 15_000
+
+
 def test_exact_neighbours_in_blocks(spark):
     x = np.round(np.random.default_rng(6).normal(size=(700, 4)), 1)
     x[:90] = x[0]

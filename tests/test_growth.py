@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from logweave.operators import lists, neighbours, projection, search
+from logweave.operators import layout, lists, neighbours, projection, search
 from logweave.plans import chunking
 
 
@@ -85,3 +85,9 @@ def test_exact_neighbours_alike_in_six_places_are_taken_by_id(spark):
     rows = [(0, [0.0, 0.0]), (1, [1.0, 1e-5]), (2, [1.0, 0.0])]  # squared distances 1.0000000001 and 1
     near = search.knn_graph(spark.createDataFrame(rows, "chunk_id bigint, vector array<double>"), 1).where("chunk_id = 0").head()
     assert near["neighbor"] == 1
+
+
+def test_both_ends_of_an_edge_are_pushed():
+    points = np.vstack([np.zeros((2, 3)), np.full((30, 3), 0.5)])
+    after = layout.moved(points, np.array([0]), np.array([1]), np.ones(1), epochs=1)
+    assert (after[:2] < 0).all() and (after[2:] == 0.5).all()

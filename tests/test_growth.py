@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from logweave.operators import layout, lists, neighbours, projection, search
-from logweave.plans import chunking
+from logweave.plans import chunking, vectors
 
 
 def far_rows(spark, n=300, d=6):
@@ -91,3 +91,12 @@ def test_both_ends_of_an_edge_are_pushed():
     points = np.vstack([np.zeros((2, 3)), np.full((30, 3), 0.5)])
     after = layout.moved(points, np.array([0]), np.array([1]), np.ones(1), epochs=1)
     assert (after[:2] < 0).all() and (after[2:] == 0.5).all()
+
+
+def test_indexed_queries_over_ids_that_have_no_time(spark, tmp_path):
+    x = np.random.default_rng(7).normal(size=(60, 6))
+    rows = [(i * 1_000_000_000_000, v.tolist(), i % 4) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = sorted((round(float(((v.astype(np.float32).astype(float) - x[0].astype(np.float32)) ** 2).sum()), 6), i * 1_000_000_000_000) for i, v in enumerate(x) if i % 4)[:20]
+    found = vectors.vector_index_topk_filtered(spark, str(tmp_path)).collect()
+    assert [r["chunk_id"] for r in found] == [i for _, i in want]

@@ -1,6 +1,8 @@
 import random
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from logweave.operators import chunking as C
 from logweave.operators import segments as S
@@ -114,3 +116,20 @@ def test_pieces_of_a_long_group_equal_the_fold(spark, k):
     states = S.states_after(first, ["g"])
     second = S.folded(df.where("id >= 137"), ["g"], ["id"], "cost", budget, "at", states=states, piece_rows=23)
     assert read(first) | read(second) == want
+
+
+def test_fold_is_dealt_to_many_tasks_however_few_its_bytes(spark):
+    # Small shuffles are put together by their bytes, so that one task would fold all rows.
+    df = spark.range(4000).select((F.col("id") % 40).alias("g"), "id", F.lit(1).alias("cost"))
+    for size in (2, S.PIECE_ROWS):
+        found = S.folded(df, ["g"], ["id"], "cost", S.Budget(max_cost=5), piece_rows=size)
+        assert found.select(F.spark_partition_id()).distinct().count() >= 3
+
+
+def test_pieces_of_many_groups_are_summed_up_in_one_pass():
+    """One call for a partition, whose pieces may go on from batch to batch."""
+    rows = pd.DataFrame([(g, p, 2 * p + r, g + r + 1, None, False) for g in range(9) for p in range(3) for r in range(2)], columns=["g", "_piece", "_rank", "_cost", "_time", "_halo"])
+    run = S._summaries(["g", "_piece"], S.Budget(max_cost=5))
+    for cuts in ([0, 54], [0, 1, 2, 31, 54]):
+        got = pd.concat(run(rows.iloc[a:b] for a, b in zip(cuts, cuts[1:])))  # noqa: B905
+        assert [(g, p, m, t) for g, p, m, t in zip(got["g"], got["_piece"], got["m"], got["total"], strict=True)] == [(g, p, 2, 2 * g + 3) for g in range(9) for p in range(3)]

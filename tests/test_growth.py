@@ -2,11 +2,16 @@
 
 import datetime as dt
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from logweave.operators import layout, lists, neighbours, projection, search
+from logweave import runs
+from logweave.operators import layout, lists, neighbours, projection, search, storage
 from logweave.plans import chunking, vectors
+from logweave.warehouse import Warehouse
 
 
 def far_rows(spark, n=300, d=6):
@@ -100,3 +105,19 @@ def test_indexed_queries_over_ids_that_have_no_time(spark, tmp_path):
     want = sorted((round(float(((v.astype(np.float32).astype(float) - x[0].astype(np.float32)) ** 2).sum()), 6), i * 1_000_000_000_000) for i, v in enumerate(x) if i % 4)[:20]
     found = vectors.vector_index_topk_filtered(spark, str(tmp_path)).collect()
     assert [r["chunk_id"] for r in found] == [i for _, i in want]
+
+
+def test_an_encoder_is_given_few_rows_at_once(spark, tmp_path):
+    def sizes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[float(len(texts)), float(texts.str.len().sum())]] * len(texts))
+
+    wh = Warehouse(spark, str(tmp_path), buckets=1)
+    ids = spark.range(5000).repartition(1)
+    wh.merge("chunks", ids.selectExpr("'sliding_window' chunk_type", "7L channel_id", "id anchor_id", "id chunk_id", "1L guild_id", "array(1L) author_ids", "'pending' embedding_status", "0.0D first_message_s", "0.0D last_message_s"), ["chunk_id"])
+    wh.merge("chunk_texts", ids.selectExpr("id chunk_id", "repeat('a', int(if(id < 2500, 4, 20000))) text", "if(id < 2500, 1L, 5000L) token_count"), ["token_count"])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert runs.embed(wh, F.pandas_udf(sizes, "array<float>")) == 5000
+    rows, size = wh.read("vectors").agg(F.max(F.col("vector")[0]), F.max(F.col("vector")[1])).head()
+    assert rows <= storage.BATCH_ROWS and size <= 2 * storage.BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

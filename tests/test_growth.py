@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from logweave import runs
+from logweave import runs, warehouse
 from logweave.operators import layout, lists, neighbours, projection, search, storage
 from logweave.plans import chunking, vectors
 from logweave.warehouse import Warehouse
@@ -121,3 +121,18 @@ def test_an_encoder_is_given_few_rows_at_once(spark, tmp_path):
     rows, size = wh.read("vectors").agg(F.max(F.col("vector")[0]), F.max(F.col("vector")[1])).head()
     assert rows <= storage.BATCH_ROWS and size <= 2 * storage.BATCH_BYTES
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_a_merge_shuffles_rows_once(spark):
+    table, batch = (spark.range(n).selectExpr("id k", "id v", "id w", "id % 4 _bucket") for n in (50, 80))
+    for mutable in (None, (), ("v",)):
+        merged = warehouse.merged(warehouse.Rule(("k",), mutable), table, batch, ["w"], "_bucket")
+        assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert merged.count() == 80
+
+
+def test_a_run_rewrites_texts_once(spark, tmp_path):
+    wh = Warehouse(spark, str(tmp_path), buckets=1)
+    spark.range(1, 9).selectExpr("id message_id", "7L channel_id", "1L guild_id", "id % 2 author_id", "0 type", "if(id > 2, id - 2, null) ref_id", "'m' content", "double(id) created_s", "cast(array() as array<bigint>) mentions", "false has_attachments", "'m' line", "120L cost").write.parquet(f"{wh.root}/log")
+    assert min(runs.chunk(wh).values()) > 0
+    assert wh.version("chunk_texts") == 1 and wh.read("chunk_texts").where("text is not null").count() == wh.read("chunks").count()

@@ -67,6 +67,37 @@ def test_like_all_windows(spark, class_rows):
     assert got(S.report(table(spark, texts).repartition(5), class_rows)) == want
 
 
+@pytest.mark.parametrize("class_rows", [S.CLASS_ROWS, 0])
+def test_rows_of_a_frequent_gram_are_spread(spark, monkeypatch, tmp_path, class_rows):
+    """Anchors and blocks of a passage that stands in most texts do not meet in one task of a join."""
+    paths = []
+    monkeypatch.setattr(S, "HOT_ROWS", 50)
+    monkeypatch.setattr(S, "fresh_dir", lambda _, name: paths.append(f"{tmp_path}/{len(paths)}-{name}") or paths[-1])
+    monkeypatch.setattr(S, "stored", lambda df, name: S.stored_at(df, S.fresh_dir(None, name)))
+    monkeypatch.setattr(S, "remove_dir", lambda *_: None)
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = some(600)
+    texts = [*(f"{some(rng.randrange(300))}{passage}{some(300)}" for _ in range(400)), *(some(700) for _ in range(60))]
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as where tables are large
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        out = got(S.report(table(spark, texts), class_rows))
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    assert out == [(i, *x) for i, x in enumerate(plain(texts))]
+    for name, key in (("shared-anchors", "hash"), ("repeated-blocks", "core"))[: 2 - bool(class_rows)]:
+        path = next(p for p in paths if p.endswith(f"-{name}"))
+        rows = spark.read.parquet(path).groupBy(key, F.input_file_name()).count().collect()
+        in_all = Counter()
+        for r in rows:
+            in_all[r[key]] += r["count"]
+        most, n = in_all.most_common(1)[0]
+        assert n >= 400 and max(r["count"] for r in rows if r[key] == most) < 0.6 * n
+
+
 def test_many_ranges_and_runs(spark, monkeypatch):
     monkeypatch.setattr(S, "RANGE_ROWS", 40)
     texts = made(9)

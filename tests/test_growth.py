@@ -136,3 +136,25 @@ def test_a_run_rewrites_texts_once(spark, tmp_path):
     spark.range(1, 9).selectExpr("id message_id", "7L channel_id", "1L guild_id", "id % 2 author_id", "0 type", "if(id > 2, id - 2, null) ref_id", "'m' content", "double(id) created_s", "cast(array() as array<bigint>) mentions", "false has_attachments", "'m' line", "120L cost").write.parquet(f"{wh.root}/log")
     assert min(runs.chunk(wh).values()) > 0
     assert wh.version("chunk_texts") == 1 and wh.read("chunk_texts").where("text is not null").count() == wh.read("chunks").count()
+
+
+def _odd_rows(spark, path):
+    x = np.random.default_rng(9).normal(size=(60, 6)).astype(np.float32).astype(float)
+    rows = [(i, v.tolist(), i % 4) for i, v in enumerate(x)]
+    rows += [(60, None, 1), (61, [float("nan"), *x[1][1:].tolist()], 1), (62, [None, *x[0][1:].tolist()], 1), (63, [float("inf")] * 6, 2), (64, [], 3), (65, [None] * 6, 1)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    # A component that one of both lacks does not count; rows without a distance come last.
+    near = sorted((round(float(((v - x[0]) ** 2).sum()), 6), i) for i, v in enumerate(x))
+    return [(0.0, 0), (0.0, 62), *near[1:], (np.inf, 63), (np.nan, 61), (None, 60), (None, 64), (None, 65)]
+
+
+def test_indexed_query_over_rows_that_have_no_nearest_centre(spark, tmp_path):
+    want = _odd_rows(spark, tmp_path)
+    assert [r["chunk_id"] for r in vectors.vector_index_topk(spark, str(tmp_path)).collect()] == [i for _, i in want[:20]]
+    v = spark.read.parquet(f"{tmp_path}/embeddings.parquet").selectExpr("vec_id chunk_id", "label guild_id", "embedding vector")
+    query = v.where("chunk_id = 0").head()["vector"]
+    index = lists.Index.build(v, f"{tmp_path}/index")
+    found = [r["chunk_id"] for r in index.top_k(query, 70)[0].collect()]
+    assert found == [i for _, i in want] == [r["chunk_id"] for r in search.top_k(v, query, 70).collect()]
+    only = lists.Index.build(v.where("chunk_id in (60, 61)"), f"{tmp_path}/none")
+    assert [r["chunk_id"] for r in only.top_k(query, 5)[0].collect()] == [61, 60]

@@ -158,3 +158,8 @@ def test_indexed_query_over_rows_that_have_no_nearest_centre(spark, tmp_path):
     assert found == [i for _, i in want] == [r["chunk_id"] for r in search.top_k(v, query, 70).collect()]
     only = lists.Index.build(v.where("chunk_id in (60, 61)"), f"{tmp_path}/none")
     assert [r["chunk_id"] for r in only.top_k(query, 5)[0].collect()] == [61, 60]
+
+
+def test_filtered_indexed_query_over_such_rows(spark, tmp_path):
+    want = [i for _, i in _odd_rows(spark, tmp_path) if (i if i < 60 else (1, 1, 1, 2, 3, 1)[i - 60]) % 4 in (1, 2, 3)]
+    assert [r["chunk_id"] for r in vectors.vector_index_topk_filtered(spark, str(tmp_path)).collect()] == want[:20]

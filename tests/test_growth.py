@@ -163,3 +163,17 @@ def test_indexed_query_over_rows_that_have_no_nearest_centre(spark, tmp_path):
 def test_filtered_indexed_query_over_such_rows(spark, tmp_path):
     want = [i for _, i in _odd_rows(spark, tmp_path) if (i if i < 60 else (1, 1, 1, 2, 3, 1)[i - 60]) % 4 in (1, 2, 3)]
     assert [r["chunk_id"] for r in vectors.vector_index_topk_filtered(spark, str(tmp_path)).collect()] == want[:20]
+
+
+def test_layout_moves_every_row_and_equal_vectors_together(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(500, 10))
+    x[490:] = x[:10]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "chunk_id bigint, vector array<double>").selectExpr("chunk_id", "1L guild_id", "2L channel_id", "vector")
+    before = {}
+    for sample in (5_000, 200):  # all in one task, and dealt to three
+        p = np.array([[r["x"], r["y"], r["z"]] for r in layout.layout(v, sample=sample, epochs=40).orderBy("chunk_id").collect()])
+        assert len(p) == 500 and (p[490:] == p[:10]).all() and len(np.unique(p, axis=0)) == 490
+        before[sample] = layout.trustworthiness(x[:490], p[:490], 5)
+    flat = np.array([[r["x"], r["y"], r["z"]] for r in projection.layout(v).orderBy("chunk_id").collect()])
+    assert min(before.values()) > layout.trustworthiness(x[:490], flat[:490], 5) + 0.02
+    assert sum(many for _, many in layout.rounds(200)) == 200

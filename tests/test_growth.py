@@ -177,3 +177,13 @@ def test_layout_moves_every_row_and_equal_vectors_together(spark, monkeypatch):
     flat = np.array([[r["x"], r["y"], r["z"]] for r in projection.layout(v).orderBy("chunk_id").collect()])
     assert min(before.values()) > layout.trustworthiness(x[:490], flat[:490], 5) + 0.02
     assert sum(many for _, many in layout.rounds(200)) == 200
+
+
+def test_neighbours_kept_are_those_of_asked_rows_with_all_rows(spark):
+    rng = np.random.default_rng(8)
+    x, p, q = rng.normal(size=(300, 8)), rng.normal(size=(300, 3)), rng.normal(size=(300, 3))
+    rows = spark.createDataFrame([(i, *(v[i].tolist() for v in (x, p, q))) for i in range(300)], "chunk_id bigint, vector array<double>, p array<double>, q array<double>").repartition(3)
+    assert np.allclose(layout.kept(rows, ["p", "q"], 5, every=1), [layout.trustworthiness(x, v, 5) for v in (p, q)])
+    far = lambda v, i: [j for j in np.argsort(((v - v[i]) ** 2).sum(axis=1), kind="stable") if j != i]
+    lost = sum(max(far(x, i).index(j) + 1 - 5, 0) for i in range(0, 300, 5) for j in far(p, i)[:5])
+    assert np.isclose(layout.kept(rows, ["p"], 5)[0], 1 - 2 * lost / (60 * 5 * (2 * 300 - 16)))

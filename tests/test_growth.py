@@ -187,3 +187,17 @@ def test_neighbours_kept_are_those_of_asked_rows_with_all_rows(spark):
     far = lambda v, i: [j for j in np.argsort(((v - v[i]) ** 2).sum(axis=1), kind="stable") if j != i]
     lost = sum(max(far(x, i).index(j) + 1 - 5, 0) for i in range(0, 300, 5) for j in far(p, i)[:5])
     assert np.isclose(layout.kept(rows, ["p"], 5)[0], 1 - 2 * lost / (60 * 5 * (2 * 300 - 16)))
+
+
+def test_range_join_counts_without_pairs(spark, tmp_path):
+    nan = float("nan")
+    suppliers = [(1, 3, 100.0), (1, 3, 900.0), (2, 3, -500.0), (3, 4, 0.0), (4, None, 1.0), (5, 3, None), (6, 3, nan), (None, 3, 700.0), (7, 9, 5.0), (8, 4, 10_000.0)]
+    customers = [(3, 600.0)] * 50 + [(3, -400.0), (3, 1400.0), (3, 1400.01), (3, 0.0), (3, -0.0), (4, 500.0), (4, -500.01), (3, nan), (None, 5.0), (3, None), (5, 5.0)]
+    spark.createDataFrame(suppliers, "s_suppkey bigint, s_nationkey bigint, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(customers, "c_nationkey bigint, c_acctbal double").repartition(3).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("supplier", "customer"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").createOrReplaceTempView(name)
+    found = vectors.QUERIES["sql_range_join"](spark, str(tmp_path))
+    want = spark.sql(vectors.SQL["sql_range_join"])
+    assert found.dtypes == want.dtypes and sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert dict(want.collect())[1] == 53 + 51 and "c_acctbal" not in found._jdf.queryExecution().toString()
